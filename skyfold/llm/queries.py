@@ -9,6 +9,58 @@ from pyspark.sql import DataFrame, SparkSession
 from skyfold.llm.common import table
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import mixing
+
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.selectExpr("doc_id", "size", "source_size", "target", "taken", "uses", "round(first_position, 9) first_position")
+
+
+OP7_SQL = """
+with docs as (
+  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) k,
+         cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) size
+  from documents
+), sources as (
+  select *, 1 + (row_number() over (order by source is null, encode(source)) - 1) % 3 weight,
+         row_number() over (order by source is null, encode(source)) - 1 r
+  from (select source, cast(sum(size) as bigint) source_size from docs group by source)
+), limits as (
+  select *, cast(3 * source_size as double) / weight lim from sources
+), levels as (
+  select *, lim <= cast(cast(sum(source_size) over () as bigint) - coalesce(cast(sum(3 * source_size) over (order by lim, r rows between unbounded preceding and 1 preceding) as bigint), 0) as double)
+                   / cast(sum(weight) over (order by lim, r rows between current row and unbounded following) as bigint) is_full
+  from limits
+), rest as (
+  select cast(cast((select sum(source_size) from sources) as bigint) - coalesce(cast(sum(3 * source_size) filter (is_full) as bigint), 0) as double) words,
+         cast(sum(weight) filter (not is_full) as bigint) weights from levels
+), wanted as (
+  select source, source_size, case when is_full then cast(3 * source_size as double) else weight * (words / weights) end target,
+         case when r % 2 = 0 then 5e-1 else -5e-1 end slope
+  from levels cross join rest
+), placed as (
+  select d.doc_id, d.size, w.source_size, w.target, w.slope, cast(floor(w.target + 5e-1) as bigint) goal,
+         coalesce(cast(sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and 1 preceding) as bigint), 0) b
+  from docs d join wanted w on d.source is not distinct from w.source
+), parts as (
+  select *, case when source_size > 0 then goal // source_size else 0 end rounds from placed
+), takes as (
+  select *, greatest(0, least(size, goal - rounds * source_size - b)) part from parts
+), used as (
+  select *, case when size > 0 then rounds + cast(part > 0 as bigint) else 0 end uses, least(1e0, b / target) y from takes
+)
+select doc_id, size, source_size, target, cast(rounds * size + part as bigint) taken, cast(uses as bigint) uses,
+       case when uses > 0 then round(2e0 * y / (1e0 + slope + sqrt(greatest(0e0, (1e0 + slope) * (1e0 + slope) - 4e0 * slope * y))), 9) end first_position
+from used
+"""
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import media
+
+    return media.digest(media.read_streams(media.write_streams(table(spark, sf_dir, "documents"))))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.llm import packing
 
@@ -16,7 +68,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_mixing": op7_mixing,
+    "op9_media": op9_media,
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
+}
