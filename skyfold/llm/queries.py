@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyfold.llm.common import table
 
@@ -55,6 +56,15 @@ from used
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    net = quality.train(docs, quality.learnable(table(spark, sf_dir, "labels")))
+    scored = quality.score(docs, net)
+    return scored.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.llm import media
 
@@ -69,6 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "op9_media": op9_media,
     "op10_packing": op10_packing,
 }
