@@ -62,7 +62,7 @@ class Network:
         held, owners = [], []
         for k, text in enumerate(texts):
             for c in range(counts[k]):
-                held.append(text[c * HOP : c * HOP + CHUNK].ljust(CHUNK, b"\0"))
+                held.append(chunk(text, c))
                 owners.append(k)
                 if len(held) == block:
                     self._add(sums, held, owners)
@@ -80,6 +80,14 @@ def n_chunks(n_bytes: int) -> int:
     return 1 + max(0, -(-(n_bytes - CHUNK) // HOP))
 
 
+def chunk(text: bytes, c: int) -> bytes:
+    """Chunk number c. The last one ends with the text; a text shorter than a chunk is repeated, an empty one is zeros."""
+    if len(text) < CHUNK:
+        return ((text + b"\n") * (CHUNK // (len(text) + 1) + 1))[:CHUNK] if text else bytes(CHUNK)
+    at = min(c * HOP, len(text) - CHUNK)
+    return text[at : at + CHUNK]
+
+
 def fit(chunks: np.ndarray, owners: np.ndarray, labels: np.ndarray, seed: int = 7, epochs: int = 10, rate: float = 0.01, batch: int = 48) -> Network:
     """Adam on the log loss of whole rows; ``owners`` gives the row of each chunk, rows in order."""
     rng = np.random.default_rng(seed)
@@ -124,7 +132,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         rows = []
         for text in text_bytes(batch.column(2)):
             n = n_chunks(len(text))
-            rows.append([text[c * HOP : c * HOP + CHUNK].ljust(CHUNK, b"\0") for c in sorted({i * n // most for i in range(most)})])
+            rows.append([chunk(text, c) for c in sorted({i * n // most for i in range(most)})])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.binary()))], ["doc_id", "label", "chunks"])
 
 
