@@ -10,6 +10,25 @@ from pyspark.sql import functions as F
 from skyfold.llm.common import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import warc
+
+    pages = table(spark, sf_dir, "pages")
+    folder, captures = warc.write_archives(pages)
+    found = warc.read_captures(spark, folder, warc.build_index(captures, folder), warc.keys_of(pages))
+    return found.selectExpr("page_id", "cast(octet_length(payload) as bigint) payload_bytes", "sha2(payload, 256) payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) body, sha256(coalesce(html, '')) digest from pages),
+q as (select page_id, cast(octet_length(body) as bigint) n, digest, min(page_id) over (partition by digest) first from p)
+select page_id, n payload_bytes, digest payload_digest,
+       case when n >= 100 and first < page_id or n >= 100 and page_id is null and first is not null then 'revisit' else 'response' end record_type,
+       case when n >= 100 and first < page_id or n >= 100 and page_id is null and first is not null then first end refers_to
+from q
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.llm import mixing
 
@@ -78,6 +97,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_media": op9_media,
@@ -85,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_warc": OP2_SQL,
     "op7_mixing": OP7_SQL,
 }
