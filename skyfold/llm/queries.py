@@ -29,6 +29,32 @@ from q
 """
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import near_dup
+
+    return near_dup.components(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+OP6_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents
+), s as (
+  select distinct doc_id, case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(w[i:i+3], ' ') end g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) i from w where len(w) > 0)
+), n as (select doc_id, count(*) n from s group by doc_id),
+p as (
+  select a.doc_id u, b.doc_id v, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all
+), e as (
+  select u, v from p join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 80 * (x.n + y.n - c)
+), both_ways as (select u, v from e union all select v, u from e),
+reach as (
+  select doc_id u, doc_id r from documents union select b.v, reach.r from reach join both_ways b on b.u = reach.u
+), root as (select u, min(r) r from reach group by u)
+select d.doc_id, coalesce(n.n, 0) n_shingles, r component_id, d.doc_id = r kept
+from documents d left join n using (doc_id) join root on root.u = d.doc_id
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.llm import mixing
 
@@ -98,6 +124,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op6_near_dup": op6_near_dup,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_media": op9_media,
@@ -106,5 +133,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
+    "op6_near_dup": OP6_SQL,
     "op7_mixing": OP7_SQL,
 }
