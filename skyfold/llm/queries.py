@@ -29,6 +29,37 @@ from q
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import line_dedup
+
+    clean = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return clean.selectExpr("doc_id", "_n_lines n_lines", "_n_removed n_removed", "text")
+
+
+OP3_SQL = """
+with l as (
+  select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 i, unnest(string_split(text, chr(10))) line from documents where text is not null
+), t as (
+  select doc_id, i, line, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) w from l
+), f as (
+  select row_number() over (order by doc_id, i) k, * from t where len(w) > 0
+), c as (
+  select min(k) k, s from (select k, list_sort(w) s from f) group by s
+), n as (select k, len(s) n from c),
+x as (select k, unnest(s) w from c),
+o as (select w, row_number() over (order by count(*), w) r from x group by w),
+q as (select x.k, n.n, o.r, row_number() over (partition by x.k order by o.r) p from x join o using (w) join n using (k)),
+z as (select k, n, r from q where p <= n - (n * 80 + 99) // 100 + 1),
+m as (select distinct a.k a, b.k b from z a join z b on a.r = b.r and b.k < a.k and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+j as (select distinct m.a k from m join c ca on ca.k = m.a join c cb on cb.k = m.b
+      where 100 * len(list_intersect(ca.s, cb.s)) >= 80 * (len(ca.s) + len(cb.s) - len(list_intersect(ca.s, cb.s)))),
+g as (select doc_id, i from f where k not in (select k from c) or k in (select k from j)),
+r as (select l.doc_id, count(*) n_lines, count(g.i) n_removed, coalesce(string_agg(line, chr(10) order by l.i) filter (g.i is null), '') text
+      from l left join g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id)
+select doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, r.text from documents d left join r using (doc_id)
+"""
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.llm import near_dup
 
@@ -124,6 +155,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op3_line_dedup": op3_line_dedup,
     "op6_near_dup": op6_near_dup,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
@@ -133,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
+    "op3_line_dedup": OP3_SQL,
     "op6_near_dup": OP6_SQL,
     "op7_mixing": OP7_SQL,
 }
