@@ -35,6 +35,8 @@ from skyfold.llm.common import fresh_path, keep
 
 LEAST_BYTES = 100
 BLOCK_LINES = 1000
+#: Repeated payloads (a digest, an id and a url each) that are broadcast at most; beyond, the join shuffles.
+BROADCAST_ROWS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 _LEVEL = 3
 _FILE_BYTES = 1 << 30
@@ -152,9 +154,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha2(payload, 256).alias("digest"))
     ids = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(payload, 256).alias("digest"), F.octet_length("html").alias("n"))
-    # A row for each payload that occurs again. Spark broadcasts it only if the written table is small enough.
+    # A row for each payload that occurs again: sent to all tasks if these are few, else joined by a shuffle.
     shared = keep(ids.filter((F.col("n") >= least_bytes) & F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "warc-shared")
-    joined = rows.join(shared, "digest", "left").select("page_id", "url", "html", "digest", "first", "first_url")
+    few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(shared) if few else shared, "digest", "left").select("page_id", "url", "html", "digest", "first", "first_url")
     return folder, keep(joined.mapInArrow(lambda it: _write(it, folder, date), _CAPTURES), "warc-captures")
 
 
