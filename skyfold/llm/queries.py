@@ -60,6 +60,35 @@ select doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, r
 """
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import licenses
+
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def _op4_sql() -> str:
+    from skyfold.llm.licenses import PERCENT, PHRASES, TEMPLATES
+
+    phrases = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in PHRASES.items())
+    templates = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')))" for label, t in TEMPLATES)
+    return f"""
+with phrases(label, p) as (values {phrases}), templates(label, t) as (values {templates}),
+folded as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') s from documents),
+w as (select doc_id, regexp_extract_all(s, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from folded),
+places as (select doc_id, w, unnest(range(1, len(w) + 1)) i from w where len(w) > 0),
+base as (select doc_id, label, i - 1 word from places join phrases on w[i] = p[1] and w[i:i + len(p) - 1] = p),
+lines as (select doc_id, list_distinct(regexp_extract_all(unnest(string_split(s, chr(10))), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) b from folded),
+held as (select doc_id, label, cast(len(list_intersect(t, b)) as double) / len(t) c, 100 * len(list_intersect(t, b)) >= {PERCENT} * len(t) ok from lines cross join templates),
+m as (select doc_id, label, c from held where ok),
+b as (select doc_id, count(*) n, min(word) lo, max(word) hi, string_agg(distinct label, ',' order by label) labels from base group by doc_id),
+x as (select doc_id, string_agg(distinct label, ',' order by label) labels from (select doc_id, label from base union all select doc_id, label from m) group by doc_id),
+c as (select doc_id, max(c) c from m group by doc_id)
+select w.doc_id, len(w.w) n_words, coalesce(b.n, 0) n_base, b.lo first_word, b.hi last_word, coalesce(b.labels, '') base_labels, coalesce(x.labels, '') labels,
+       case when b.n > 0 then 1e0 else coalesce(c.c, 0e0) end score
+from w left join b using (doc_id) left join x using (doc_id) left join c using (doc_id)
+"""
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.llm import near_dup
 
@@ -156,6 +185,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
+    "op4_licenses": op4_licenses,
     "op6_near_dup": op6_near_dup,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
@@ -166,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op4_licenses": _op4_sql(),
     "op6_near_dup": OP6_SQL,
     "op7_mixing": OP7_SQL,
 }
