@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from skyfold.llm.common import table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import neighbours
+
+    return neighbours.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.llm import warc
 
@@ -183,6 +189,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
     "op4_licenses": op4_licenses,
