@@ -95,6 +95,12 @@ from w left join b using (doc_id) left join x using (doc_id) left join c using (
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import substring_dedup
+
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.llm import near_dup
 
@@ -193,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
     "op4_licenses": op4_licenses,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_near_dup": op6_near_dup,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
