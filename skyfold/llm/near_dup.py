@@ -6,12 +6,12 @@ hashed; 48 bands of 6 miss a pair at Jaccard 0.8 with probability 5e-7.
 
 1. One pass over the texts gives each its set size, a 128-bit digest of the set, and its band keys.
 2. Documents with equal sets are one class, led by the smallest id. Copies go no further.
-3. In every bucket of a band each class is compared with the bucket's smallest class (its pivot) on full sets.
-4. Classes that fail are compared further, not dropped: x and y of a bucket can only be linked if their distances to
-   the pivot differ by at most the allowed distance (Jaccard distance is a metric) and their sizes fit. Pairs whose
-   both sides are linked to the pivot are connected already. So a bucket of m copies costs m comparisons, and no link
-   between different texts of a bucket is lost.
-5. Links join classes to components by star rounds.
+3. In every bucket of a band each class is compared on full sets with the bucket's pivot: the class that meets most
+   others in all its buckets, as a text does that many copies were made of. Star rounds turn links into components.
+4. Classes that fail are compared further, not dropped: all pairs of a bucket that are in different components, unless
+   their sizes do not fit or their distances to the pivot differ by more than the allowed distance (Jaccard distance
+   is a metric). Pairs inside a component need no link. So a bucket of m copies costs m comparisons.
+5. The links found then complete the components.
 
 Sets are 64-bit shingle hashes of whole texts, made again only for classes that share a bucket.
 
@@ -116,8 +116,14 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     classes = Kept(sketches.df.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class"), F.any_value("bands").alias("bands")), "near-classes")
 
     in_bands = classes.df.select("class", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = in_bands.groupBy("key").agg(F.min("class").alias("pivot"), F.max("class").alias("_last")).filter("pivot < _last").select("key", "pivot")
-    members = Kept(in_bands.join(buckets, "key").select("key", "class", "n", "pivot"), "near-members")
+    sizes = in_bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = Kept(in_bands.join(sizes, "key"), "near-shared").df
+    # Copies of a text meet it in more buckets than each other, so the class with most company is a bucket's pivot.
+    company = shared.groupBy("class").agg(F.sum("m").alias("met"))
+    met = shared.join(company, "class").select("key", "class", "n", "met")
+    pivots = met.groupBy("key").agg(F.max("met").alias("met"))
+    pivots = met.join(pivots, ["key", "met"]).groupBy("key").agg(F.min("class").alias("pivot"))
+    members = Kept(shared.join(pivots, "key").select("key", "class", "n", "pivot"), "near-members")
     forget_shuffles(spark)
 
     known = members.df.filter("class != pivot")
@@ -129,19 +135,37 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     linked = F.col("both") * 100 >= F.lit(percent) * F.col("either")
     stars = Kept(_confirmed(known.select("class", "pivot").distinct(), sets.df, ("class", "pivot")).withColumn("linked", linked), "near-stars")
 
+    tree = Kept(roots(stars.df.filter("linked").select(F.col("class").alias("u"), F.col("pivot").alias("v"))), "near-tree").df
+
     slack = 1 - percent / 100 + 1e-9
     away = F.when(F.col("class") == F.col("pivot"), F.lit(0.0)).otherwise(1 - F.col("both") / F.col("either"))
-    placed = members.df.join(stars.df, ["class", "pivot"], "left").select("key", "class", "n", "pivot", away.alias("away"), F.coalesce("linked", F.lit(True)).alias("linked"))
-    failed = placed.filter(~F.col("linked")).select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("away").alias("da"))
-    other = placed.filter("class != pivot").select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("away").alias("db"), F.col("linked").alias("lb"))
+    placed = members.df.join(stars.df, ["class", "pivot"], "left").join(tree, F.col("class") == F.col("u"), "left")
+    placed = Kept(placed.select("key", "class", "n", "pivot", away.alias("away"), F.coalesce("linked", F.lit(True)).alias("linked"), F.coalesce("root", "class").alias("part")), "near-placed").df
+    split = placed.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).filter("_lo < _hi").select("key")
+    placed = placed.filter("class != pivot").join(split, "key", "left_semi")
+    failed = placed.filter(~F.col("linked")).select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("away").alias("da"), F.col("part").alias("ca"))
+    other = placed.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("away").alias("db"), F.col("linked").alias("lb"), F.col("part").alias("cb"))
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.abs(F.col("da") - F.col("db")) <= slack)
-    rest = failed.join(other, "key").filter((F.col("a") != F.col("b")) & fits & (F.col("lb") | (F.col("a") < F.col("b"))))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = failed.join(other, "key").filter((F.col("ca") != F.col("cb")) & fits & (F.col("lb") | (F.col("a") < F.col("b"))))
+    rest = Kept(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-rest").df
     others = _confirmed(rest, sets.df, ("a", "b")).filter(linked)
-
-    links = stars.df.filter("linked").select(F.col("class").alias("u"), F.col("pivot").alias("v")).union(others.select("a", "b"))
-    tree = roots(links)
+    tree = roots(tree.select("u", F.col("root").alias("v")).union(others.select("a", "b")))
     named = classes.df.select("d1", "d2", "n_shingles", "class").join(tree, F.col("class") == F.col("u"), "left").select("d1", "d2", "n_shingles", F.coalesce("root", "class").alias("component_id"))
     own = sketches.df.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One document of each component, with its own columns: the one with the smallest id.
+
+    Of rows that repeat both id and text one stays; rows that repeat just the id have one component and all stay if its
+    smallest id is theirs. Rows with null ids stay.
+    """
+    found = components(docs, k, percent, id_column=id_column, text_column=text_column)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    own = F.col(f"`{id_column}`").cast("long")
+    left = docs.join(gone, own == F.col("_gone"), "left_anti")
+    repeats = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    again = left.join(repeats, own == F.col("_again"), "left_semi").dropDuplicates([id_column, text_column])
+    return left.join(repeats, own == F.col("_again"), "left_anti").union(again.select(*left.columns))
