@@ -8,7 +8,7 @@ DataFrame operations only. A line's tokens are its words (A-Z lower-cased), as a
 2. Lines with equal sets are one class, led by its first line; later lines of a class go at once.
 3. A class posts its prefix: the first n - ceil(percent * n / 100) + 1 tokens. Classes that can match share one.
 4. Of classes that share a token, candidates are pairs that pass the length, positional and bitmap filters; the last
-   bounds the overlap by the differing bits of two 128-bit parity maps of the tokens, and is exact too. Each class is
+   bounds the overlap by the differing bits of 64-bit parity maps of the tokens, and is exact too. Each class is
    first compared with the earliest class of the token (its pivot); who matches goes and needs no other comparison. What
    is left is compared with every earlier class of the token that passes the filters. So m copies of a line with a few
    words changed cost m comparisons, and none is dropped.
@@ -28,30 +28,28 @@ from pyspark.sql import functions as F
 from skyfold.llm.common import SPACE, Kept, ascii_lower, forget_shuffles
 
 CELLS = 1 << 16
-_HASH_BITS = 57
 
 
 def tokens(line: Column) -> Column:
-    """Distinct words of a line."""
-    return F.array_distinct(F.filter(F.split(ascii_lower(line), SPACE), lambda w: w != ""))
+    """Words of a line, as often as they occur."""
+    return F.array_remove(F.split(ascii_lower(line), SPACE), "")
 
 
 def rarity(words: DataFrame) -> Column:
-    """An array literal: twice the binary logarithm of the count of the words in each hashed cell, 63 at most."""
-    cell = F.pmod(F.xxhash64("w"), F.lit(CELLS))
+    """An array literal: for each hashed cell, twice the binary logarithm of its words' count (63 at most), in bits 57 up."""
+    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1))
     counted = words.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(63), F.floor(F.log2(F.col("n") + 1) * 2)).cast("int")
     levels = [0] * CELLS
     for r in counted.select("cell", level.alias("level")).collect():  # CELLS rows at most
-        levels[r.cell] = r.level
+        levels[r.cell] = r.level << 57
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
 def keyed(words: Column, levels: Column) -> Column:
-    """The words as sorted integers, rarest first: level in the high bits, hash below."""
+    """The distinct words as sorted integers, rarest first: level in the high bits, 57 bits of the hash below."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    mask = F.lit((1 << _HASH_BITS) - 1)
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.element_at(levels, (F.pmod(h, F.lit(CELLS)) + 1).cast("int")), _HASH_BITS).bitwiseOR(h.bitwiseAND(mask)))))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.get(levels, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")) + F.shiftrightunsigned(h, 7))))
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -59,17 +57,16 @@ def _least(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-def _map(keys: Column, half: int) -> Column:
-    """Parity of the keys with bit 6 equal to half, by their low six bits."""
-    one = lambda k: F.when(F.shiftright(k, 6).bitwiseAND(F.lit(1)) == half, F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(one(k)))
+def _map(keys: Column) -> Column:
+    """Parity of the keys by their low six bits."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _may_match(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
     """Length filter; positional filter (the shared token and all after it must suffice); bitmap filter."""
     na, nb = a["n"], b["n"]
     overlap = F.ceil((na + nb) * percent / F.lit(100.0 + percent) - 1e-9)
-    differ = F.bit_count(a["m0"].bitwiseXOR(b["m0"])) + F.bit_count(a["m1"].bitwiseXOR(b["m1"]))
+    differ = F.bit_count(a["m"].bitwiseXOR(b["m"]))
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - a["p"], nb - b["p"]) >= overlap) & (na + nb - differ >= overlap * 2)
 
 
@@ -93,25 +90,29 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     n = F.size("keys").cast("long")
     kept_keys = (n - _least(n, percent) + 1).cast("int")
     hashed = keys.select("doc_id", "text_key", "line_no", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), "keys")
-    occurrences = Kept(hashed.select("doc_id", "text_key", "line_no", "d1", "d2", n.cast("int").alias("n"), F.slice("keys", F.lit(1), kept_keys).alias("prefix"), _map(F.col("keys"), 0).alias("m0"), _map(F.col("keys"), 1).alias("m1")), "line-keys")
-    own = ["n", "prefix", "m0", "m1"]
-    grouped = occurrences.df.groupBy("d1", "d2").agg(F.min(place).alias("first"), *[F.any_value(c).alias(c) for c in own])
+    prepared = Kept(hashed.select("doc_id", "text_key", "line_no", "d1", "d2", n.cast("int").alias("n"), F.slice("keys", F.lit(1), kept_keys).alias("prefix"), _map(F.col("keys")).alias("m")), "line-keys")
+    own = ["n", "prefix", "m"]
+    grouped = prepared.df.groupBy("d1", "d2").agg(F.min(place).alias("first"), *[F.any_value(c).alias(c) for c in own])
     # Class numbers follow the order of first lines; they hold once written.
     classes = Kept(grouped.repartitionByRange("first").sortWithinPartitions("first").select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", "first", *own), "line-classes")
+    occurrences = Kept(prepared.df.select("doc_id", "text_key", "line_no", "d1", "d2").join(classes.df.select("d1", "d2", "cid", "first"), ["d1", "d2"]).select("doc_id", "text_key", "line_no", "cid", (place != F.col("first")).alias("again")), "line-classed")
+    prepared.drop()
     forget_shuffles(spark)
 
-    postings = classes.df.select(F.posexplode("prefix").alias("p", "token"), "cid", "n", "m0", "m1")
-    fields = ["cid", "n", "p", "m0", "m1"]
+    size = F.shiftleft(F.col("n").cast("long"), 32) + F.col("p")
+
+    def fields(c: str) -> dict[str, Column]:
+        return {"cid": F.col(f"{c}cid"), "n": F.shiftright(F.col(f"{c}np"), 32), "p": F.col(f"{c}np").bitwiseAND(F.lit(0xFFFFFFFF)), "m": F.col(f"{c}m")}
+
+    postings = classes.df.select(F.posexplode("prefix").alias("p", "token"), "cid", "n", "m").select("token", "cid", size.alias("np"), "m")
     running = Window.partitionBy("token").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pivoted = postings.withColumn("pivot", F.first(F.struct(*fields)).over(running))
-    here, pivot = {c: F.col(c) for c in fields}, {c: F.col(f"pivot.{c}") for c in fields}
-    first_pairs = Kept(pivoted.filter((F.col("cid") != F.col("pivot.cid")) & _may_match(here, pivot, percent)).select(F.col("cid").alias("a"), F.col("pivot.cid").alias("b")).distinct(), "line-pivots")
+    pivoted = postings.withColumn("pivot", F.first(F.struct("cid", "np", "m")).over(running))
+    first_pairs = Kept(pivoted.filter((F.col("cid") != F.col("pivot.cid")) & _may_match(fields(""), fields("pivot."), percent)).select(F.col("cid").alias("a"), F.col("pivot.cid").alias("b")).distinct(), "line-pivots")
     forget_shuffles(spark)
     match = F.col("both") * 100 >= F.col("either") * percent
-    line_words = lines.select("doc_id", "text_key", "line_no", "line")
 
     def matched(pairs: DataFrame) -> DataFrame:
-        words = _words(line_words, classes.df, pairs.select("a").union(pairs.select("b")))
+        words = _words(texts, classes.df, pairs.select("a").union(pairs.select("b")), separator)
         out = Kept(_verified(pairs, words.df).filter(match).select(F.col("a").alias("cid")).distinct(), "line-matched")
         words.drop()
         forget_shuffles(spark)
@@ -119,26 +120,32 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
 
     gone = matched(first_pairs.df)
     # A class that has gone looks for nothing: no class number is below its limit. Both sides read one exchange.
-    limited = classes.df.select("cid", "prefix", "n", "m0", "m1").join(gone.withColumn("gone", F.lit(True)), "cid", "left")
-    limited = limited.select(F.posexplode("prefix").alias("p", "token"), "cid", "n", "m0", "m1", F.when(F.col("gone"), F.lit(-1).cast("long")).otherwise(F.col("cid")).alias("limit"))
+    limited = classes.df.select("cid", "prefix", "n", "m").join(gone.withColumn("gone", F.lit(True)), "cid", "left")
+    limited = limited.select(F.posexplode("prefix").alias("p", "token"), "cid", "n", "m", F.when(F.col("gone"), F.lit(-1).cast("long")).otherwise(F.col("cid")).alias("limit")).select("token", "cid", "limit", size.alias("np"), "m")
     x, y = limited.alias("x"), limited.alias("y")
-    sides = [{c: F.col(f"{side}.{c}") for c in fields} for side in "xy"]
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.cid") < F.col("x.limit")) & _may_match(*sides, percent))
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.cid") < F.col("x.limit")) & _may_match(fields("x."), fields("y."), percent))
     rest = Kept(rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), "line-rest")
     forget_shuffles(spark)
     removed = Kept(gone.union(matched(rest.df)).distinct(), "line-removed")
 
-    fate = classes.df.select("d1", "d2", "first", "cid").join(removed.df.withColumn("gone", F.lit(True)), "cid", "left").select("d1", "d2", "first", "gone")
-    marked = occurrences.df.select("doc_id", "text_key", "line_no", "d1", "d2").join(fate, ["d1", "d2"]).filter(F.coalesce("gone", F.lit(False)) | (place != F.col("first")))
+    marked = occurrences.df.join(removed.df.withColumn("gone", F.lit(True)), "cid", "left").filter(F.col("again") | F.coalesce("gone", F.lit(False)))
     return marked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("line_numbers"))
 
 
-def _words(lines: DataFrame, classes: DataFrame, wanted: DataFrame) -> Kept:
-    """cid and words of the first line of each wanted class."""
+#: Lines to be verified that are broadcast at most (about 40 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
+
+
+def _words(texts: DataFrame, classes: DataFrame, wanted: DataFrame, separator: str) -> Kept:
+    """cid and distinct words of the first line of each wanted class."""
     ids = wanted.toDF("cid").distinct()
-    where = classes.join(ids, "cid").select("cid", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"), F.col("first.line_no").alias("_no"))
-    found = lines.join(where, lines["doc_id"].eqNullSafe(where["_id"]) & (lines["text_key"] == where["_key"]) & (lines["line_no"] == where["_no"]))
-    return Kept(found.groupBy("cid").agg(F.first("line").alias("line")).select("cid", tokens(F.col("line")).alias("words")), "line-words")
+    where = Kept(classes.select("cid", "first").join(ids, "cid").select("cid", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"), F.col("first.line_no").alias("_no")), "line-places").df
+    few = where.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = F.broadcast if few else lambda df: df
+    own = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key"))
+    lists = where.groupBy("_id", "_key").agg(F.collect_list(F.struct("cid", "_no")).alias("own"))  # lines of one document
+    found = texts.join(side(lists), own).select(F.split("text", _quoted(separator), -1).alias("parts"), F.explode("own").alias("o")).select("o.cid", F.get("parts", F.col("o._no")).alias("line"))
+    return Kept(found.dropDuplicates(["cid"]).select("cid", F.array_distinct(tokens(F.col("line"))).alias("words")), "line-words")
 
 
 def _quoted(separator: str) -> str:
