@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import ascii_lower, text_bytes
+from skyfold.llm.common import ascii_lower, small_batches, text_bytes
 
 # The contract's phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -109,7 +109,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
     """doc_id, n_words, phrases (label, word) and blocks (label, line, first_word, n_words, containment)."""
     templates = TEMPLATES if templates is None else templates
     index = Index(templates, word_counts(docs, sorted({w for _, t in templates for w in t.split()}), text_column), percent)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(lambda it: _scan(it, index, PHRASES if phrases is None else phrases), _SCHEMA)
 
 

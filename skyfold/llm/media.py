@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyfold.llm.common import text_bytes
+from skyfold.llm.common import small_batches, text_bytes
 
 PACKET, BLOCK = 188, 192
 MAP_PID, DATA_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x0100, 0x06, 0xBD
@@ -218,7 +218,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_streams(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes of the text, and its transport stream."""
-    return docs.selectExpr(f"cast(`{id_column}` as bigint) doc_id", f"`{text_column}` text").mapInArrow(_write, _WRITTEN)
+    return small_batches(docs).selectExpr(f"cast(`{id_column}` as bigint) doc_id", f"`{text_column}` text").mapInArrow(_write, _WRITTEN)
 
 
 def read_streams(streams: DataFrame) -> DataFrame:

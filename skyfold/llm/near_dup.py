@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.llm import shingles
-from skyfold.llm.common import Kept, forget_shuffles
+from skyfold.llm.common import Kept, forget_shuffles, small_batches
 from skyfold.llm.components import roots
 
 BANDS, ROWS = 48, 6
@@ -111,7 +111,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     Documents are linked where 100 * intersection >= percent * union; the component is the smallest id reachable.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     sketches = Kept(texts.mapInArrow(lambda it: _sketch(it, k, bands, rows), _SKETCH), "near-sketch")
     classes = Kept(sketches.df.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class"), F.any_value("bands").alias("bands")), "near-classes")
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyfold.llm.common import worker_store
+from skyfold.llm.common import small_batches, worker_store
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -261,7 +261,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id
     ``tokenizer`` is the path of a byte-level BPE file; ``tiers`` are window sizes, longest first, powers of two.
     A sequence is as long as its tier; only the last one of a task may be partial.
     """
-    rows = docs.selectExpr(f"cast(`{id_column}` as bigint) doc_id", f"`{text_column}` text")
+    rows = small_batches(docs).selectExpr(f"cast(`{id_column}` as bigint) doc_id", f"`{text_column}` text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _packed(batches, tokenizer, tiers, end_id, group_tokens, round_tokens)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import text_bytes
+from skyfold.llm.common import small_batches, text_bytes
 
 CHUNK, HOP = 512, 448
 DIM, WIDTH, STRIDE, FILTERS = 8, 8, 4, 32
@@ -167,7 +167,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD, id_column
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _scores(net, batch.column(1))], ["doc_id", "score"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -179,7 +179,7 @@ def accept(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text_col
         for batch in batches:
             yield batch.filter(pa.array(net.score(text_bytes(batch.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def learnable(labels: DataFrame, id_column: str = "doc_id", fold: int = 2, folds: int = 4) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.llm import shingles
-from skyfold.llm.common import SPACE, Kept, ascii_lower, forget_shuffles
+from skyfold.llm.common import SPACE, Kept, ascii_lower, forget_shuffles, small_batches
 
 K, WINDOW = 5, 9
 MIN_CHAIN, MIN_WORDS, MIN_IDENTITY, GAP_COST, MARGIN, JOIN_GAP = 15, 45, 0.75, 0.3, 12, 8
@@ -234,7 +234,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_chain: int = MIN_CHAIN, min_identity: float = MIN_IDENTITY, gap_cost: float = GAP_COST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, start_word, end_word (exclusive), src_doc_id, src_start, src_end, matches, identity, score, passage_start, passage_end."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).filter("doc_id is not null")
+    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).filter("doc_id is not null")
     seeds = Kept(texts.mapInArrow(lambda it: _seeds(it, k, window), "seed long, doc_id long, pos int"), "seeds")
     repeated = seeds.df.groupBy("seed").agg(F.min("doc_id").alias("src_doc_id"), F.max("doc_id").alias("_last")).filter("src_doc_id < _last").select("seed", "src_doc_id")
     met = Kept(seeds.df.join(repeated, "seed"), "seed-matches")

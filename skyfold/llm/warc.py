@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import fresh_path, keep
+from skyfold.llm.common import fresh_path, keep, small_batches
 
 LEAST_BYTES = 100
 BLOCK_LINES = 1000
@@ -152,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha2(payload, 256).alias("digest"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha2(payload, 256).alias("digest"))
     ids = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(payload, 256).alias("digest"), F.octet_length("html").alias("n"))
     # A row for each payload that occurs again: sent to all tasks if these are few, else joined by a shuffle.
     shared = keep(ids.filter((F.col("n") >= least_bytes) & F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "warc-shared")
