@@ -9,8 +9,8 @@ hashed; 48 bands of 6 miss a pair at Jaccard 0.8 with probability 5e-7.
 3. In every bucket of a band each class is compared on full sets with the bucket's pivot: the class that meets most
    others in all its buckets, as a text does that many copies were made of. Star rounds turn links into components.
 4. Classes that fail are compared further, not dropped: all pairs of a bucket that are in different components, unless
-   their sizes do not fit or their distances to the pivot differ by more than the allowed distance (Jaccard distance
-   is a metric). Pairs inside a component need no link. So a bucket of m copies costs m comparisons.
+   their sizes do not fit or the bits in which their sets' parity maps differ leave no room for the intersection (an
+   exact bound). Pairs inside a component need no link. So a bucket of m copies costs m comparisons.
 5. The links found then complete the components.
 
 Sets are 64-bit shingle hashes of whole texts, made again only for classes that share a bucket.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.llm import shingles
@@ -34,6 +34,8 @@ from skyfold.llm.common import Kept, forget_shuffles, small_batches
 from skyfold.llm.components import roots
 
 BANDS, ROWS = 48, 6
+#: 64-bit words of a set's parity map.
+MAP_WORDS = 16
 _W = np.uint32
 
 
@@ -60,7 +62,14 @@ def signatures(values: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
     return keys
 
 
-_SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+def parity_maps(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """sets x MAP_WORDS: for each bit, whether an odd number of the set's values fall on it."""
+    n, bits = len(firsts) - 1, 64 * MAP_WORDS
+    cell = np.repeat(np.arange(n), np.diff(firsts)) * bits + (values & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8)).view(np.int64).reshape(n, MAP_WORDS)
+
+
+_SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, map array<long>"
 
 
 def _digests(values: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +90,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) ->
             full = np.flatnonzero(sizes)
             d1, d2 = _digests(values, firsts)
             keys = signatures(values, firsts[full], bands, rows) if len(full) else np.zeros((0, bands), np.uint64)
+            maps = parity_maps(values, firsts).ravel()
+            rows_of = pa.array(np.arange(0, len(maps) + 1, MAP_WORDS, dtype=np.int32))
             ends = np.concatenate([[0], np.cumsum((sizes > 0) * bands)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(sizes)], pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(sizes)], pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))), pa.ListArray.from_arrays(rows_of, pa.array(maps))], ["doc_id", "n_shingles", "d1", "d2", "bands", "map"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -113,7 +124,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     spark = docs.sparkSession
     texts = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     sketches = Kept(texts.mapInArrow(lambda it: _sketch(it, k, bands, rows), _SKETCH), "near-sketch")
-    classes = Kept(sketches.df.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class"), F.any_value("bands").alias("bands")), "near-classes")
+    classes = Kept(sketches.df.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class"), F.any_value("bands").alias("bands"), F.any_value("map").alias("map")), "near-classes")
 
     in_bands = classes.df.select("class", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     sizes = in_bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
@@ -133,20 +144,30 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
     forget_shuffles(spark)
 
     linked = F.col("both") * 100 >= F.lit(percent) * F.col("either")
-    stars = Kept(_confirmed(known.select("class", "pivot").distinct(), sets.df, ("class", "pivot")).withColumn("linked", linked), "near-stars")
+    maps = classes.df.groupBy("class").agg(F.max("n_shingles").alias("n"), F.first("map").alias("map"), F.count("*").alias("texts"))  # one row, but for ids that repeat
+
+    def mapped(a: str) -> DataFrame:
+        return maps.select(F.col("class").alias(a), F.col("n").alias(f"n_{a}"), F.col("texts").alias(f"t_{a}"), *[F.col("map")[i].alias(f"{a}{i}") for i in range(MAP_WORDS)])
+
+    def may_match(a: str, b: str) -> Column:
+        """The sizes fit, and the bits that differ leave room for the intersection; ids with several texts pass."""
+        total = F.col(f"n_{a}") + F.col(f"n_{b}")
+        differ = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(1, MAP_WORDS)), F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))))
+        sizes = F.least(f"n_{a}", f"n_{b}") * 100 >= F.greatest(f"n_{a}", f"n_{b}") * percent
+        # intersection <= (total - differ) / 2, and 100 * intersection >= percent * (total - intersection)
+        return (sizes & ((total - differ) * (100 + percent) >= total * 2 * percent)) | (F.col(f"t_{a}") > 1) | (F.col(f"t_{b}") > 1)
 
+    near = known.select("class", "pivot").distinct().join(mapped("class"), "class").join(mapped("pivot"), "pivot").filter(may_match("class", "pivot")).select("class", "pivot")
+    stars = Kept(_confirmed(near, sets.df, ("class", "pivot")).withColumn("linked", linked), "near-stars")
     tree = Kept(roots(stars.df.filter("linked").select(F.col("class").alias("u"), F.col("pivot").alias("v"))), "near-tree").df
 
-    slack = 1 - percent / 100 + 1e-9
-    away = F.when(F.col("class") == F.col("pivot"), F.lit(0.0)).otherwise(1 - F.col("both") / F.col("either"))
-    placed = members.df.join(stars.df, ["class", "pivot"], "left").join(tree, F.col("class") == F.col("u"), "left")
-    placed = Kept(placed.select("key", "class", "n", "pivot", away.alias("away"), F.coalesce("linked", F.lit(True)).alias("linked"), F.coalesce("root", "class").alias("part")), "near-placed").df
+    placed = members.df.join(stars.df.select("class", "pivot", "linked"), ["class", "pivot"], "left").join(tree, F.col("class") == F.col("u"), "left")
+    placed = Kept(placed.select("key", "class", "pivot", F.coalesce("linked", F.col("class") == F.col("pivot")).alias("linked"), F.coalesce("root", "class").alias("part")), "near-placed").df
     split = placed.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).filter("_lo < _hi").select("key")
-    placed = placed.filter("class != pivot").join(split, "key", "left_semi")
-    failed = placed.filter(~F.col("linked")).select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("away").alias("da"), F.col("part").alias("ca"))
-    other = placed.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("away").alias("db"), F.col("linked").alias("lb"), F.col("part").alias("cb"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.abs(F.col("da") - F.col("db")) <= slack)
-    rest = failed.join(other, "key").filter((F.col("ca") != F.col("cb")) & fits & (F.col("lb") | (F.col("a") < F.col("b"))))
+    placed = placed.filter("class != pivot").join(split, "key", "left_semi").select("key", "class", "linked", "part")
+    failed = placed.filter(~F.col("linked")).select("key", F.col("class").alias("a"), F.col("part").alias("pa")).join(mapped("a"), "a")
+    other = placed.select("key", F.col("class").alias("b"), F.col("part").alias("pb"), F.col("linked").alias("lb")).join(mapped("b"), "b")
+    rest = failed.join(other, "key").filter((F.col("pa") != F.col("pb")) & (F.col("lb") | (F.col("a") < F.col("b"))) & may_match("a", "b"))
     rest = Kept(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-rest").df
     others = _confirmed(rest, sets.df, ("a", "b")).filter(linked)
     tree = roots(tree.select("u", F.col("root").alias("v")).union(others.select("a", "b")))
