@@ -46,7 +46,8 @@ def sql() -> dict[str, str | tuple[str, str]]:
     kalman = {c: now[c] for c in X.STATE} | {"znorm": f"{now['e']}/sqrt({now['v']})"}
     running = "rows between unbounded preceding and current row"
     z = "select pix, event_id, k, cast(round((y-1e0)*1e3) as bigint) z from (select pix, event_id, y, row_number() over (partition by pix order by t, event_id) k from lightcurve) s"
-    glr = ", ".join(f"pow(cast(sum(z) over (partition by pix order by k rows between {n - 1} preceding and current row) as bigint)*1e0,2)/{2 * n}e0" for n in (1, 2, 4, 8, 16))
+    last = {n: f"(cast(sum(z) over (partition by pix order by k rows between {n - 1} preceding and current row) as bigint)*1e0)" for n in (1, 2, 4, 8, 16)}
+    glr = ", ".join(f"{w}*{w}/{2 * n}e0" for n, w in last.items())  # squares of whole numbers over powers of two: exact
     return {
         "frame_has_observation": (f"select frame, {OBS} ok from ({blank}) q group by frame", f"select frame, {OBS_DUCK} ok from ({blank}) q group by frame"),
         "iwp_transition": f"select event_id, {R('dt')} a01, {_list({'q00': f'{SIGMA2}*dt*dt*dt/3e0', 'q01': f'{SIGMA2}*dt*dt/2e0', 'q11': f'{SIGMA2}*dt'}, 10)} from ({_STEP}) q",
@@ -61,5 +62,5 @@ def sql() -> dict[str, str | tuple[str, str]]:
         "nis": f"select pix, event_id, {R('s/(1e6*n)', 8)} nis from (select pix, event_id, cast(sum(z*z) over (partition by pix order by k rows between 7 preceding and current row) as bigint)*1e0 s, count(*) over (partition by pix order by k rows between 7 preceding and current row) n from ({z}) q) w",
         "evidence": f"select pix, event_id, {R(f'sum(-5e-1*(ln(2e0*pi()*2e-1)+(z*1e-3)*(z*1e-3)/2e-1)) over (partition by pix order by k {running})', 3)} evidence from ({z}) q",
         "cusum": f"select pix, event_id, cast(s-least(0,min(s) over (partition by pix order by k {running})) as bigint) g from (select pix, event_id, k, cast(sum(z-250) over (partition by pix order by k {running}) as bigint) s from ({z}) q) w",
-        "glr": f"select pix, event_id, {R(f'greatest({glr})*1e-6', 6)} glr from ({z}) q",
+        "glr": f"select pix, event_id, greatest({glr})*1e-6 glr from ({z}) q",
     }
