@@ -99,12 +99,13 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     prepared.drop()
     forget_shuffles(spark)
 
-    size = F.shiftleft(F.col("n").cast("long"), 32) + F.col("p")
-
     def fields(c: str) -> dict[str, Column]:
-        return {"cid": F.col(f"{c}cid"), "n": F.shiftright(F.col(f"{c}np"), 32), "p": F.col(f"{c}np").bitwiseAND(F.lit(0xFFFFFFFF)), "m": F.col(f"{c}m")}
+        """From a posting: n in bits 32 up, p below."""
+        return {"n": F.shiftright(F.col(f"{c}np"), 32), "p": F.col(f"{c}np").bitwiseAND(F.lit(0xFFFFFFFF)), "m": F.col(f"{c}m")}
 
-    postings = classes.df.select(F.posexplode("prefix").alias("p", "token"), "cid", "n", "m").select("token", "cid", size.alias("np"), "m")
+    # Postings carry 32 bits of a token: enough to meet, as two tokens that share them only add a candidate.
+    token, size = F.hash("token").alias("token"), F.shiftleft(F.col("n").cast("long"), 32) + F.col("p")
+    postings = classes.df.select(F.posexplode("prefix").alias("p", "token"), "cid", "n", "m").select(token, "cid", size.alias("np"), "m")
     running = Window.partitionBy("token").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pivoted = postings.withColumn("pivot", F.first(F.struct("cid", "np", "m")).over(running))
     first_pairs = Kept(pivoted.filter((F.col("cid") != F.col("pivot.cid")) & _may_match(fields(""), fields("pivot."), percent)).select(F.col("cid").alias("a"), F.col("pivot.cid").alias("b")).distinct(), "line-pivots")
@@ -119,12 +120,15 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
         return out.df
 
     gone = matched(first_pairs.df)
-    # A class that has gone looks for nothing: no class number is below its limit. Both sides read one exchange.
-    limited = classes.df.select("cid", "prefix", "n", "m").join(gone.withColumn("gone", F.lit(True)), "cid", "left")
-    limited = limited.select(F.posexplode("prefix").alias("p", "token"), "cid", "n", "m", F.when(F.col("gone"), F.lit(-1).cast("long")).otherwise(F.col("cid")).alias("limit")).select("token", "cid", "limit", size.alias("np"), "m")
-    x, y = limited.alias("x"), limited.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.cid") < F.col("x.limit")) & _may_match(fields("x."), fields("y."), percent))
-    rest = Kept(rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), "line-rest")
+    # A class that has gone looks for nothing: its number is turned negative, so no class is before it.
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    flags = gone.withColumn("gone", F.lit(True))
+    flagged = classes.df.select("cid", "prefix", "n", "m").join(F.broadcast(flags) if few else flags, "cid", "left")
+    flagged = flagged.select(F.posexplode("prefix").alias("p", "token"), F.when(F.col("gone"), -1 - F.col("cid")).otherwise(F.col("cid")).alias("id"), "n", "m").select(token, "id", size.alias("np"), "m")
+    x, y = flagged.alias("x"), flagged.alias("y")
+    number = F.when(F.col("y.id") < 0, -1 - F.col("y.id")).otherwise(F.col("y.id"))
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (number < F.col("x.id")) & _may_match(fields("x."), fields("y."), percent)).select(F.col("x.id").alias("a"), number.alias("b"))
+    rest = Kept(rest.distinct(), "line-rest")
     forget_shuffles(spark)
     removed = Kept(gone.union(matched(rest.df)).distinct(), "line-removed")
 
