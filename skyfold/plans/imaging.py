@@ -28,11 +28,11 @@ def dirty(rows: str = ROWS, pix: str = "pix", keys: str = "frame, pix") -> str:
 
 
 def dirty_beam(freqs: tuple[str, ...] = (FREQ,)) -> str:
-    """With the power beam of each channel inside the sum; weights add up over channels."""
-    both = " union all ".join(f"select * from ({phases(ROWS, 'pix', f)}) c{i}" for i, f in enumerate(freqs))
-    beam = X.airy_power("mu", "nu")
-    return f"""select frame, pix, case when sum(w)=0e0 then 0e0 else sum(w*beam*(re*cos(ph)+im*sin(ph)))/sum(w) end dirty
-from (select f.frame, pix, re, im, w, ph, {beam} beam from (select k.*, x*zx+y*zy+z*zz mu from ({both}) k join ({ZEN}) zen on k.frame=zen.frame) f) g group by frame, pix"""
+    """With the power beam of each channel; weights add up over channels."""
+    sums = " union all ".join(f"select frame, pix, {f} nu, sum(w) sw, sum(w*(re*cos(ph)+im*sin(ph))) num from ({phases(ROWS, 'pix', f)}) c{i} group by frame, pix" for i, f in enumerate(freqs))
+    # The beam belongs to a frame, a pixel and a channel, so it is evaluated on the sums and not on every row.
+    return f"""select frame, pix, case when sum(sw)=0e0 then 0e0 else sum(num*{X.airy_power('mu', 'nu')})/sum(sw) end dirty
+from (select s.frame, s.pix, nu, sw, num, p.x*zx+p.y*zy+p.z*zz mu from ({sums}) s join pix p on p.pix=s.pix join ({ZEN}) zen on s.frame=zen.frame) g group by frame, pix"""
 
 
 def mfs() -> str:
