@@ -112,7 +112,7 @@ def sql() -> dict[str, str | tuple[str, str]]:
     for name, spark, duck in (("time_unix", micros["spark"], micros["duckdb"]),):
         out[name] = (f"select event_id, {R(f'{spark}/1e6', 6)} t from events", f"select event_id, {R(f'{duck}/1e6', 6)} t from events")
     out["time_format"] = (f"select event_id, {iso['spark']} datestr, {utc['spark']} label from events", f"select event_id, {iso['duckdb']} datestr, {utc['duckdb']} label from events")
-    js = "'{\"name\":\"tart\",\"frequency\":'||cast(1575420000+n_nationkey as string)||',\"lat\":-20.25,\"num_antenna\":'||cast(n_nationkey as string)||'}'"
+    js = "'{\"name\":\"array\",\"frequency\":'||cast(1575420000+n_nationkey as string)||',\"lat\":-20.25,\"num_antenna\":'||cast(n_nationkey as string)||'}'"
     out["config_parse"] = (
         f"select k, c.name, c.frequency, c.lat, c.num_antenna from (select n_nationkey k, from_json({js}, 'name string, frequency double, lat double, num_antenna bigint') c from nation) q",
         f"select k, c->>'name' name, cast(c->>'frequency' as double) frequency, cast(c->>'lat' as double) lat, cast(c->>'num_antenna' as bigint) num_antenna from (select n_nationkey k, cast({js} as json) c from nation) q",

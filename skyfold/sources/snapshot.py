@@ -1,4 +1,4 @@
-"""Raw snapshots as a data source: ``spark.read.format("snapshot").load(folder)``.
+"""Raw snapshots, read as files that any store of Spark may hold.
 
 A snapshot is a JSON file (one a minute of data) with the fields of the raw format: config (a JSON string), timestamp,
 baselines, vis as [re, im] pairs, gains, phases. Each file is a partition; a row is one baseline of one time. Baselines
