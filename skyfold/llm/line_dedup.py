@@ -8,7 +8,7 @@ DataFrame operations only. A line's tokens are its words (A-Z lower-cased), as a
 2. Lines with equal sets are one class, led by its first line; later lines of a class go at once.
 3. A class posts its prefix: the first n - ceil(percent * n / 100) + 1 tokens. Classes that can match share one.
 4. Of classes that share a token, candidates are pairs that pass the length, positional and bitmap filters; the last
-   bounds the overlap by the differing bits of 64-bit parity maps of the tokens, and is exact too. Each class is
+   bounds the overlap by the differing bits of 128-bit parity maps of the tokens, and is exact too. Each class is
    first compared with the earliest class of the token (its pivot); who matches goes and needs no other comparison. What
    is left is compared with every earlier class of the token that passes the filters. So m copies of a line with a few
    words changed cost m comparisons, and none is dropped.
@@ -57,16 +57,21 @@ def _least(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-def _map(keys: Column) -> Column:
-    """Parity of the keys by their low six bits."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+def _maps(keys: Column) -> tuple[Column, Column]:
+    """Parity of the keys by their low six bits: of all of them, and of those whose bit 6 is set."""
+
+    def folded(bit) -> Column:
+        return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return folded(lambda k: F.lit(1).cast("long")), folded(lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)))
 
 
 def _may_match(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
     """Length filter; positional filter (the shared token and all after it must suffice); bitmap filter."""
     na, nb = a["n"], b["n"]
     overlap = F.ceil((na + nb) * percent / F.lit(100.0 + percent) - 1e-9)
-    differ = F.bit_count(a["m"].bitwiseXOR(b["m"]))
+    upper = a["m1"].bitwiseXOR(b["m1"])
+    differ = F.bit_count(upper) + F.bit_count(a["m"].bitwiseXOR(b["m"]).bitwiseXOR(upper))
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - a["p"], nb - b["p"]) >= overlap) & (na + nb - differ >= overlap * 2)
 
 
@@ -90,8 +95,9 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     n = F.size("keys").cast("long")
     kept_keys = (n - _least(n, percent) + 1).cast("int")
     hashed = keys.select("doc_id", "text_key", "line_no", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), "keys")
-    prepared = Kept(hashed.select("doc_id", "text_key", "line_no", "d1", "d2", n.cast("int").alias("n"), F.slice("keys", F.lit(1), kept_keys).alias("prefix"), _map(F.col("keys")).alias("m")), "line-keys")
-    own = ["n", "prefix", "m"]
+    whole, half = _maps(F.col("keys"))
+    prepared = Kept(hashed.select("doc_id", "text_key", "line_no", "d1", "d2", n.cast("int").alias("n"), F.slice("keys", F.lit(1), kept_keys).alias("prefix"), whole.alias("m"), half.alias("m1")), "line-keys")
+    own = ["n", "prefix", "m", "m1"]
     grouped = prepared.df.groupBy("d1", "d2").agg(F.min(place).alias("first"), *[F.any_value(c).alias(c) for c in own])
     # Class numbers follow the order of first lines; they hold once written.
     classes = Kept(grouped.repartitionByRange("first").sortWithinPartitions("first").select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", "first", *own), "line-classes")
@@ -101,13 +107,13 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
 
     def fields(c: str) -> dict[str, Column]:
         """From a posting: n in bits 32 up, p below."""
-        return {"n": F.shiftright(F.col(f"{c}np"), 32), "p": F.col(f"{c}np").bitwiseAND(F.lit(0xFFFFFFFF)), "m": F.col(f"{c}m")}
+        return {"n": F.shiftright(F.col(f"{c}np"), 32), "p": F.col(f"{c}np").bitwiseAND(F.lit(0xFFFFFFFF)), "m": F.col(f"{c}m"), "m1": F.col(f"{c}m1")}
 
     # Postings carry 32 bits of a token: enough to meet, as two tokens that share them only add a candidate.
     token, size = F.hash("token").alias("token"), F.shiftleft(F.col("n").cast("long"), 32) + F.col("p")
-    postings = classes.df.select(F.posexplode("prefix").alias("p", "token"), "cid", "n", "m").select(token, "cid", size.alias("np"), "m")
+    postings = classes.df.select(F.posexplode("prefix").alias("p", "token"), "cid", "n", "m", "m1").select(token, "cid", size.alias("np"), "m", "m1")
     running = Window.partitionBy("token").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pivoted = postings.withColumn("pivot", F.first(F.struct("cid", "np", "m")).over(running))
+    pivoted = postings.withColumn("pivot", F.first(F.struct("cid", "np", "m", "m1")).over(running))
     first_pairs = Kept(pivoted.filter((F.col("cid") != F.col("pivot.cid")) & _may_match(fields(""), fields("pivot."), percent)).select(F.col("cid").alias("a"), F.col("pivot.cid").alias("b")).distinct(), "line-pivots")
     forget_shuffles(spark)
     match = F.col("both") * 100 >= F.col("either") * percent
@@ -123,8 +129,8 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     # A class that has gone looks for nothing: its number is turned negative, so no class is before it.
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     flags = gone.withColumn("gone", F.lit(True))
-    flagged = classes.df.select("cid", "prefix", "n", "m").join(F.broadcast(flags) if few else flags, "cid", "left")
-    flagged = flagged.select(F.posexplode("prefix").alias("p", "token"), F.when(F.col("gone"), -1 - F.col("cid")).otherwise(F.col("cid")).alias("id"), "n", "m").select(token, "id", size.alias("np"), "m")
+    flagged = classes.df.select(*own, "cid").join(F.broadcast(flags) if few else flags, "cid", "left")
+    flagged = flagged.select(F.posexplode("prefix").alias("p", "token"), F.when(F.col("gone"), -1 - F.col("cid")).otherwise(F.col("cid")).alias("id"), "n", "m", "m1").select(token, "id", size.alias("np"), "m", "m1")
     x, y = flagged.alias("x"), flagged.alias("y")
     number = F.when(F.col("y.id") < 0, -1 - F.col("y.id")).otherwise(F.col("y.id"))
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (number < F.col("x.id")) & _may_match(fields("x."), fields("y."), percent)).select(F.col("x.id").alias("a"), number.alias("b"))
