@@ -9,6 +9,10 @@
 4. Chains are aligned: between segments by word edit distance, beyond their ends by an x-drop extension.
 5. Aligned chains of a document that touch or overlap make a passage, whatever their sources. Passages of at least
    ``min_words`` words are the result, one row for each chain.
+6. A source that shares only a short stretch may be the smallest for each seed of a passage. So pairs of seeds MIN_CHAIN
+   - k to 2 (k + window) words apart, which no aligned chain spans, are joined with the same pair of seeds, at the same
+   distance, in the smallest doc_id that has it, and steps 3 and 4 run on these matches; pairs still open are joined
+   with every smaller doc_id that has them. Any MIN_CHAIN words on one diagonal (a segment of step 3) hold such a pair.
 
 Defined results: null and empty texts have no seeds; rows with null ids take no part; rows that repeat an id are one
 document, which is not compared with itself (so repeats inside a document are not reported); an empty table gives no
@@ -85,6 +89,99 @@ def segments(pos: np.ndarray, src: np.ndarray, k: int, gap: int) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
+def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, pos, end, seed) sorted by doc_id, where a null seed marks a covered stretch: seeds of a document that are
+    ``low`` to ``high`` words apart, and whether no covered stretch holds both."""
+    names = ["key", "doc_id", "pos", "apart", "open"]
+
+    def finish(doc: np.ndarray, pos: np.ndarray, end: np.ndarray, seed: np.ndarray, is_seed: np.ndarray) -> pa.RecordBatch:
+        place = (np.cumsum(np.append(False, doc[1:] != doc[:-1])) << 32) + pos
+        spans = np.flatnonzero(~is_seed)
+        spans = spans[np.argsort(place[spans], kind="stable")]
+        reach = np.append(-1, np.maximum.accumulate(place[spans] - pos[spans] + end[spans]))
+        own = np.flatnonzero(is_seed)
+        own = own[np.argsort(place[own], kind="stable")]
+        at, doc, pos, seed = place[own], doc[own], pos[own], seed[own]
+        reached = reach[np.searchsorted(place[spans], at, "right")]
+        out, s = [], 1
+        while s < len(at) and ((apart := at[s:] - at[:-s]) <= high).any():
+            i = np.flatnonzero((apart >= low) & (apart <= high))
+            key = (seed[i] * np.uint64(0x9E3779B97F4A7C15)) ^ ((seed[i + s] ^ (seed[i + s] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) ^ (apart[i].astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+            out.append((key.view(np.int64), doc[i], pos[i].astype(np.int32), apart[i].astype(np.int32), reached[i] < at[i + s] + k))
+            s += 1
+        kinds = [np.int64, np.int64, np.int32, np.int32, bool]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if out else np.empty(0, t)) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names)
+
+    held: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seed = batch.column(3)
+        rows = (*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)), seed.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), seed.is_valid().to_numpy(zero_copy_only=False))
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last document may go on
+        if held and cut == 0 and held[-1][0][-1] == rows[0][0]:
+            held.append(rows)
+            continue
+        if held or cut:
+            done = [*held, tuple(c[:cut] for c in rows)]
+            yield finish(*(np.concatenate(c) for c in zip(*done, strict=True)))
+        held = [tuple(c[cut:] for c in rows)]
+    if held:
+        yield finish(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def _meet(batches: Iterator[pa.RecordBatch], every: bool, at_once: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Rows of _pairs sorted by (key, doc_id, pos): both seeds of each open pair with those of the smallest doc_id that has the
+    key, or of ``every`` smaller doc_id.
+
+    Places of a key at steps of MAX_GAP words or less in a document are one run; the places of two runs meet in order,
+    beginning again where the source's run ends.
+    """
+
+    def finish(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, apart: np.ndarray, is_open: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(key)
+        new_key = np.append(True, key[1:] != key[:-1])
+        new_doc = new_key | np.append(True, doc[1:] != doc[:-1])
+        starts = np.flatnonzero(new_doc | np.append(True, pos[1:] - pos[:-1] > MAX_GAP))
+        sizes = np.diff(np.append(starts, n))
+        run = np.repeat(np.arange(len(starts)), sizes)
+        row = np.arange(n)
+        key_at, doc_at = np.maximum.accumulate(np.where(new_key, row, 0)), np.maximum.accumulate(np.where(new_doc, row, 0))
+        first, last = run[key_at], run[doc_at]
+        if not every:
+            second = np.append(np.flatnonzero(new_doc), n)
+            last = np.minimum(last, np.append(run, len(starts))[second[np.searchsorted(second, key_at, "right")]])
+        later = np.flatnonzero(is_open & (doc_at > key_at))
+        many = last[later] - first[later]
+        ends = np.cumsum(many)
+        lo = 0
+        while lo < len(later):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + at_once, "right")))
+            m = many[lo:hi]
+            mine = np.repeat(later[lo:hi], m)
+            of = np.arange(len(mine)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[later[lo:hi]], m)
+            other = starts[of] + (mine - starts[run[mine]]) % sizes[of]
+            step = np.stack([np.zeros_like(apart[mine]), apart[mine]], 1)
+            columns = (np.repeat(doc[mine], 2), np.repeat(doc[other], 2), (pos[mine][:, None] + step).ravel(), (pos[other][:, None] + step).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "src_doc_id", "pos", "src"])
+            lo = hi
+
+    held: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
+        if held and cut == 0 and held[-1][0][-1] == rows[0][0]:
+            held.append(rows)
+            continue
+        if held or cut:
+            yield from finish(*(np.concatenate(c) for c in zip(*held, tuple(c[:cut] for c in rows), strict=True)))
+        held = [tuple(c[cut:] for c in rows)]
+    if held:
+        yield from finish(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
 class Fenwick:
     """Largest (value, item) over a prefix."""
 
@@ -242,15 +339,7 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     forget_shuffles(spark)
     sources = met.df.filter("doc_id = src_doc_id").groupBy("seed").agg(F.min("pos").alias("src"))
     matches = met.df.filter("doc_id != src_doc_id").join(sources, "seed").select("doc_id", "src_doc_id", "pos", "src")
-    ordered = matches.repartition("doc_id", "src_doc_id").sortWithinPartitions("doc_id", "src_doc_id")
     gap = 2 * (k + window)
-    linked = Kept(ordered.mapInArrow(lambda it: _chain(it, k, gap, gap_cost, min_chain), _CHAINS), "seed-chains")
-    met.drop()
-    forget_shuffles(spark)
-
-    ids = linked.df.select("doc_id").union(linked.df.select("src_doc_id")).distinct()
-    needed = Kept(texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "chain-texts")
-    forget_shuffles(spark)
     words = F.filter(F.split(ascii_lower(F.col("text")), SPACE), lambda w: w != "")
 
     def cut(first: str, begin: str):
@@ -258,15 +347,38 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
         last = F.element_at("parts", -1)
         return F.slice(words, F.col(first) + 1, last[begin] + last["length"] - F.col(first) + MARGIN)
 
-    here = linked.df.withColumn("a0", F.greatest(F.lit(0), F.col("parts")[0]["start"] - MARGIN)).withColumn("b0", F.greatest(F.lit(0), F.col("parts")[0]["src"] - MARGIN))
-    here = here.join(needed.df, "doc_id").withColumn("a", cut("a0", "start")).drop("text")
-    here = here.join(needed.df.withColumnRenamed("doc_id", "src_doc_id"), "src_doc_id").withColumn("b", cut("b0", "src")).drop("text")
-    aligned = here.select("doc_id", "src_doc_id", "score", "parts", "a0", "b0", "a", "b").mapInArrow(_align, _ALIGNED)
-    aligned = aligned.withColumn("identity", F.col("matches") / F.greatest(F.col("end_word") - F.col("start_word"), F.col("src_end") - F.col("src_start"))).filter(F.col("identity") >= min_identity)
+    def aligned(matches: DataFrame, name: str) -> Kept:
+        ordered = matches.repartition("doc_id", "src_doc_id").sortWithinPartitions("doc_id", "src_doc_id")
+        linked = Kept(ordered.mapInArrow(lambda it: _chain(it, k, gap, gap_cost, min_chain), _CHAINS), f"{name}-chains")
+        forget_shuffles(spark)
+        ids = linked.df.select("doc_id").union(linked.df.select("src_doc_id")).distinct()
+        needed = Kept(texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), f"{name}-texts")
+        forget_shuffles(spark)
+        here = linked.df.withColumn("a0", F.greatest(F.lit(0), F.col("parts")[0]["start"] - MARGIN)).withColumn("b0", F.greatest(F.lit(0), F.col("parts")[0]["src"] - MARGIN))
+        here = here.join(needed.df, "doc_id").withColumn("a", cut("a0", "start")).drop("text")
+        here = here.join(needed.df.withColumnRenamed("doc_id", "src_doc_id"), "src_doc_id").withColumn("b", cut("b0", "src")).drop("text")
+        rows = here.select("doc_id", "src_doc_id", "score", "parts", "a0", "b0", "a", "b").mapInArrow(_align, _ALIGNED)
+        identity = F.col("matches") / F.greatest(F.col("end_word") - F.col("start_word"), F.col("src_end") - F.col("src_start"))
+        out = Kept(rows.withColumn("identity", identity).filter(F.col("identity") >= min_identity), f"{name}-aligned")
+        needed.drop()
+        linked.drop()
+        forget_shuffles(spark)
+        return out
+
+    found = aligned(matches, "seed").df
+    for every in (False, True):
+        stretches = found.selectExpr("doc_id", "cast(start_word as int) pos", "cast(end_word as int) end", "cast(null as long) seed")
+        places = met.df.selectExpr("doc_id", "pos", "pos end", "seed").union(stretches)
+        pairs = places.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: _pairs(it, k, min_chain - k, gap), "key long, doc_id long, pos int, apart int, open boolean")
+        ordered = pairs.repartition("key").sortWithinPartitions("key", "doc_id", "pos")
+        more = ordered.mapInArrow(lambda it, every=every: _meet(it, every), "doc_id long, src_doc_id long, pos int, src int")
+        found = found.union(aligned(more, "pair").df)
+    met.drop()
+    found = found.distinct()
 
     by_start = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "src_doc_id", "src_start")
     reach = F.max("end_word").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start_word") <= F.col("_reach") + JOIN_GAP, 0).otherwise(1)).over(by_start)
     whole = Window.partitionBy("doc_id", "_island")
-    marked = aligned.withColumn("_reach", reach).withColumn("_island", island).withColumn("passage_start", F.min("start_word").over(whole)).withColumn("passage_end", F.max("end_word").over(whole))
+    marked = found.withColumn("_reach", reach).withColumn("_island", island).withColumn("passage_start", F.min("start_word").over(whole)).withColumn("passage_end", F.max("end_word").over(whole))
     return marked.filter(F.col("passage_end") - F.col("passage_start") >= min_words).drop("_reach", "_island")

@@ -140,6 +140,22 @@ def test_passages_find_shared_runs_and_leave_others(spark):
         assert r.identity >= 0.75 and r.passage_end - r.passage_start >= 45 and set(texts[r.doc_id][r.start_word : r.end_word]) & set(shared)
 
 
+def test_passages_whose_seeds_smaller_documents_hold_in_short_stretches(spark):
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    shared = [word() for _ in range(60)]
+    # every 5-gram of the passage stands in an earlier document, in stretches of 9 words that are too short for a chain
+    rows = [(i, " ".join([word() for _ in range(30)] + shared[at : at + 9] + [word() for _ in range(30)]), "s") for i, at in enumerate(range(0, 56, 5))]
+    rows += [(i, " ".join([word() for _ in range(40)] + shared + [word() for _ in range(40)]), "s") for i in (100, 101)]
+    # the source's own first places of the seeds are short stretches as well
+    apart = [w for at in range(0, 56, 5) for w in [*(word() for _ in range(70)), *shared[at : at + 9]]]
+    out = substring_dedup.passages(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.src_doc_id) for r in out} == {(101, 100)} and all(r.start_word <= 42 and r.end_word >= 98 for r in out)
+    rows[-2] = (100, " ".join([*apart, *(word() for _ in range(70)), *shared]), "s")
+    out = substring_dedup.passages(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.src_doc_id) for r in out} == {(101, 100)} and max(r.end_word - r.start_word for r in out) >= 56
+
+
 def test_passages_of_odd_rows(odd, none):
     rows = substring_dedup.passages(odd).collect()
     assert {(r.doc_id, r.src_doc_id) for r in rows} == {(8, 7)} and max(r.end_word for r in rows) == 30001
