@@ -42,18 +42,18 @@ def mfs() -> str:
 
 DIRTY = dirty()
 FORWARD = f"select r.frame, r.a1, r.a2, sum(val*cos(ph)) re, sum(val*sin(ph)) im from (select h.frame, a1, a2, pix, {X.phase(_b, _s, FREQ)} ph from ({ROWS}) h cross join pix2) r join maps48 m on m.frame=r.frame and m.pix=r.pix group by r.frame, r.a1, r.a2"
-_small = f"select frame, a1, a2, w, pix, {X.phase(_b, _s, FREQ)} ph from (select * from ({ROWS}) t0 where frame<4) t1 cross join pix2"
+_small = f"select frame, a1, a2, w, pix, {X.phase(_b, _s, FREQ)} ph from ({ROWS}) t1 cross join pix2"
 
 
-def hessian(x: str, frames: str = "frame<4") -> str:
+def hessian(x: str) -> str:
     """H x for maps x(frame, pix, val): forward, weight, adjoint; two chained sums over one phase table."""
     fwd = f"select k.frame, k.a1, k.a2, sum(m.val*cos(ph)) re, sum(m.val*sin(ph)) im from ({_small}) k join ({x}) m on m.frame=k.frame and m.pix=k.pix group by k.frame, k.a1, k.a2"
     return f"select k.frame, k.pix, sum(k.w*(f.re*cos(k.ph)+f.im*sin(k.ph))) val from ({_small}) k join ({fwd}) f on f.frame=k.frame and f.a1=k.a1 and f.a2=k.a2 group by k.frame, k.pix"
 
 
 ETA = "1e-2"
-_B = f"select frame, pix, sum(w*(re*cos(ph)+im*sin(ph))) val from ({phases(f'select * from ({ROWS}) t0 where frame<4', 'pix2')}) q group by frame, pix"
-_L = f"select frame, {ETA}*sum(w) lam from ({ROWS}) q where frame<4 group by frame"
+_B = f"select frame, pix, sum(w*(re*cos(ph)+im*sin(ph))) val from ({phases(ROWS, 'pix2')}) q group by frame, pix"
+_L = f"select frame, {ETA}*sum(w) lam from ({ROWS}) q group by frame"
 
 
 def _cg_steps(n: int) -> str:
@@ -98,8 +98,8 @@ def _jones(v: list[Cx]) -> str:
 
 
 #: Unflagged rows of a Stokes-imaged frame: eight correlations on the zenith baselines.
-_LM = """select v.frame, p.e-q.e u, p.n-q.n v_, p.u-q.u w_, v.re, v.im, v.w from vis v join ant p on p.a=v.a1 join ant q on q.a=v.a2 where v.frame<4"""
-_GRID = "select a.a i, b.a j, (a.a-6)*2e-2 x, (b.a-6)*2e-2 y from ant a cross join ant b where a.a<12 and b.a<12"
+_LM = """select v.frame, p.e-q.e u, p.n-q.n v_, p.u-q.u w_, v.re, v.im, v.w from vis v join ant p on p.a=v.a1 join ant q on q.a=v.a2"""
+_GRID = "select a.a i, b.a j, (a.a-12)*2e-2 x, (b.a-12)*2e-2 y from ant a cross join ant b"
 _lmph = f"(2e0*pi()*({FREQ}/{X.C})*(x*u+y*v_-w_*n1))"
 LM = f"""select frame, i, j, sum(w*(si*cos({_lmph})-sq*sin({_lmph})))/max(n) stokes_i, sum(w*(di*cos({_lmph})-dq*sin({_lmph})))/max(n) stokes_q
 from (select frame, i, j, x, y, -e/(sqrt(1e0-e)+1e0) n1, sqrt(1e0-e) n, u, v_, w_, w, (re+re*9e-1)*5e-1 si, (im+im*9e-1)*5e-1 sq, (re-re*9e-1)*5e-1 di, (im-im*9e-1)*5e-1 dq

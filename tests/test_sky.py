@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from skyfold.fixtures import register, with_views
 from skyfold.operators.filter import START, step
 from skyfold.operators.pixels import centres, corners
 from skyfold.operators.solve import cg, tikhonov
@@ -31,6 +32,30 @@ def test_query_equals_its_sql(spark, sf, name):
     assert rows(got.collect()) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["hessian_diag", "hessian_matvec", "cg_step", "cg_two_steps", "lm_dirty_stokes", "cube_writer"])
+def test_imaging_keeps_every_frame(spark, sf, name):
+    register(spark, sf)
+    want = {r.frame for r in spark.sql(with_views("select distinct frame from vis", "spark")).collect()}
+    assert len(want) == 16 and {r.frame for r in entry.queries()[name](spark, sf).select("frame").distinct().collect()} == want
+
+
+def test_stokes_images_equal_numpy_on_the_whole_grid(spark, sf):
+    register(spark, sf)
+    vis = spark.sql(with_views("select v.frame, p.e-q.e u, p.n-q.n v, p.u-q.u w_, v.re, v.im, v.w from vis v join ant p on p.a=v.a1 join ant q on q.a=v.a2", "spark")).toPandas()
+    i, j = np.divmod(np.arange(576), 24)
+    x, y = (i - 12) * 0.02, (j - 12) * 0.02
+    n = np.sqrt(1 - x * x - y * y)
+    frames = {}
+    for frame, r in vis.groupby("frame"):
+        ph = 2 * np.pi * 1575420000.0 / 299792458.0 * (np.outer(x, r.u) + np.outer(y, r.v) - np.outer(n - 1, r.w_))
+        frames[frame] = (np.cos(ph) * (0.95 * r.re * r.w).to_numpy() - np.sin(ph) * (0.95 * r.im * r.w).to_numpy()).sum(1) / n
+    got = entry.queries()["lm_dirty_stokes"](spark, sf).toPandas()
+    assert len(got) == 16 * 576
+    assert all(np.allclose(g.sort_values(["i", "j"]).stokes_i, frames[f], atol=1e-6) for f, g in got.groupby("frame"))
+    mean = entry.queries()["cube_mean_ext"](spark, sf).filter("stokes='I'").toPandas().sort_values(["x", "y"]).cube_mean
+    assert len(mean) == 576 and np.allclose(mean, np.mean(list(frames.values()), axis=0), atol=1e-5)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
