@@ -127,7 +127,7 @@ def sql() -> dict[str, str | tuple[str, str]]:
         "dirty_map_beam": f"select frame, pix, {dirty8} from ({dirty_beam()}) q",
         "dirty_map_mfs": f"select frame, pix, {dirty8} from ({mfs()}) q",
         "dirty_map_empty_frame": f"select frame, pix, {dirty8} from ({dirty(EMPTY)}) q",
-        "image_frame": f"select frame, pix, {dirty8} from ({dirty('select * from (' + ROWS + ') f0 where frame<8')}) q",
+        "image_frame": f"select frame, pix, {dirty8} from ({dirty()}) q",
         "image_combined": f"select pix, {dirty8} from ({dirty(keys='pix')}) q",
         "imager": f"select q.frame, q.pix, {R('q.dirty')} dirty, {R('f.t', 3)} time_out from ({dirty_beam()}) q join frames f on f.frame=q.frame",
         "hessian_diag": f"select frame, pix, {R('sum(w)', 7)} diag from ({_small}) q group by frame, pix",

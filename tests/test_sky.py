@@ -32,7 +32,7 @@ def test_query_equals_its_sql(spark, sf, name):
     assert rows(got.collect()) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["hessian_diag", "hessian_matvec", "cg_step", "cg_two_steps", "lm_dirty_stokes", "cube_writer"])
+@pytest.mark.parametrize("name", ["hessian_diag", "hessian_matvec", "cg_step", "cg_two_steps", "lm_dirty_stokes", "cube_writer", "image_frame"])
 def test_imaging_keeps_every_frame(spark, sf, name):
     register(spark, sf)
     want = {r.frame for r in spark.sql(with_views("select distinct frame from vis", "spark")).collect()}
