@@ -1,7 +1,8 @@
 """License scan: phrases that state a license, and text blocks that contain a license template.
 
 Phrases are found wherever their words stand consecutively. Templates are found by an exact set-similarity join of
-blocks (lines) and templates: a block matches where it holds at least ``percent`` of the template's distinct words.
+blocks and templates: a block matches where it holds at least ``percent`` of the template's distinct words. Blocks are
+lines and, so that a wrapped notice is found, runs across line ends of as many words as the template has.
 Template words are ordered by their count over all documents, rarest first; a matching block must hold one of the first
 n - ceil(percent * n / 100) + 1 of them (prefix filter), be long enough (length filter), and, its first such word
 being number i, n - i words must suffice (positional filter). What passes is verified on whole sets.
@@ -15,6 +16,7 @@ repeated ids are rows of their own; an empty table gives no rows; further column
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,6 +67,7 @@ class Index:
             for i, w in enumerate(words[: len(words) - need + 1]):
                 self.prefixes.setdefault(w.encode(), []).append((t, i))
         self.rare = frozenset(self.prefixes)
+        self.sizes = [len(text.split()) for _, text in templates]
 
     def matches(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
         if self.rare.isdisjoint(words):
@@ -80,6 +83,53 @@ class Index:
                 yield label, both / len(whole)
 
 
+    def windows(self, words: list[bytes]) -> Iterator[tuple[str, int, int, float]]:
+        """Templates in runs of as many words as they have, wherever the lines end: label, first word, words, containment.
+
+        Runs that hold enough of a template and overlap are one match, the fullest (of equals, the first). Only runs with
+        a word of the template's prefix are looked at.
+        """
+        if self.rare.isdisjoint(words):
+            return
+        places: dict[int, list[int]] = {}
+        for at, w in enumerate(words):
+            for t, _ in self.prefixes.get(w, ()):
+                places.setdefault(t, []).append(at)
+        for t, rare in sorted(places.items()):
+            label, whole, need = self.sets[t]
+            size = self.sizes[t]
+            if len(words) < need:
+                continue
+            stretches: list[list[int]] = []
+            for at in rare:  # stretches of words that some window with a rare word covers
+                begin, end = max(0, at - size + 1), min(len(words), at + size)
+                if stretches and begin <= stretches[-1][1]:
+                    stretches[-1][1] = end
+                else:
+                    stretches.append([begin, end])
+            for begin, end in stretches:
+                width = min(size, end - begin)
+                held: dict[bytes, int] = {}
+                best: tuple[int, int] | None = None
+                for i in range(begin, end):
+                    if words[i] in whole:
+                        held[words[i]] = held.get(words[i], 0) + 1
+                    if (out := i - width) >= begin and words[out] in whole:
+                        held[words[out]] -= 1
+                        if not held[words[out]]:
+                            del held[words[out]]
+                    lo = i - width + 1
+                    if lo < begin:
+                        continue
+                    if best and lo >= best[1] + width:
+                        yield label, best[1], width, best[0] / len(whole)
+                        best = None
+                    if len(held) >= need and (best is None or len(held) > best[0]):
+                        best = (len(held), lo)
+                if best:
+                    yield label, best[1], width, best[0] / len(whole)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], index: Index, phrases: dict[str, str]) -> Iterator[pa.RecordBatch]:
     wanted = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
     for batch in batches:
@@ -87,11 +137,17 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, phrases: dict[str, st
         for text in text_bytes(batch.column(1)):
             words: list[bytes] = []
             own = []
+            starts = []
             for number, line in enumerate(text.split(b"\n")):
                 part = line.translate(_FOLD).split()
+                starts.append(len(words))
                 for label, share in index.matches(part):
                     own.append({"label": label, "line": number, "first_word": len(words), "n_words": len(part), "containment": share})
                 words += part
+            for label, first, n, share in index.windows(words) if len(starts) > 1 else ():
+                line = bisect_right(starts, first) - 1
+                if line + 1 < len(starts) and starts[line + 1] < first + n:  # a run in a single line is in its block
+                    own.append({"label": label, "line": line, "first_word": first, "n_words": n, "containment": share})
             places = []
             joined = b" " + b" ".join(words) + b" "
             for pattern, label in wanted:

@@ -1,6 +1,7 @@
 """Operators on small tables: brute force, nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -231,6 +232,33 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert {r.score for r in quality.score(docs, quality.train(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_licenses_of_wrapped_notices(spark):
+    short = "see it,\nlicensed under the apache license,\nversion 2.0\nfor all."
+    rows = [(0, short, "s"), (1, "licensed under the apache license,\nas is;\nversion 2.0", "s")]
+    rows += [(i, "some words before\n\n" + "\n".join(" * " + x for x in textwrap.wrap(t, 32)) + "\nand some after", "s") for i, (_, t) in enumerate(licenses.TEMPLATES, 2)]
+    out = {r.doc_id: r for r in licenses.digest(licenses.scan(documents(spark, rows))).collect()}
+    assert out[0].labels == "apache-2.0" and out[0].score == 1 and out[1].labels == ""
+    assert all(label in out[i].labels.split(",") and out[i].score == 1 for i, (label, _) in enumerate(licenses.TEMPLATES, 2))
+
+
+def test_license_windows_equal_brute_force():
+    rng = random.Random(9)
+    words = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
+    index = licenses.Index(licenses.TEMPLATES, {w: rng.randrange(9) for w in words}, 90)
+    for _ in range(200):
+        text = [w.encode() for _ in range(4) for w in [*rng.choices(words, k=rng.randrange(12)), *(w for w in rng.choice(licenses.TEMPLATES)[1].split() if rng.random() < 0.97)]]
+        want = {}
+        for label, t in licenses.TEMPLATES:
+            whole, n = {w.encode() for w in t.split()}, len(t.split())
+            best = max((len(whole & set(text[i : i + n])) for i in range(max(1, len(text) - n + 1))), default=0)
+            if 100 * best >= 90 * len(whole):
+                want[label] = max(want.get(label, 0), best / len(whole))
+        got = {}
+        for label, _, _, share in index.windows(text):
+            got[label] = max(got.get(label, 0), share)
+        assert got == want
+
+
 def test_licenses_of_odd_rows(spark, odd, none):
     docs = documents(spark, [(1, "All  rights\nReserved. cc BY cc by", "s"), (2, "This work is licensed under the GNU General Public License, version 3.", "s"), (3, "plain", "s")])
     out = {r.doc_id: r for r in licenses.digest(licenses.scan(docs)).collect()}
