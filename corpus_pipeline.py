@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from skyfold.llm import line_dedup, mixing, near_dup, packing, quality
 from skyfold.llm.common import keep, table
 
-#: Documents whose quality score is below this go; lower than the query's mark, as a clean document lost costs more.
-ACCEPT = 0.5
+#: Documents whose quality score is below this go: those that the classifier rejects.
+ACCEPT = quality.THRESHOLD
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

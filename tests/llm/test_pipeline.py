@@ -75,3 +75,20 @@ def test_neighbours_query_recall(spark, sf):
         best = [i for i in ids[np.lexsort((ids, -s))] if i != q][:20]
         hit, total = hit + len(set(best) & set(own.vec_id)), total + 20
     assert hit >= 0.9 * total
+
+
+def test_quality_stage_keeps_what_the_classifier_accepts(spark):
+    """On the held-out fold of check_s, where documents score between 0.5 and 0.7."""
+    from pyspark.sql import functions as F
+
+    from skyfold.llm import quality
+    from skyfold.llm.common import table
+
+    sf = "/root/testdata/check_s"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    net = quality.train(docs, quality.learnable(labels))
+    held = labels.filter(quality.held_out(F.col("doc_id"))).select("doc_id", "quality")
+    accepted = quality.score(docs.join(held, "doc_id", "left_semi"), net).filter("score >= 0.7")
+    kept = corpus_pipeline.quality_stage(spark, docs, sf).join(held, "doc_id")
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in accepted.collect()}
+    assert kept.filter("quality = 0").count() <= 6
