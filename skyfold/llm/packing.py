@@ -11,6 +11,7 @@ an empty table gives no pieces; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ class Encoder:
     The file's pre-tokenizer never joins what stands on both sides of a space: a space goes with the letters, digits or
     marks after it. So the ids of a text are those of its space-separated parts, each with its space, and the parts'
     ids can be remembered. Where a part is empty or starts with white space, runs of white space would be cut apart:
-    such texts are encoded whole.
+    such texts are encoded whole. Added tokens of the file, wherever they stand, are their own ids and cut the text.
     """
 
     def __init__(self, path: str, most: int = 600_000) -> None:
@@ -49,6 +50,8 @@ class Encoder:
         special = {x["content"] for x in model["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
         self.whole = tiktoken.Encoding("from_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.special = {x["content"]: array("I", [x["id"]]).tobytes() for x in model["added_tokens"]}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.parts: dict[str, bytes] = {}
         self.most = most
 
@@ -71,6 +74,11 @@ class Encoder:
         return self.parts.get(part) or self._part(part)
 
     def encode(self, text: str) -> bytes:
+        if self.split and self.split.search(text):
+            return b"".join([self.special.get(x) or self._plain(x) for x in self.split.split(text) if x])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if len(self.parts) > self.most:
             self.parts.clear()
         head, space, rest = text.partition(" ")

@@ -31,6 +31,14 @@ def test_ids_are_the_tokenizers(tokenizer, text):
     assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a<|endoftext|>b", "one two <|endoftext|> three  four", "<|endoftext|><|endoftext|>\n x", "<|endoftext", "no <|endoftext|>", "a  <|endoftext|>  b"])
+def test_added_tokens_have_their_own_ids(tokenizer, text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    assert np.frombuffer(tokenizer[1].encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packer_keeps_every_id_and_fills_windows(seed):
     rng = random.Random(seed)
