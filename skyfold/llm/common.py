@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts write it.
@@ -48,14 +50,32 @@ def _clean() -> None:
             pass
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes a query's shuffle files when the query ends; the session's own setting holds again after."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Kept:
-    """A DataFrame written as Parquet in the shared folder and read back: it cuts the lineage and outlives executors."""
+    """A DataFrame written as Parquet in the shared folder and read back: it cuts the lineage and outlives executors.
+
+    ``counted`` takes the number of rows along while writing, for choices between plans.
+    """
 
-    def __init__(self, df: DataFrame, name: str) -> None:
+    def __init__(self, df: DataFrame, name: str, counted: bool = False) -> None:
         self.spark = df.sparkSession
         self.path = fresh_path(self.spark, name)
         self.schema = df.schema
-        df.write.parquet(self.path)
+        seen = Observation()
+        with tidy_shuffles(self.spark):
+            (df.observe(seen, F.count(F.lit(1)).alias("rows")) if counted else df).write.parquet(self.path)
+        self.rows: int | None = seen.get["rows"] if counted else None
 
     @property
     def df(self) -> DataFrame:

@@ -1,78 +1,107 @@
 """Line dedup: an exact set-similarity join of lines; a line goes if an earlier line has a similar set of words.
 
 DataFrame operations only. A line's tokens are its words (A-Z lower-cased), as a set; two lines match where
-100 * intersection >= percent * union. Lines stand in the order of (doc_id, text, line number).
+100 * intersection >= percent * union. Lines stand in the order of (doc_id, xxhash64 of the text, line number).
 
-1. Tokens get a global order by rarity: counts of all tokens in ``CELLS`` hashed cells, rarest cell first, then by hash.
+1. Tokens get a global order by rarity: counts of all words in ``CELLS`` hashed cells, rarest cell first, then by hash.
    The table of cells has a fixed size whatever the input's, and any fixed order makes the filters below exact.
 2. Lines with equal sets are one class, led by its first line; later lines of a class go at once.
-3. A class posts its prefix: the first n - ceil(percent * n / 100) + 1 tokens. Classes that can match share one.
-4. Of classes that share a token, candidates are pairs that pass the length, positional and bitmap filters; the last
-   bounds the overlap by the differing bits of 128-bit parity maps of the tokens, and is exact too. Each class is
-   first compared with the earliest class of the token (its pivot); who matches goes and needs no other comparison. What
-   is left is compared with every earlier class of the token that passes the filters. So m copies of a line with a few
-   words changed cost m comparisons, and none is dropped.
+3. A class posts its prefix as pairs of neighbouring tokens. If a and b match, x tokens of a and y of b are not common.
+   Two common tokens that follow each other in both lines make a pair of both; going along a, each of its x tokens
+   spoils two pairs at most and each of b's y tokens one, so one of the first 2x + y + 1 pairs of a is also one of the
+   first 2y + x + 1 of b. That is at most 2 n (100 - percent) / 100 + 1 pairs of n tokens, rarest first (prefix filter).
+4. Pairs that a single class posts meet nothing and leave after one count. Of classes that share a pair, candidates pass
+   the length filter and the positional filter (what stands before and behind the shared pair must suffice). Each
+   class is first compared with the earliest class of the pair (its pivot); who matches goes and needs no other
+   comparison. What is left is compared with every earlier class that shares enough of its pairs. So m copies of a line
+   with a few words changed cost m comparisons, and none is dropped.
 5. Jaccard is verified on the words themselves.
 
 Earlier lines count as they were, whether they stay themselves or not; so the result depends on no processing order.
 
 Defined results: lines without words stay; null texts stay null; rows that repeat doc_id and text are one document that
-is stored twice, and fare alike; null ids come last; an empty table gives no rows; further columns are kept.
+is stored twice, and fare alike; null ids come last; an empty table gives no rows; further columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import SPACE, Kept, ascii_lower, forget_shuffles
+from skyfold.llm.common import SPACE, Kept, ascii_lower
 
 CELLS = 1 << 16
+#: Rows of a side that is broadcast at most (some 40 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
+#: Rows of the map of repeated pairs: 2^25 bits.
+MAP_ROWS = 1 << 17
+#: Below this similarity two matching lines need not have a pair of neighbouring tokens in common.
+LEAST_PERCENT = 75
+#: Characters besides A-Z that lower() changes are among these.
+_CASED = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
+
+
+def _lower(line: Column) -> Column:
+    """Lower-cases A-Z and nothing else; lower() does it for all lines without other capitals, and faster."""
+    plain = (F.octet_length(line) == F.char_length(line)) | ~F.rlike(line, F.lit(_CASED))
+    return F.when(plain, F.lower(line)).otherwise(ascii_lower(line))
+
+
+def _spaced(line: Column) -> Column:
+    """White space as single blanks where there is any but blanks."""
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\n")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r"))
+    return F.when(other, F.regexp_replace(line, SPACE, " ")).otherwise(line)
+
+
+def tokens(lowered: Column) -> Column:
+    """Words of a lower-cased line, as often as they occur."""
+    return F.array_remove(F.split(_spaced(lowered), " "), "")
 
 
-def tokens(line: Column) -> Column:
-    """Words of a line, as often as they occur."""
-    return F.array_remove(F.split(ascii_lower(line), SPACE), "")
+def _lines(texts: DataFrame, separator: str) -> DataFrame:
+    # outer: a plain explode would first ask whether the split gives anything, and split twice
+    return texts.select("doc_id", "text_key", F.posexplode_outer(F.split("text", _quoted(separator), -1)).alias("line_no", "line"))
 
 
-def rarity(words: DataFrame) -> Column:
-    """An array literal: for each hashed cell, twice the binary logarithm of its words' count (63 at most), in bits 57 up."""
-    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1))
-    counted = words.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+def rarity(lines: DataFrame) -> Column:
+    """An array literal: for each hashed cell, twice the binary logarithm of its words' count (63 at most)."""
+    words = lines.select(F.explode_outer(F.split(F.lower("line"), " ")).alias("w"))
+    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(63), F.floor(F.log2(F.col("n") + 1) * 2)).cast("int")
-    levels = [0] * CELLS
-    for r in counted.select("cell", level.alias("level")).collect():  # CELLS rows at most
-        levels[r.cell] = r.level << 57
+    found, levels = counted.select("cell", level.alias("level")).toArrow(), [0] * CELLS  # CELLS rows at most
+    for cell, n in zip(found["cell"].to_pylist(), found["level"].to_pylist(), strict=True):
+        levels[cell] = n
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
 def keyed(words: Column, levels: Column) -> Column:
     """The distinct words as sorted integers, rarest first: level in the high bits, 57 bits of the hash below."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.get(levels, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")) + F.shiftrightunsigned(h, 7))))
+    level = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), 57)
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: level(h) + F.shiftrightunsigned(h, 7))))
 
 
-def _least(n: Column, percent: int) -> Column:
-    """ceil(percent * n / 100)"""
-    return F.floor((n * percent + 99) / 100)
+def _pairs_of(n: Column, percent: int) -> Column:
+    """Pairs that a line of n tokens posts."""
+    return F.least(n - 1, F.floor(n * (2 * (100 - percent)) / 100) + 1).cast("int")
 
 
-def _maps(keys: Column) -> tuple[Column, Column]:
-    """Parity of the keys by their low six bits: of all of them, and of those whose bit 6 is set."""
+def _overlap(na: Column, nb: Column, percent: int) -> Column:
+    """Common tokens that a match needs."""
+    return F.ceil((na + nb) * percent / F.lit(100.0 + percent) - 1e-9)
 
-    def folded(bit) -> Column:
-        return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
 
-    return folded(lambda k: F.lit(1).cast("long")), folded(lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)))
+def _may_match(a: str, b: str, percent: int) -> Column:
+    """Length filter and positional filter: what stands before the shared pair in both, and from it on, must suffice."""
+    na, nb, pa, pb = (F.col(x + c) for c in ("n", "p") for x in (a, b))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(pa, pb) + F.least(na - pa, nb - pb) >= _overlap(na, nb, percent))
 
 
-def _may_match(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
-    """Length filter; positional filter (the shared token and all after it must suffice); bitmap filter."""
-    na, nb = a["n"], b["n"]
-    overlap = F.ceil((na + nb) * percent / F.lit(100.0 + percent) - 1e-9)
-    upper = a["m1"].bitwiseXOR(b["m1"])
-    differ = F.bit_count(upper) + F.bit_count(a["m"].bitwiseXOR(b["m"]).bitwiseXOR(upper))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - a["p"], nb - b["p"]) >= overlap) & (na + nb - differ >= overlap * 2)
+def _shared(na: Column, nb: Column, percent: int) -> Column:
+    """Posted pairs that two matching lines share at least."""
+    x, y = na - _overlap(na, nb, percent), nb - _overlap(na, nb, percent)
+    return F.least(_pairs_of(na, percent) - 2 * x - y, _pairs_of(nb, percent) - 2 * y - x)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -82,98 +111,104 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "both", (F.col("_n") - F.col("both")).alias("either"))
 
 
+def _side(table: Kept):
+    """How a written table joins: sent to every task where its rows are few, shuffled where they are not."""
+    return F.broadcast(table.df) if table.rows <= BROADCAST_ROWS else table.df
+
+
 def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", separator: str = "\n") -> DataFrame:
     """Lines that go: doc_id, text_key and the sorted line numbers, a row for each document that loses any."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).filter("text is not null")
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
+    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text")).filter("text is not null")
     texts = texts.withColumn("text_key", F.xxhash64("text"))
-    levels = rarity(texts.select(F.explode(F.split(ascii_lower(F.col("text")), SPACE)).alias("w")))
-    lines = texts.select("doc_id", "text_key", F.posexplode(F.split("text", _quoted(separator), -1)).alias("line_no", "line"))
+    lines = _lines(texts, separator)
+    levels = rarity(lines)
+
+    # A column of its own for what several expressions read: Catalyst does not repeat it then.
+    lowered = lines.select("doc_id", "text_key", "line_no", _lower(F.col("line")).alias("line"))
+    keys = lowered.select("doc_id", "text_key", "line_no", keyed(tokens(F.col("line")), levels).alias("keys"))
+    n = F.size("keys")
+    prefix = F.transform(F.slice("keys", F.lit(1), F.greatest(F.lit(0), _pairs_of(n, percent)) + 1), lambda k: F.hash(k))
+    # 32 bits of each of two tokens make a pair of 64 bits.
+    prepared = Kept(keys.select("doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), prefix.alias("prefix")), "line-keys")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "line_no")
-
-    keys = lines.select("doc_id", "text_key", "line_no", keyed(tokens(F.col("line")), levels).alias("keys")).filter("size(keys) > 0")
-    n = F.size("keys").cast("long")
-    kept_keys = (n - _least(n, percent) + 1).cast("int")
-    hashed = keys.select("doc_id", "text_key", "line_no", F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), "keys")
-    whole, half = _maps(F.col("keys"))
-    prepared = Kept(hashed.select("doc_id", "text_key", "line_no", "d1", "d2", n.cast("int").alias("n"), F.slice("keys", F.lit(1), kept_keys).alias("prefix"), whole.alias("m"), half.alias("m1")), "line-keys")
-    own = ["n", "prefix", "m", "m1"]
-    grouped = prepared.df.groupBy("d1", "d2").agg(F.min(place).alias("first"), *[F.any_value(c).alias(c) for c in own])
-    # Class numbers follow the order of first lines; they hold once written.
-    classes = Kept(grouped.repartitionByRange("first").sortWithinPartitions("first").select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", "first", *own), "line-classes")
-    occurrences = Kept(prepared.df.select("doc_id", "text_key", "line_no", "d1", "d2").join(classes.df.select("d1", "d2", "cid", "first"), ["d1", "d2"]).select("doc_id", "text_key", "line_no", "cid", (place != F.col("first")).alias("again")), "line-classed")
-    prepared.drop()
-    forget_shuffles(spark)
-
-    def fields(c: str) -> dict[str, Column]:
-        """From a posting: n in bits 32 up, p below."""
-        return {"n": F.shiftright(F.col(f"{c}np"), 32), "p": F.col(f"{c}np").bitwiseAND(F.lit(0xFFFFFFFF)), "m": F.col(f"{c}m"), "m1": F.col(f"{c}m1")}
-
-    # Postings carry 32 bits of a token: enough to meet, as two tokens that share them only add a candidate.
-    token, size = F.hash("token").alias("token"), F.shiftleft(F.col("n").cast("long"), 32) + F.col("p")
-    postings = classes.df.select(F.posexplode("prefix").alias("p", "token"), "cid", "n", "m", "m1").select(token, "cid", size.alias("np"), "m", "m1")
-    running = Window.partitionBy("token").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pivoted = postings.withColumn("pivot", F.first(F.struct("cid", "np", "m", "m1")).over(running))
-    first_pairs = Kept(pivoted.filter((F.col("cid") != F.col("pivot.cid")) & _may_match(fields(""), fields("pivot."), percent)).select(F.col("cid").alias("a"), F.col("pivot.cid").alias("b")).distinct(), "line-pivots")
-    forget_shuffles(spark)
-    match = F.col("both") * 100 >= F.col("either") * percent
-
-    def matched(pairs: DataFrame) -> DataFrame:
+    grouped = prepared.df.filter("n > 0").groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    classes = Kept(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"), "line-classes")
+
+    token = lambda c: c.cast("long")
+    posted = classes.df.select("cid", "first", "n", "prefix", F.posexplode("prefix").alias("p", "token")).filter("p < size(prefix) - 1")
+    posted = posted.select(F.shiftleft(token(F.col("token")), 32).bitwiseOR(token(F.get("prefix", F.col("p") + 1)).bitwiseAND(F.lit(0xFFFFFFFF))).alias("pair"), "cid", "first", "n", "p")
+    repeated = Kept(posted.groupBy("pair").agg(F.count("*").alias("m")).filter("m > 1").select("pair"), "line-pairs", counted=True)
+    met = Kept(_among(posted, repeated.df).join(_side(repeated), "pair"), "line-met").df
+    pivots = Kept(met.groupBy("pair").agg(F.min(F.struct("first", "cid", "n", "p")).alias("pivot")).select("pair", *[F.col(f"pivot.{c}").alias(f"o_{c}") for c in ("cid", "n", "p")]), "line-pivots", counted=True)
+    near = met.join(_side(pivots), "pair").filter((F.col("cid") != F.col("o_cid")) & _may_match("", "o_", percent)).select(F.col("cid").alias("a"), F.col("o_cid").alias("b"))
+    first_pairs = Kept(near.distinct(), "line-near")
+
+    def matched(pairs: DataFrame) -> Kept:
         words = _words(texts, classes.df, pairs.select("a").union(pairs.select("b")), separator)
-        out = Kept(_verified(pairs, words.df).filter(match).select(F.col("a").alias("cid")).distinct(), "line-matched")
-        words.drop()
-        forget_shuffles(spark)
-        return out.df
+        return Kept(_verified(pairs, words).filter(F.col("both") * 100 >= F.col("either") * percent).select(F.col("a").alias("cid")).distinct(), "line-matched", counted=True)
 
     gone = matched(first_pairs.df)
-    # A class that has gone looks for nothing: its number is turned negative, so no class is before it.
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    flags = gone.withColumn("gone", F.lit(True))
-    flagged = classes.df.select(*own, "cid").join(F.broadcast(flags) if few else flags, "cid", "left")
-    flagged = flagged.select(F.posexplode("prefix").alias("p", "token"), F.when(F.col("gone"), -1 - F.col("cid")).otherwise(F.col("cid")).alias("id"), "n", "m", "m1").select(token, "id", size.alias("np"), "m", "m1")
-    x, y = flagged.alias("x"), flagged.alias("y")
-    number = F.when(F.col("y.id") < 0, -1 - F.col("y.id")).otherwise(F.col("y.id"))
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (number < F.col("x.id")) & _may_match(fields("x."), fields("y."), percent)).select(F.col("x.id").alias("a"), number.alias("b"))
-    rest = Kept(rest.distinct(), "line-rest")
-    forget_shuffles(spark)
-    removed = Kept(gone.union(matched(rest.df)).distinct(), "line-removed")
-
-    marked = occurrences.df.join(removed.df.withColumn("gone", F.lit(True)), "cid", "left").filter(F.col("again") | F.coalesce("gone", F.lit(False)))
+    x = met.join(_side(gone), "cid", "left_anti").select("pair", *[F.col(c).alias(f"x_{c}") for c in ("cid", "first", "n", "p")])
+    y = met.select("pair", *[F.col(c).alias(f"y_{c}") for c in ("cid", "first", "n", "p")])
+    rest = x.join(y, "pair").filter((F.col("y_first") < F.col("x_first")) & _may_match("x_", "y_", percent))
+    rest = rest.groupBy(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"), "x_n", "y_n").agg(F.count("*").alias("m")).filter(F.col("m") >= _shared(F.col("x_n"), F.col("y_n"), percent)).select("a", "b")
+    others = Kept(rest.join(first_pairs.df, ["a", "b"], "left_anti"), "line-rest")
+    removed = gone.df.union(matched(others.df).df).withColumn("gone", F.lit(True))
+
+    # Classes of one line that stay have nothing to say about their line.
+    telling = classes.df.select("cid", "d1", "d2", "first", "copies").join(removed, "cid", "left").filter("copies > 1 or gone")
+    telling = Kept(telling.select("d1", "d2", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-telling", counted=True)
+    marked = prepared.df.select("doc_id", "text_key", "line_no", "d1", "d2").join(_side(telling), ["d1", "d2"]).filter(F.col("gone") | (place != F.col("first")))
     return marked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("line_numbers"))
 
 
-#: Lines to be verified that are broadcast at most (about 40 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 250_000
+def _among(posted: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows whose pair may be repeated, by a map of MAP_ROWS x 4 x 64 bits that is sent to every task.
+
+    Its size is fixed; with more repeated pairs than bits it lets all rows pass, and the join that follows decides.
+    """
+    cell, word, bit = (lambda c: c.bitwiseAND(F.lit(MAP_ROWS - 1))), (lambda c: F.shiftright(c, 40).bitwiseAND(F.lit(3))), (lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 48).bitwiseAND(F.lit(63)).cast("int")))
+    mixed = repeated.select(F.xxhash64("pair").alias("h"))
+    words = [F.bit_or(F.when(word(F.col("h")) == i, bit(F.col("h"))).otherwise(0)).alias(f"_w{i}") for i in range(4)]
+    rows = mixed.groupBy(cell(F.col("h")).alias("_cell")).agg(*words)
+    own = F.xxhash64("pair")
+    of = F.when(word(own) == 0, F.col("_w0")).when(word(own) == 1, F.col("_w1")).when(word(own) == 2, F.col("_w2")).otherwise(F.col("_w3"))
+    return posted.join(F.broadcast(rows), cell(own) == F.col("_cell")).filter(of.bitwiseAND(bit(own)) != 0).select(*posted.columns)
 
 
-def _words(texts: DataFrame, classes: DataFrame, wanted: DataFrame, separator: str) -> Kept:
+def _words(texts: DataFrame, classes: DataFrame, wanted: DataFrame, separator: str) -> DataFrame:
     """cid and distinct words of the first line of each wanted class."""
     ids = wanted.toDF("cid").distinct()
-    where = Kept(classes.select("cid", "first").join(ids, "cid").select("cid", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"), F.col("first.line_no").alias("_no")), "line-places").df
-    few = where.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast if few else lambda df: df
+    found = classes.select("cid", "first").join(ids, "cid").select("cid", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"), F.col("first.line_no").alias("_no"))
+    lists = Kept(found.groupBy("_id", "_key").agg(F.collect_list(F.struct("cid", "_no")).alias("own")), "line-places", counted=True)  # lines of one document
     own = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key"))
-    lists = where.groupBy("_id", "_key").agg(F.collect_list(F.struct("cid", "_no")).alias("own"))  # lines of one document
-    found = texts.join(side(lists), own).select(F.split("text", _quoted(separator), -1).alias("parts"), F.explode("own").alias("o")).select("o.cid", F.get("parts", F.col("o._no")).alias("line"))
-    return Kept(found.dropDuplicates(["cid"]).select("cid", F.array_distinct(tokens(F.col("line"))).alias("words")), "line-words")
+    lines = texts.join(_side(lists), own).select(F.split("text", _quoted(separator), -1).alias("parts"), "own").select("parts", F.explode("own").alias("o"))
+    lines = lines.select("o.cid", F.get("parts", F.col("o._no")).alias("line")).dropDuplicates(["cid"])
+    return Kept(lines.select("cid", _lower(F.col("line")).alias("line")).select("cid", F.array_distinct(tokens(F.col("line"))).alias("words")), "line-words").df
 
 
 def _quoted(separator: str) -> str:
     return "\\Q" + separator + "\\E" if separator != "\n" else "\n"
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", separator: str = "\n", counts: bool = False) -> DataFrame:
-    """The documents without the lines that go. ``counts`` adds _n_lines and _n_removed.
+def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", separator: str = "\n", count_columns: tuple[str, str] | None = None) -> DataFrame:
+    """The documents without the lines that go. ``count_columns`` names two further columns: lines, and lines removed.
 
     Every row stays, even if no line of it does: its text is then empty.
     """
-    gone = removals(docs, percent, id_column, text_column, separator).select(F.col("doc_id").alias("_rid"), F.col("text_key").alias("_rkey"), F.col("line_numbers").alias("_gone"))
-    text = F.col(f"`{text_column}`")
-    joined = docs.join(gone, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("_rid")) & (F.xxhash64(text.cast("string")) == F.col("_rkey")), "left")
-    parts = F.split(text, _quoted(separator), -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    clean = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), separator))
-    out = [clean.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
-    if counts:
-        out += [F.when(text.isNotNull(), F.size(parts)).otherwise(0).cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed")]
+    if clash := set(count_columns or ()) & set(docs.columns):
+        raise ValueError(f"columns that docs has: {', '.join(sorted(clash))}")
+    gone = Kept(removals(docs, percent, id_column, text_column, separator), "line-removals", counted=True)
+    columns = docs.columns
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"))
+    side = _side(gone).toDF("_id", "_key", "line_numbers") if gone.rows > BROADCAST_ROWS else F.broadcast(gone.df.toDF("_id", "_key", "line_numbers"))
+    joined = rows.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    parts = F.split("text", _quoted(separator), -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("line_numbers"))
+    clean = F.when(F.col("line_numbers").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), separator))
+    out = [(clean if c == text_column else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(columns)]
+    if count_columns:
+        out += [F.when(F.col("text").isNotNull(), F.size(parts)).otherwise(0).cast("long").alias(count_columns[0]), F.coalesce(F.size("line_numbers"), F.lit(0)).cast("long").alias(count_columns[1])]
     return joined.select(*out)

@@ -38,8 +38,8 @@ from q
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.llm import line_dedup
 
-    clean = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
-    return clean.selectExpr("doc_id", "_n_lines n_lines", "_n_removed n_removed", "text")
+    clean = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count_columns=("n_lines", "n_removed"))
+    return clean.select("doc_id", "n_lines", "n_removed", "text")
 
 
 OP3_SQL = """

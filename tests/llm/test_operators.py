@@ -110,8 +110,10 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_line_dedup_of_odd_rows(odd, none):
-    clean = line_dedup.dedup_lines(odd, counts=True)
+    clean = line_dedup.dedup_lines(odd, count_columns=("_n_lines", "_n_removed"))
     assert clean.columns == [*odd.columns, "_n_lines", "_n_removed"]
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(odd, count_columns=("size", "n"))
     rows = clean.collect()
     assert len(rows) == odd.count() and sorted(r.text for r in rows if r.doc_id == 1) == ["the quick brown fox jumps over the lazy dog today and tomorrow"]
     assert [r.text for r in rows if r.doc_id in (2, 3)] == [""] * 3 and [r.text for r in rows if r.doc_id == 5] == [None]
