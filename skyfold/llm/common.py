@@ -65,16 +65,17 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
 class Kept:
     """A DataFrame written as Parquet in the shared folder and read back: it cuts the lineage and outlives executors.
 
-    ``counted`` takes the number of rows along while writing, for choices between plans.
+    ``counted`` takes the number of rows along while writing, for choices between plans; ``hashes`` says that a
+    dictionary of values would not pay.
     """
 
-    def __init__(self, df: DataFrame, name: str, counted: bool = False) -> None:
+    def __init__(self, df: DataFrame, name: str, counted: bool = False, hashes: bool = False) -> None:
         self.spark = df.sparkSession
         self.path = fresh_path(self.spark, name)
         self.schema = df.schema
         seen = Observation()
         with tidy_shuffles(self.spark):
-            (df.observe(seen, F.count(F.lit(1)).alias("rows")) if counted else df).write.parquet(self.path)
+            (df.observe(seen, F.count(F.lit(1)).alias("rows")) if counted else df).write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(self.path)
         self.rows: int | None = seen.get["rows"] if counted else None
 
     @property

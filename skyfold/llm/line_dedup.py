@@ -6,15 +6,18 @@ DataFrame operations only. A line's tokens are its words (A-Z lower-cased), as a
 1. Tokens get a global order by rarity: counts of all words in ``CELLS`` hashed cells, rarest cell first, then by hash.
    The table of cells has a fixed size whatever the input's, and any fixed order makes the filters below exact.
 2. Lines with equal sets are one class, led by its first line; later lines of a class go at once.
-3. A class posts its prefix as pairs of neighbouring tokens. If a and b match, x tokens of a and y of b are not common.
-   Two common tokens that follow each other in both lines make a pair of both; going along a, each of its x tokens
-   spoils two pairs at most and each of b's y tokens one, so one of the first 2x + y + 1 pairs of a is also one of the
-   first 2y + x + 1 of b. That is at most 2 n (100 - percent) / 100 + 1 pairs of n tokens, rarest first (prefix filter).
-4. Pairs that a single class posts meet nothing and leave after one count. Of classes that share a pair, candidates pass
-   the length filter and the positional filter (what stands before and behind the shared pair must suffice). Each
-   class is first compared with the earliest class of the pair (its pivot); who matches goes and needs no other
-   comparison. What is left is compared with every earlier class that shares enough of its pairs. So m copies of a line
-   with a few words changed cost m comparisons, and none is dropped.
+3. A class posts its prefix as triples of neighbouring tokens. If a and b match, x tokens of a and y of b are not common.
+   Three common tokens that follow each other in both lines make a triple of both; going along a, each of its x tokens
+   spoils three triples at most and each of b's y tokens two, so one of the first 3x + 2y + 1 triples of a is also one
+   of the first 3y + 2x + 1 of b. That is at most 3 n (100 - percent) / 100 + 1 of n tokens, rarest first (prefix
+   filter). Short lines post pairs, by the same count; lines that may match both kinds post both.
+4. Triples that a single class posts meet nothing and leave after one count; chance meetings are rare, unlike those of
+   single tokens, so the work grows with the input and not with its square. Of classes that share a triple, candidates
+   pass the length filter, the positional filter (what stands before and behind the shared triple must suffice), and a
+   bound on the tokens that their prefixes share, by the differing bits of two parity maps. All are exact. Each class
+   is first compared with the earliest class of the triple (its pivot); who matches goes and needs no other comparison.
+   What is left is compared with every earlier class that shares enough of its triples. So m copies of a line with a
+   few words changed cost m comparisons, and none is dropped.
 5. Jaccard is verified on the words themselves.
 
 Earlier lines count as they were, whether they stay themselves or not; so the result depends on no processing order.
@@ -34,9 +37,9 @@ from skyfold.llm.common import SPACE, Kept, ascii_lower
 CELLS = 1 << 16
 #: Rows of a side that is broadcast at most (some 40 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 250_000
-#: Rows of the map of repeated pairs: 2^25 bits.
+#: Rows of the map of repeated keys: 2^25 bits.
 MAP_ROWS = 1 << 17
-#: Below this similarity two matching lines need not have a pair of neighbouring tokens in common.
+#: Below this similarity two matching lines need not have neighbouring tokens in common.
 LEAST_PERCENT = 75
 #: Characters besides A-Z that lower() changes are among these.
 _CASED = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
@@ -49,14 +52,22 @@ def _lower(line: Column) -> Column:
 
 
 def _spaced(line: Column) -> Column:
-    """White space as single blanks where there is any but blanks."""
-    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\n")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r"))
-    return F.when(other, F.regexp_replace(line, SPACE, " ")).otherwise(line)
+    """The words with single blanks between them; most lines are written like that."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\n\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
 
 
-def tokens(lowered: Column) -> Column:
-    """Words of a lower-cased line, as often as they occur."""
-    return F.array_remove(F.split(_spaced(lowered), " "), "")
+def prepared_lines(lines: DataFrame) -> DataFrame:
+    """``line`` lower-cased and spaced. Selects of their own, as Catalyst repeats no expression that they make."""
+    own = [c for c in lines.columns if c != "line"]
+    return lines.select(*own, _lower(F.col("line")).alias("line")).select(*own, _spaced(F.col("line")).alias("line"))
+
+
+def tokens(prepared: Column) -> Column:
+    """Words of a prepared line, as often as they occur."""
+    return F.when(prepared == "", F.array().cast("array<string>")).otherwise(F.split(prepared, " "))
 
 
 def _lines(texts: DataFrame, separator: str) -> DataFrame:
@@ -82,9 +93,30 @@ def keyed(words: Column, levels: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: level(h) + F.shiftrightunsigned(h, 7))))
 
 
-def _pairs_of(n: Column, percent: int) -> Column:
-    """Pairs that a line of n tokens posts."""
-    return F.least(n - 1, F.floor(n * (2 * (100 - percent)) / 100) + 1).cast("int")
+def _long(percent: int) -> int:
+    """Least size from which matching lines always have a triple in common: n - 2 >= 3 n (100 - percent) / 100 + 1."""
+    return -(-300 // (3 * percent - 200))
+
+
+def _posts(n: Column, percent: int, k: int) -> Column:
+    """Keys of k tokens that a line of n tokens posts."""
+    return F.least(n - k + 1, F.floor(n * (k * (100 - percent)) / 100) + 1).cast("int")
+
+
+def _prefix(n: Column, percent: int) -> Column:
+    """Tokens of a line of n that its keys are made of."""
+    return F.when(n >= _long(percent), _posts(n, percent, 3) + 2).otherwise(F.greatest(F.lit(0), _posts(n, percent, 2)) + 1)
+
+
+def _keys_of(classes: DataFrame, percent: int, carry: list[str]) -> DataFrame:
+    """A row for each posted key, with the place of its first token."""
+    least, most = _long(percent), (_long(percent) - 1) * 100 // percent  # a shorter line's partner has at most ``most``
+
+    def kind(k: int, rows: DataFrame) -> DataFrame:
+        each = rows.select(*carry, "prefix", F.posexplode("prefix").alias("p", "token")).filter(F.col("p") < _posts(F.col("n"), percent, k))
+        return each.select(F.xxhash64(F.lit(k), "token", *[F.get("prefix", F.col("p") + i) for i in range(1, k)]).alias("key"), *carry, "p")
+
+    return kind(3, classes.filter(F.col("n") >= least)).union(kind(2, classes.filter(F.col("n") <= most)))
 
 
 def _overlap(na: Column, nb: Column, percent: int) -> Column:
@@ -92,23 +124,46 @@ def _overlap(na: Column, nb: Column, percent: int) -> Column:
     return F.ceil((na + nb) * percent / F.lit(100.0 + percent) - 1e-9)
 
 
+def _maps(prefix: Column) -> list[Column]:
+    """128 bits: for each, whether an odd number of the prefix's tokens fall on it."""
+
+    def folded(bit) -> Column:
+        return F.aggregate(prefix, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", bit(k).cast("long"), k.bitwiseAND(F.lit(63)))))
+
+    odd = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1))
+    return [folded(lambda k: F.lit(1) - odd(k)).alias("m0"), folded(odd).alias("m1")]
+
+
 def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length filter and positional filter: what stands before the shared pair in both, and from it on, must suffice."""
+    """Length, positional and map filter of two lines that share a key.
+
+    What stands before the key in both, and from it on, must suffice. Of a's prefix all but x tokens are common, and
+    stand in b not more than y places later; so much must the prefixes have in common, and the bits in which their maps
+    differ bound how much they have not.
+    """
     na, nb, pa, pb = (F.col(x + c) for c in ("n", "p") for x in (a, b))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(pa, pb) + F.least(na - pa, nb - pb) >= _overlap(na, nb, percent))
+    least = _overlap(na, nb, percent)
+    la, lb, x, y = _prefix(na, percent), _prefix(nb, percent), na - least, nb - least
+    common = F.greatest(F.least(la, lb - y) - x, F.least(lb, la - x) - y)
+    differ = F.bit_count(F.col(f"{a}m0").bitwiseXOR(F.col(f"{b}m0"))) + F.bit_count(F.col(f"{a}m1").bitwiseXOR(F.col(f"{b}m1")))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(pa, pb) + F.least(na - pa, nb - pb) >= least) & (la + lb - differ >= common * 2)
 
 
 def _shared(na: Column, nb: Column, percent: int) -> Column:
-    """Posted pairs that two matching lines share at least."""
+    """Posted keys that two matching lines share at least."""
     x, y = na - _overlap(na, nb, percent), nb - _overlap(na, nb, percent)
-    return F.least(_pairs_of(na, percent) - 2 * x - y, _pairs_of(nb, percent) - 2 * y - x)
+
+    def least(k: int) -> Column:
+        return F.least(_posts(na, percent, k) - k * x - (k - 1) * y, _posts(nb, percent, k) - k * y - (k - 1) * x)
+
+    return F.when(F.least(na, nb) >= _long(percent), least(3)).otherwise(least(2))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with both and either: sizes of intersection and union of their words."""
-    one, two = sets.select(F.col("cid").alias("a"), F.col("words").alias("_wa")), sets.select(F.col("cid").alias("b"), F.col("words").alias("_wb"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("_wa", "_wb")).alias("both"), (F.size("_wa") + F.size("_wb")).alias("_n"))
-    return joined.select("a", "b", "both", (F.col("_n") - F.col("both")).alias("either"))
+    """Pairs (a, b) with their first places, and both and either: sizes of intersection and union of their words."""
+    one, two = (sets.select(F.col("cid").alias(c), F.col("words").alias(f"_w{c}"), F.col("first").alias(f"_f{c}")) for c in ("a", "b"))
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "_fa", "_fb", F.size(F.array_intersect("_wa", "_wb")).alias("both"), (F.size("_wa") + F.size("_wb")).alias("_n"))
+    return joined.select("a", "b", "_fa", "_fb", "both", (F.col("_n") - F.col("both")).alias("either"))
 
 
 def _side(table: Kept):
@@ -125,68 +180,80 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     lines = _lines(texts, separator)
     levels = rarity(lines)
 
-    # A column of its own for what several expressions read: Catalyst does not repeat it then.
-    lowered = lines.select("doc_id", "text_key", "line_no", _lower(F.col("line")).alias("line"))
-    keys = lowered.select("doc_id", "text_key", "line_no", keyed(tokens(F.col("line")), levels).alias("keys"))
+    keys = prepared_lines(lines).select("doc_id", "text_key", "line_no", keyed(tokens(F.col("line")), levels).alias("keys"))
     n = F.size("keys")
-    prefix = F.transform(F.slice("keys", F.lit(1), F.greatest(F.lit(0), _pairs_of(n, percent)) + 1), lambda k: F.hash(k))
-    # 32 bits of each of two tokens make a pair of 64 bits.
-    prepared = Kept(keys.select("doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), prefix.alias("prefix")), "line-keys")
+    prefix = F.transform(F.slice("keys", F.lit(1), _prefix(n, percent)), lambda k: F.hash(k))
+    keys = keys.select("doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), prefix.alias("prefix"))
+    prepared = Kept(keys.select("*", *_maps(F.col("prefix"))), "line-keys", hashes=True)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "line_no")
-    grouped = prepared.df.filter("n > 0").groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    classes = Kept(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"), "line-classes")
-
-    token = lambda c: c.cast("long")
-    posted = classes.df.select("cid", "first", "n", "prefix", F.posexplode("prefix").alias("p", "token")).filter("p < size(prefix) - 1")
-    posted = posted.select(F.shiftleft(token(F.col("token")), 32).bitwiseOR(token(F.get("prefix", F.col("p") + 1)).bitwiseAND(F.lit(0xFFFFFFFF))).alias("pair"), "cid", "first", "n", "p")
-    repeated = Kept(posted.groupBy("pair").agg(F.count("*").alias("m")).filter("m > 1").select("pair"), "line-pairs", counted=True)
-    met = Kept(_among(posted, repeated.df).join(_side(repeated), "pair"), "line-met").df
-    pivots = Kept(met.groupBy("pair").agg(F.min(F.struct("first", "cid", "n", "p")).alias("pivot")).select("pair", *[F.col(f"pivot.{c}").alias(f"o_{c}") for c in ("cid", "n", "p")]), "line-pivots", counted=True)
-    near = met.join(_side(pivots), "pair").filter((F.col("cid") != F.col("o_cid")) & _may_match("", "o_", percent)).select(F.col("cid").alias("a"), F.col("o_cid").alias("b"))
-    first_pairs = Kept(near.distinct(), "line-near")
+    own = ["n", "m0", "m1"]
+    grouped = prepared.df.filter("n > 0").groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in [*own, "prefix"]])
+    classes = Kept(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"), "line-classes", hashes=True)
+    occurrences = Kept(prepared.df.filter("n > 0").select("doc_id", "text_key", "line_no", "d1", "d2"), "line-occurrences")
+    prepared.drop()
+
+    own = ["last", "doc_id", "cid", *own]
+    posted = _keys_of(classes.df.select("cid", "first.last", "first.doc_id", "n", "m0", "m1", "prefix"), percent, own)
+    own.append("p")
+    repeated = Kept(posted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "line-repeated", counted=True)
+    met = Kept(_among(posted, repeated.df).join(_side(repeated), "key"), "line-met")
+    pivots = Kept(met.df.groupBy("key").agg(F.min(F.struct(*own)).alias("pivot")).select("key", *[F.col(f"pivot.{c}").alias(f"o_{c}") for c in own]), "line-pivots", counted=True)
+    repeated.drop()
+    pivoted = met.df.join(_side(pivots), "key").filter(F.col("cid") != F.col("o_cid"))
+    first_pairs = Kept(pivoted.filter(_may_match("", "o_", percent)).select(F.col("cid").alias("a"), F.col("o_cid").alias("b")).distinct(), "line-near")
 
     def matched(pairs: DataFrame) -> Kept:
+        """Of each pair of similar lines the later class."""
         words = _words(texts, classes.df, pairs.select("a").union(pairs.select("b")), separator)
-        return Kept(_verified(pairs, words).filter(F.col("both") * 100 >= F.col("either") * percent).select(F.col("a").alias("cid")).distinct(), "line-matched", counted=True)
+        similar = _verified(pairs, words.df).filter(F.col("both") * 100 >= F.col("either") * percent)
+        later = F.when(F.col("_fa") > F.col("_fb"), F.col("a")).otherwise(F.col("b"))
+        out = Kept(similar.select(later.alias("cid")).distinct(), "line-matched", counted=True)
+        words.drop()
+        return out
 
     gone = matched(first_pairs.df)
-    x = met.join(_side(gone), "cid", "left_anti").select("pair", *[F.col(c).alias(f"x_{c}") for c in ("cid", "first", "n", "p")])
-    y = met.select("pair", *[F.col(c).alias(f"y_{c}") for c in ("cid", "first", "n", "p")])
-    rest = x.join(y, "pair").filter((F.col("y_first") < F.col("x_first")) & _may_match("x_", "y_", percent))
+    # Every class with its pivot has been looked at; others only meet where three classes post the same key.
+    several = pivoted.filter("m > 2").select("key", *own)
+    x = several.join(_side(gone), "cid", "left_anti").select("key", *[F.col(c).alias(f"x_{c}") for c in own])
+    y = several.select("key", *[F.col(c).alias(f"y_{c}") for c in own])
+    # y comes first by document; inside a document the classes' lines decide, once verified
+    order = lambda s: F.struct(F.col(f"{s}last").alias("l"), F.col(f"{s}doc_id").alias("d"))
+    rest = x.join(y, "key").filter((F.col("x_cid") != F.col("y_cid")) & (order("y_") <= order("x_")) & _may_match("x_", "y_", percent))
     rest = rest.groupBy(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"), "x_n", "y_n").agg(F.count("*").alias("m")).filter(F.col("m") >= _shared(F.col("x_n"), F.col("y_n"), percent)).select("a", "b")
     others = Kept(rest.join(first_pairs.df, ["a", "b"], "left_anti"), "line-rest")
-    removed = gone.df.union(matched(others.df).df).withColumn("gone", F.lit(True))
+    met.drop()
+    pivots.drop()
+    removed = gone.df.union(matched(others.df).df).distinct().withColumn("gone", F.lit(True))
 
     # Classes of one line that stay have nothing to say about their line.
     telling = classes.df.select("cid", "d1", "d2", "first", "copies").join(removed, "cid", "left").filter("copies > 1 or gone")
     telling = Kept(telling.select("d1", "d2", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-telling", counted=True)
-    marked = prepared.df.select("doc_id", "text_key", "line_no", "d1", "d2").join(_side(telling), ["d1", "d2"]).filter(F.col("gone") | (place != F.col("first")))
+    marked = occurrences.df.join(_side(telling), ["d1", "d2"]).filter(F.col("gone") | (place != F.col("first")))
     return marked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("line_numbers"))
 
 
 def _among(posted: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The rows whose pair may be repeated, by a map of MAP_ROWS x 4 x 64 bits that is sent to every task.
+    """The rows whose key may be repeated, by a map of MAP_ROWS x 4 x 64 bits that is sent to every task.
 
-    Its size is fixed; with more repeated pairs than bits it lets all rows pass, and the join that follows decides.
+    Its size is fixed; with more repeated keys than bits it lets all rows pass, and the join that follows decides.
     """
     cell, word, bit = (lambda c: c.bitwiseAND(F.lit(MAP_ROWS - 1))), (lambda c: F.shiftright(c, 40).bitwiseAND(F.lit(3))), (lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 48).bitwiseAND(F.lit(63)).cast("int")))
-    mixed = repeated.select(F.xxhash64("pair").alias("h"))
+    mixed = repeated.select(F.xxhash64("key").alias("h"))
     words = [F.bit_or(F.when(word(F.col("h")) == i, bit(F.col("h"))).otherwise(0)).alias(f"_w{i}") for i in range(4)]
     rows = mixed.groupBy(cell(F.col("h")).alias("_cell")).agg(*words)
-    own = F.xxhash64("pair")
+    own = F.xxhash64("key")
     of = F.when(word(own) == 0, F.col("_w0")).when(word(own) == 1, F.col("_w1")).when(word(own) == 2, F.col("_w2")).otherwise(F.col("_w3"))
     return posted.join(F.broadcast(rows), cell(own) == F.col("_cell")).filter(of.bitwiseAND(bit(own)) != 0).select(*posted.columns)
 
 
-def _words(texts: DataFrame, classes: DataFrame, wanted: DataFrame, separator: str) -> DataFrame:
-    """cid and distinct words of the first line of each wanted class."""
-    ids = wanted.toDF("cid").distinct()
-    found = classes.select("cid", "first").join(ids, "cid").select("cid", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"), F.col("first.line_no").alias("_no"))
-    lists = Kept(found.groupBy("_id", "_key").agg(F.collect_list(F.struct("cid", "_no")).alias("own")), "line-places", counted=True)  # lines of one document
+def _words(texts: DataFrame, classes: DataFrame, wanted: DataFrame, separator: str) -> Kept:
+    """cid, first place and distinct words of the first line of each wanted class."""
+    found = classes.select("cid", "first").join(wanted.toDF("cid").distinct(), "cid")
+    lists = Kept(found.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")).agg(F.collect_list(F.struct("cid", "first")).alias("own")), "line-places", counted=True)  # lines of one document
     own = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key"))
     lines = texts.join(_side(lists), own).select(F.split("text", _quoted(separator), -1).alias("parts"), "own").select("parts", F.explode("own").alias("o"))
-    lines = lines.select("o.cid", F.get("parts", F.col("o._no")).alias("line")).dropDuplicates(["cid"])
-    return Kept(lines.select("cid", _lower(F.col("line")).alias("line")).select("cid", F.array_distinct(tokens(F.col("line"))).alias("words")), "line-words").df
+    lines = lines.select("o.cid", "o.first", F.get("parts", F.col("o.first.line_no")).alias("line")).dropDuplicates(["cid"])
+    return Kept(prepared_lines(lines).select("cid", "first", F.array_distinct(tokens(F.col("line"))).alias("words")), "line-words")
 
 
 def _quoted(separator: str) -> str:
@@ -201,14 +268,19 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
     if clash := set(count_columns or ()) & set(docs.columns):
         raise ValueError(f"columns that docs has: {', '.join(sorted(clash))}")
     gone = Kept(removals(docs, percent, id_column, text_column, separator), "line-removals", counted=True)
-    columns = docs.columns
-    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"))
-    side = _side(gone).toDF("_id", "_key", "line_numbers") if gone.rows > BROADCAST_ROWS else F.broadcast(gone.df.toDF("_id", "_key", "line_numbers"))
-    joined = rows.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    parts = F.split("text", _quoted(separator), -1)
+    # names that no column of docs can clash with
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at, of = docs.columns.index(text_column), docs.columns.index(id_column)
+    text = F.col(f"c{at}").cast("string")
+    side = gone.df.toDF("_id", "_key", "line_numbers")
+    side = F.broadcast(side) if gone.rows <= BROADCAST_ROWS else side
+    joined = rows.join(side, F.col(f"c{of}").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    parts = F.split(text, _quoted(separator), -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("line_numbers"))
-    clean = F.when(F.col("line_numbers").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), separator))
-    out = [(clean if c == text_column else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(columns)]
+    clean = F.when(F.col("line_numbers").isNull(), F.col(f"c{at}")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), separator))
+    out = [(clean if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)]
     if count_columns:
-        out += [F.when(F.col("text").isNotNull(), F.size(parts)).otherwise(0).cast("long").alias(count_columns[0]), F.coalesce(F.size("line_numbers"), F.lit(0)).cast("long").alias(count_columns[1])]
+        without = F.replace(text, F.lit(separator), F.lit(""))
+        n_lines = ((F.octet_length(text) - F.octet_length(without)) / len(separator.encode()) + 1).cast("long")
+        out += [F.coalesce(n_lines, F.lit(0)).alias(count_columns[0]), F.coalesce(F.size("line_numbers"), F.lit(0)).cast("long").alias(count_columns[1])]
     return joined.select(*out)

@@ -109,6 +109,30 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == plain_lines(rows)
 
 
+@pytest.mark.parametrize("percent", [75, 80])
+def test_line_dedup_of_short_lines_and_hostile_edits(spark, percent):
+    """Lines of 3 to 30 words that differ in as many places as they may, spread so that they cut runs of tokens."""
+    rng = random.Random(percent)
+    rows = []
+    for i in range(150):
+        base = [f"z{rng.randrange(60)}" for _ in range(rng.randrange(3, 31))]
+        lines = [base]
+        for _ in range(3):
+            own = list(base)
+            for at in rng.sample(range(len(own)), max(1, len(own) * (100 - percent) // rng.choice([100, 150, 190]))):
+                own[at] = f"y{rng.randrange(10**6)}" if rng.random() < 0.5 else ""
+            lines.append([w for w in own if w])
+        rows.append((i, "\n".join(" ".join(x) for x in lines)))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, [(i, t, "s") for i, t in rows]), percent).collect()}
+    assert got == plain_lines(rows, percent)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_gone", "_rid", "_id", "_key", "line_numbers", "c0", "row"]
+    docs = spark.createDataFrame([(1, "a b c\nd", 1, 2, 3, 4, 5, 6, 7), (2, "c b a\ne", 7, 6, 5, 4, 3, 2, 1)], names)
+    assert [tuple(r) for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == [(1, "a b c\nd", 1, 2, 3, 4, 5, 6, 7), (2, "e", 7, 6, 5, 4, 3, 2, 1)]
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     clean = line_dedup.dedup_lines(odd, count_columns=("_n_lines", "_n_removed"))
     assert clean.columns == [*odd.columns, "_n_lines", "_n_removed"]
