@@ -3,30 +3,42 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts write it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a side that is broadcast at most (some 40 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one in the warehouse, if all
+    run on one machine or the warehouse is no machine's own folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master) and (named.startswith("file:") or "://" not in named):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have."""
+    while base.lower() in {c.lower() for c in df.columns}:
+        base += "_"
+    return base
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is removed when the session's process ends, or by drop_path."""
     if not _written:
@@ -65,18 +77,25 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
 class Kept:
     """A DataFrame written as Parquet in the shared folder and read back: it cuts the lineage and outlives executors.
 
-    ``counted`` takes the number of rows along while writing, for choices between plans; ``hashes`` says that a
-    dictionary of values would not pay.
+    ``counted`` takes the number of rows along while writing, for choices between plans, and ``marked`` a checksum of a
+    column; ``hashes`` says that a dictionary of values would not pay.
     """
 
-    def __init__(self, df: DataFrame, name: str, counted: bool = False, hashes: bool = False) -> None:
+    def __init__(self, df: DataFrame, name: str, counted: bool = False, marked: Column | None = None, hashes: bool = False) -> None:
         self.spark = df.sparkSession
         self.path = fresh_path(self.spark, name)
         self.schema = df.schema
-        seen = Observation()
+        counted = counted or marked is not None
+        seen, none = Observation(), F.lit(0).cast("long")
+        if counted:
+            df = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(none if marked is None else marked), none).alias("mark"))
         with tidy_shuffles(self.spark):
-            (df.observe(seen, F.count(F.lit(1)).alias("rows")) if counted else df).write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(self.path)
-        self.rows: int | None = seen.get["rows"] if counted else None
+            df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(self.path)
+        self.rows, self.mark = (seen.get["rows"], seen.get["mark"]) if counted else (None, None)
+
+    def side(self) -> DataFrame:
+        """How a counted table joins: sent to every task where its rows are few, shuffled where they are not."""
+        return F.broadcast(self.df) if self.rows <= BROADCAST_ROWS else self.df
 
     @property
     def df(self) -> DataFrame:
@@ -90,12 +109,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return Kept(df, name).df
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now, rather than at the JVM's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

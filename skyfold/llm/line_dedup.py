@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from skyfold.llm.common import SPACE, Kept, ascii_lower
 
 CELLS = 1 << 16
-#: Rows of a side that is broadcast at most (some 40 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 250_000
 #: Rows of the map of repeated keys: 2^25 bits.
 MAP_ROWS = 1 << 17
 #: Below this similarity two matching lines need not have neighbouring tokens in common.
@@ -166,11 +164,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "_fa", "_fb", "both", (F.col("_n") - F.col("both")).alias("either"))
 
 
-def _side(table: Kept):
-    """How a written table joins: sent to every task where its rows are few, shuffled where they are not."""
-    return F.broadcast(table.df) if table.rows <= BROADCAST_ROWS else table.df
-
-
 def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", separator: str = "\n") -> DataFrame:
     """Lines that go: doc_id, text_key and the sorted line numbers, a row for each document that loses any."""
     if not LEAST_PERCENT <= percent <= 100:
@@ -196,10 +189,10 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     posted = _keys_of(classes.df.select("cid", "first.last", "first.doc_id", "n", "m0", "m1", "prefix"), percent, own)
     own.append("p")
     repeated = Kept(posted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "line-repeated", counted=True)
-    met = Kept(_among(posted, repeated.df).join(_side(repeated), "key"), "line-met")
+    met = Kept(_among(posted, repeated.df).join(repeated.side(), "key"), "line-met")
     pivots = Kept(met.df.groupBy("key").agg(F.min(F.struct(*own)).alias("pivot")).select("key", *[F.col(f"pivot.{c}").alias(f"o_{c}") for c in own]), "line-pivots", counted=True)
     repeated.drop()
-    pivoted = met.df.join(_side(pivots), "key").filter(F.col("cid") != F.col("o_cid"))
+    pivoted = met.df.join(pivots.side(), "key").filter(F.col("cid") != F.col("o_cid"))
     first_pairs = Kept(pivoted.filter(_may_match("", "o_", percent)).select(F.col("cid").alias("a"), F.col("o_cid").alias("b")).distinct(), "line-near")
 
     def matched(pairs: DataFrame) -> Kept:
@@ -214,7 +207,7 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     gone = matched(first_pairs.df)
     # Every class with its pivot has been looked at; others only meet where three classes post the same key.
     several = pivoted.filter("m > 2").select("key", *own)
-    x = several.join(_side(gone), "cid", "left_anti").select("key", *[F.col(c).alias(f"x_{c}") for c in own])
+    x = several.join(gone.side(), "cid", "left_anti").select("key", *[F.col(c).alias(f"x_{c}") for c in own])
     y = several.select("key", *[F.col(c).alias(f"y_{c}") for c in own])
     # y comes first by document; inside a document the classes' lines decide, once verified
     order = lambda s: F.struct(F.col(f"{s}last").alias("l"), F.col(f"{s}doc_id").alias("d"))
@@ -228,7 +221,7 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     # Classes of one line that stay have nothing to say about their line.
     telling = classes.df.select("cid", "d1", "d2", "first", "copies").join(removed, "cid", "left").filter("copies > 1 or gone")
     telling = Kept(telling.select("d1", "d2", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "line-telling", counted=True)
-    marked = occurrences.df.join(_side(telling), ["d1", "d2"]).filter(F.col("gone") | (place != F.col("first")))
+    marked = occurrences.df.join(telling.side(), ["d1", "d2"]).filter(F.col("gone") | (place != F.col("first")))
     return marked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("line_numbers"))
 
 
@@ -251,7 +244,7 @@ def _words(texts: DataFrame, classes: DataFrame, wanted: DataFrame, separator: s
     found = classes.select("cid", "first").join(wanted.toDF("cid").distinct(), "cid")
     lists = Kept(found.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")).agg(F.collect_list(F.struct("cid", "first")).alias("own")), "line-places", counted=True)  # lines of one document
     own = texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key"))
-    lines = texts.join(_side(lists), own).select(F.split("text", _quoted(separator), -1).alias("parts"), "own").select("parts", F.explode("own").alias("o"))
+    lines = texts.join(lists.side(), own).select(F.split("text", _quoted(separator), -1).alias("parts"), "own").select("parts", F.explode("own").alias("o"))
     lines = lines.select("o.cid", "o.first", F.get("parts", F.col("o.first.line_no")).alias("line")).dropDuplicates(["cid"])
     return Kept(prepared_lines(lines).select("cid", "first", F.array_distinct(tokens(F.col("line"))).alias("words")), "line-words")
 
@@ -260,10 +253,11 @@ def _quoted(separator: str) -> str:
     return "\\Q" + separator + "\\E" if separator != "\n" else "\n"
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", separator: str = "\n", count_columns: tuple[str, str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", separator: str = "\n", count_columns: tuple[str, str] | None = None, drop_emptied: bool = False) -> DataFrame:
     """The documents without the lines that go. ``count_columns`` names two further columns: lines, and lines removed.
 
-    Every row stays, even if no line of it does: its text is then empty.
+    Every row stays, even if no line of it does: its text is then empty; ``drop_emptied`` leaves out rows that
+    lose all their lines.
     """
     if clash := set(count_columns or ()) & set(docs.columns):
         raise ValueError(f"columns that docs has: {', '.join(sorted(clash))}")
@@ -272,15 +266,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at, of = docs.columns.index(text_column), docs.columns.index(id_column)
     text = F.col(f"c{at}").cast("string")
-    side = gone.df.toDF("_id", "_key", "line_numbers")
-    side = F.broadcast(side) if gone.rows <= BROADCAST_ROWS else side
+    side = gone.side().toDF("_id", "_key", "line_numbers")
     joined = rows.join(side, F.col(f"c{of}").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
     parts = F.split(text, _quoted(separator), -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("line_numbers"))
     clean = F.when(F.col("line_numbers").isNull(), F.col(f"c{at}")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), separator))
     out = [(clean if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+    without = F.replace(text, F.lit(separator), F.lit(""))
+    n_lines = ((F.octet_length(text) - F.octet_length(without)) / len(separator.encode()) + 1).cast("long")
+    if drop_emptied:
+        joined = joined.filter(F.coalesce(F.cardinality("line_numbers") < n_lines, F.lit(True)))
     if count_columns:
-        without = F.replace(text, F.lit(separator), F.lit(""))
-        n_lines = ((F.octet_length(text) - F.octet_length(without)) / len(separator.encode()) + 1).cast("long")
         out += [F.coalesce(n_lines, F.lit(0)).alias(count_columns[0]), F.coalesce(F.size("line_numbers"), F.lit(0)).cast("long").alias(count_columns[1])]
     return joined.select(*out)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.llm import shingles
-from skyfold.llm.common import SPACE, Kept, ascii_lower, forget_shuffles, small_batches
+from skyfold.llm.common import SPACE, Kept, ascii_lower, small_batches
 
 K, WINDOW = 5, 9
 MIN_CHAIN, MIN_WORDS, MIN_IDENTITY, GAP_COST, MARGIN, JOIN_GAP = 15, 45, 0.75, 0.3, 12, 8
@@ -336,7 +336,6 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     repeated = seeds.df.groupBy("seed").agg(F.min("doc_id").alias("src_doc_id"), F.max("doc_id").alias("_last")).filter("src_doc_id < _last").select("seed", "src_doc_id")
     met = Kept(seeds.df.join(repeated, "seed"), "seed-matches")
     seeds.drop()
-    forget_shuffles(spark)
     sources = met.df.filter("doc_id = src_doc_id").groupBy("seed").agg(F.min("pos").alias("src"))
     matches = met.df.filter("doc_id != src_doc_id").join(sources, "seed").select("doc_id", "src_doc_id", "pos", "src")
     gap = 2 * (k + window)
@@ -350,10 +349,8 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     def aligned(matches: DataFrame, name: str) -> Kept:
         ordered = matches.repartition("doc_id", "src_doc_id").sortWithinPartitions("doc_id", "src_doc_id")
         linked = Kept(ordered.mapInArrow(lambda it: _chain(it, k, gap, gap_cost, min_chain), _CHAINS), f"{name}-chains")
-        forget_shuffles(spark)
         ids = linked.df.select("doc_id").union(linked.df.select("src_doc_id")).distinct()
         needed = Kept(texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), f"{name}-texts")
-        forget_shuffles(spark)
         here = linked.df.withColumn("a0", F.greatest(F.lit(0), F.col("parts")[0]["start"] - MARGIN)).withColumn("b0", F.greatest(F.lit(0), F.col("parts")[0]["src"] - MARGIN))
         here = here.join(needed.df, "doc_id").withColumn("a", cut("a0", "start")).drop("text")
         here = here.join(needed.df.withColumnRenamed("doc_id", "src_doc_id"), "src_doc_id").withColumn("b", cut("b0", "src")).drop("text")
@@ -362,7 +359,6 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
         out = Kept(rows.withColumn("identity", identity).filter(F.col("identity") >= min_identity), f"{name}-aligned")
         needed.drop()
         linked.drop()
-        forget_shuffles(spark)
         return out
 
     found = aligned(matches, "seed").df
