@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import Kept
+from skyfold.llm.common import BROADCAST_ROWS, Kept
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,15 +27,15 @@ def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Edges (u, v) of different vertices to rows (u, root): the smallest vertex reachable, for each that has an edge.
 
     Roots have no row of their own. Each round's edges are written to the shared folder and the previous ones removed.
+    Where edges are few (BROADCAST_ROWS at most) a round runs as one task, for there is nothing to gain from a shuffle.
     """
-    held = Kept(edges.select("u", "v").distinct(), "component-edges")
-    seen = None
+    mark = F.xxhash64("u", "v")
+    held = Kept(edges.select("u", "v").distinct(), "component-edges", marked=mark)
     for _ in range(rounds):
-        fresh = Kept(_small(_large(held.df)), "component-edges")
+        now = held.df.coalesce(1) if held.rows <= BROADCAST_ROWS else held.df
+        fresh = Kept(_small(_large(now)), "component-edges", marked=mark)
         held.drop()
+        if (fresh.rows, fresh.mark) == (held.rows, held.mark):
+            return fresh.df.select("u", F.col("v").alias("root"))
         held = fresh
-        now = held.df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen:
-            return held.df.select("u", F.col("v").alias("root"))
-        seen = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")

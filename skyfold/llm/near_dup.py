@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfold.llm import shingles
-from skyfold.llm.common import Kept, forget_shuffles, small_batches
+from skyfold.llm.common import Kept, small_batches
 from skyfold.llm.components import roots
 
 BANDS, ROWS = 48, 6
@@ -121,30 +121,35 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
 
     Documents are linked where 100 * intersection >= percent * union; the component is the smallest id reachable.
     """
-    spark = docs.sparkSession
-    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    sketches = Kept(texts.mapInArrow(lambda it: _sketch(it, k, bands, rows), _SKETCH), "near-sketch")
-    classes = Kept(sketches.df.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class"), F.any_value("bands").alias("bands"), F.any_value("map").alias("map")), "near-classes")
+    return _components(docs, k, percent, bands, rows, id_column, text_column)[0]
+
+
+def _components(docs: DataFrame, k: int, percent: int, bands: int, rows: int, id_column: str, text_column: str) -> tuple[DataFrame, Kept]:
+    """The result of ``components``, and the ids that several rows have."""
+    texts = small_batches(docs).select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    sketches = Kept(texts.mapInArrow(lambda it: _sketch(it, k, bands, rows), _SKETCH), "near-sketch", hashes=True)
+    full = sketches.df.filter("n_shingles > 0 and doc_id is not null")
+    classes = Kept(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class"), F.any_value("bands").alias("bands"), F.any_value("map").alias("map")), "near-classes", hashes=True)
+    repeats = Kept(sketches.df.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-repeats", counted=True)
 
     in_bands = classes.df.select("class", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     sizes = in_bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = Kept(in_bands.join(sizes, "key"), "near-shared").df
+    shared = Kept(in_bands.join(sizes, "key"), "near-shared", hashes=True)
     # Copies of a text meet it in more buckets than each other, so the class with most company is a bucket's pivot.
-    company = shared.groupBy("class").agg(F.sum("m").alias("met"))
-    met = shared.join(company, "class").select("key", "class", "n", "met")
+    company = shared.df.groupBy("class").agg(F.sum("m").alias("met"))
+    met = shared.df.join(company, "class").select("key", "class", "n", "met")
     pivots = met.groupBy("key").agg(F.max("met").alias("met"))
     pivots = met.join(pivots, ["key", "met"]).groupBy("key").agg(F.min("class").alias("pivot"))
-    members = Kept(shared.join(pivots, "key").select("key", "class", "n", "pivot"), "near-members")
-    forget_shuffles(spark)
+    members = Kept(shared.df.join(pivots, "key").select("key", "class", "n", "pivot"), "near-members", hashes=True)
+    shared.drop()
 
     known = members.df.filter("class != pivot")
-    candidates = known.select("class").union(known.select(F.col("pivot").alias("class"))).distinct()
-    leaders = texts.join(candidates, texts["doc_id"] == candidates["class"], "left_semi").mapInArrow(lambda it: _sets(it, k), "class long, d1 long, d2 long, shingles array<long>")
-    sets = Kept(leaders.groupBy("class", "d1", "d2").agg(F.any_value("shingles").alias("shingles")), "near-sets")
-    forget_shuffles(spark)
+    candidates = Kept(known.select("class").union(known.select(F.col("pivot").alias("class"))).distinct(), "near-candidates", counted=True)
+    leaders = texts.join(candidates.side(), texts["doc_id"] == F.col("class"), "left_semi").mapInArrow(lambda it: _sets(it, k), "class long, d1 long, d2 long, shingles array<long>")
+    sets = Kept(leaders.groupBy("class", "d1", "d2").agg(F.any_value("shingles").alias("shingles")), "near-sets", hashes=True)
 
     linked = F.col("both") * 100 >= F.lit(percent) * F.col("either")
-    maps = classes.df.groupBy("class").agg(F.max("n_shingles").alias("n"), F.first("map").alias("map"), F.count("*").alias("texts"))  # one row, but for ids that repeat
+    maps = classes.df.join(candidates.side(), "class", "left_semi").groupBy("class").agg(F.max("n_shingles").alias("n"), F.first("map").alias("map"), F.count("*").alias("texts"))  # one row, but for ids that repeat
 
     def mapped(a: str) -> DataFrame:
         return maps.select(F.col("class").alias(a), F.col("n").alias(f"n_{a}"), F.col("texts").alias(f"t_{a}"), *[F.col("map")[i].alias(f"{a}{i}") for i in range(MAP_WORDS)])
@@ -158,35 +163,46 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAND
         return (sizes & ((total - differ) * (100 + percent) >= total * 2 * percent)) | (F.col(f"t_{a}") > 1) | (F.col(f"t_{b}") > 1)
 
     near = known.select("class", "pivot").distinct().join(mapped("class"), "class").join(mapped("pivot"), "pivot").filter(may_match("class", "pivot")).select("class", "pivot")
-    stars = Kept(_confirmed(near, sets.df, ("class", "pivot")).withColumn("linked", linked), "near-stars")
-    tree = Kept(roots(stars.df.filter("linked").select(F.col("class").alias("u"), F.col("pivot").alias("v"))), "near-tree").df
-
-    placed = members.df.join(stars.df.select("class", "pivot", "linked"), ["class", "pivot"], "left").join(tree, F.col("class") == F.col("u"), "left")
-    placed = Kept(placed.select("key", "class", "pivot", F.coalesce("linked", F.col("class") == F.col("pivot")).alias("linked"), F.coalesce("root", "class").alias("part")), "near-placed").df
-    split = placed.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).filter("_lo < _hi").select("key")
-    placed = placed.filter("class != pivot").join(split, "key", "left_semi").select("key", "class", "linked", "part")
-    failed = placed.filter(~F.col("linked")).select("key", F.col("class").alias("a"), F.col("part").alias("pa")).join(mapped("a"), "a")
-    other = placed.select("key", F.col("class").alias("b"), F.col("part").alias("pb"), F.col("linked").alias("lb")).join(mapped("b"), "b")
+    stars = Kept(_confirmed(near, sets.df, ("class", "pivot")).withColumn("linked", linked), "near-stars", counted=True)
+    tree = Kept(roots(stars.df.filter("linked").select(F.col("class").alias("u"), F.col("pivot").alias("v"))), "near-tree", counted=True)
+
+    placed = members.df.join(stars.side().select("class", "pivot", "linked"), ["class", "pivot"], "left").join(tree.side(), F.col("class") == F.col("u"), "left")
+    placed = Kept(placed.select("key", "class", "pivot", F.coalesce("linked", F.col("class") == F.col("pivot")).alias("linked"), F.coalesce("root", "class").alias("part")), "near-placed", hashes=True)
+    members.drop()
+    split = placed.df.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).filter("_lo < _hi").select("key")
+    apart = placed.df.filter("class != pivot").join(split, "key", "left_semi").select("key", "class", "linked", "part")
+    failed = apart.filter(~F.col("linked")).select("key", F.col("class").alias("a"), F.col("part").alias("pa")).join(mapped("a"), "a")
+    other = apart.select("key", F.col("class").alias("b"), F.col("part").alias("pb"), F.col("linked").alias("lb")).join(mapped("b"), "b")
     rest = failed.join(other, "key").filter((F.col("pa") != F.col("pb")) & (F.col("lb") | (F.col("a") < F.col("b"))) & may_match("a", "b"))
-    rest = Kept(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-rest").df
-    others = _confirmed(rest, sets.df, ("a", "b")).filter(linked)
-    tree = roots(tree.select("u", F.col("root").alias("v")).union(others.select("a", "b")))
-    named = classes.df.select("d1", "d2", "n_shingles", "class").join(tree, F.col("class") == F.col("u"), "left").select("d1", "d2", "n_shingles", F.coalesce("root", "class").alias("component_id"))
-    own = sketches.df.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
+    rest = Kept(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-rest")
+    placed.drop()
+    others = _confirmed(rest.df, sets.df, ("a", "b")).filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges = tree.df.select("u", F.col("root").alias("v")).union(others)
+    if repeats.rows:  # the texts of one id are one document
+        own = full.join(repeats.side(), "doc_id", "left_semi").join(classes.df.select("d1", "d2", "n_shingles", "class"), ["d1", "d2", "n_shingles"])
+        own = own.select("doc_id", "class").distinct()
+        edges = edges.union(own.join(own.groupBy("doc_id").agg(F.min("class").alias("least")), "doc_id").filter("class != least").select("class", "least"))
+    tree = Kept(roots(edges), "near-roots", counted=True)
+    sets.drop()
+    named = classes.df.select("d1", "d2", "n_shingles", "class").join(tree.side(), F.col("class") == F.col("u"), "left").select("d1", "d2", "n_shingles", F.coalesce("root", "class").alias("component_id"))
+    each = sketches.df.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return each.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), repeats
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One document of each component, with its own columns: the one with the smallest id.
 
-    Of rows that repeat both id and text one stays; rows that repeat just the id have one component and all stay if its
-    smallest id is theirs. Rows with null ids stay.
+    Of rows that repeat both id and text one stays; rows that repeat just the id are one document, and all stay if its
+    component's smallest id is theirs. Rows with null ids stay.
     """
-    found = components(docs, k, percent, id_column=id_column, text_column=text_column)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    own = F.col(f"`{id_column}`").cast("long")
-    left = docs.join(gone, own == F.col("_gone"), "left_anti")
-    repeats = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
-    again = left.join(repeats, own == F.col("_again"), "left_semi").dropDuplicates([id_column, text_column])
-    return left.join(repeats, own == F.col("_again"), "left_anti").union(again.select(*left.columns))
+    found, repeats = _components(docs, k, percent, BANDS, ROWS, id_column, text_column)
+    gone = Kept(found.filter(~F.col("kept")).select("doc_id").distinct(), "near-gone", counted=True)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names that no column of docs can clash with
+    at = docs.columns.index(id_column)
+    own = F.col(f"c{at}").cast("long")
+    left = rows.join(gone.side(), own == F.col("doc_id"), "left_anti")
+    if repeats.rows:
+        again = left.join(repeats.side(), own == F.col("doc_id"), "left_semi").dropDuplicates([f"c{at}", f"c{docs.columns.index(text_column)}"])
+        left = left.join(repeats.side(), own == F.col("doc_id"), "left_anti").union(again)
+    return left.toDF(*docs.columns)
