@@ -151,9 +151,11 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, phrases: dict[str, st
             places = []
             joined = b" " + b" ".join(words) + b" "
             for pattern, label in wanted:
-                at = joined.find(pattern)
+                at, counted, word = joined.find(pattern), 0, 0
                 while at >= 0:
-                    places.append({"label": label, "word": joined.count(b" ", 0, at)})
+                    word += joined.count(b" ", counted, at)
+                    counted = at
+                    places.append({"label": label, "word": word})
                     at = joined.find(pattern, at + 1)
             counts.append(len(words))
             found.append(places)
