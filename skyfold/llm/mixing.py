@@ -92,6 +92,11 @@ def position(begin: Column, target: Column, slope: Column) -> Column:
     return F.lit(2.0) * y / (b + F.sqrt(F.greatest(F.lit(0.0), b * b - F.lit(4.0) * slope * y)))
 
 
+def in_order(planned: DataFrame) -> DataFrame:
+    """The plan range-sorted by training position; documents that are not taken come last."""
+    return planned.orderBy(F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
+
+
 def schedule(docs: DataFrame, most: int = 3, cycle: tuple[int, ...] = (1, 2, 3), slope: float = 0.5, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", position_column: str = "_mix_position", words_column: str = "_mix_words") -> DataFrame:
     """The training order: the documents' own columns, a row for each use, range-sorted by position (then id).
 

@@ -130,7 +130,7 @@ from documents d left join n using (doc_id) join root on root.u = d.doc_id
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.llm import mixing
 
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    planned = mixing.in_order(mixing.plan(table(spark, sf_dir, "documents")))
     return planned.selectExpr("doc_id", "size", "source_size", "target", "taken", "uses", "round(first_position, 9) first_position")
 
 
