@@ -17,8 +17,8 @@ Results are approximate; scores are exact inner products in double precision. Wi
 recall is in the README.
 
 Defined results: vectors that are null, zero, of another length than most, or have null or non-finite components take
-no part, nor do null ids; rows that repeat an id count once if their vectors are equal; fewer than k candidates give
-them all; ties go to the smaller id; an empty table gives no rows; further columns are ignored.
+no part, nor do null ids; rows that repeat an id are one row, with the least of its vectors that take part (component by
+component); fewer than k candidates give them all; ties go to the smaller id; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -187,6 +187,11 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, dims: int = DIMS, st
     if lengths is None:
         return empty
     dim = lengths.d
+    repeats = Kept(rows.filter("vec_id is not null").groupBy("vec_id").count().filter("count > 1").select("vec_id"), "ann-repeats", counted=True)
+    if repeats.rows:
+        fits = (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+        single = rows.join(repeats.side(), "vec_id", "left_semi").filter(fits).groupBy("vec_id").agg(F.min("v").alias("v"))
+        rows = rows.join(repeats.side(), "vec_id", "left_anti").unionByName(single)
     collapsed = rows.mapInArrow(lambda it: _collapse(it, dim, k, every), _COLLAPSED)
     merged = collapsed.groupBy("vec", "norm").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"), F.bool_or("asks").alias("asks"))
     points = Kept(merged.select(F.monotonically_increasing_id().alias("vid"), "vec", "norm", "ids", "asks"), "ann-points").df
