@@ -4,12 +4,12 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Each
 filters run over each chunk; the largest response of each filter in a chunk is kept (max-pooling), the chunks' responses
 are averaged, and one linear unit makes a probability of them. The network sees bytes alone.
 
-Fitting takes at most ``fit_rows`` labelled rows a class (those with the smallest hash of the id) and at most
-``fit_chunks`` chunks of each, evenly spaced; the unit's bias then gets the log odds of all labelled rows. Scoring
-covers every chunk of every row, inside a task and without a shuffle.
+Fitting takes at most ``fit_rows`` labelled rows a class (those with the smallest hash of the id) and every chunk of
+them; the unit's bias then gets the log odds of all labelled rows. Scoring covers every chunk of every row, inside a
+task and without a shuffle.
 
 Defined results: null and empty texts are one chunk of zero bytes, and get that chunk's score; null and repeated ids
-are rows of their own; labels without a quality or without a document are left out; without labels of both classes
+are rows of their own (a repeated id is fitted once, on the least of its texts); labels without a quality or without a document are left out; without labels of both classes
 every score is the share of label 1 (0.5 where there are none); an empty table gives no rows. Columns of the input
 other than id and text are ignored by ``score`` and kept by ``accept``.
 """
@@ -127,24 +127,21 @@ def fit(chunks: np.ndarray, owners: np.ndarray, labels: np.ndarray, seed: int =
     return net
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text in text_bytes(batch.column(2)):
-            n = n_chunks(len(text))
-            rows.append([chunk(text, c) for c in sorted({i * n // most for i in range(most)})])
+        rows = [[chunk(text, c) for c in range(n_chunks(len(text)))] for text in text_bytes(batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.binary()))], ["doc_id", "label", "chunks"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", fit_rows: int = 1500, fit_chunks: int = 12, id_column: str = "doc_id", text_column: str = "text") -> Network:
+def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", fit_rows: int = 1500, id_column: str = "doc_id", text_column: str = "text") -> Network:
     """Fits on at most fit_rows labelled rows a class. ``labels`` holds the rows to learn from, and no others."""
     known = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     order = [F.xxhash64("doc_id"), "doc_id"]
     counts = dict(known.groupBy("label").count().collect())
     chosen = known.filter("label = 0").orderBy(*order).limit(fit_rows).union(known.filter("label = 1").orderBy(*order).limit(fit_rows))
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # 2 * fit_rows rows at most
-    rows = found.mapInArrow(lambda it: _chunk_rows(it, fit_chunks), "doc_id long, label int, chunks array<binary>").toArrow()
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # 2 * fit_rows rows at most
+    rows = found.mapInArrow(_chunk_rows, "doc_id long, label int, chunks array<binary>").toArrow()
     rows = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["chunks"].to_pylist(), strict=True), key=lambda r: (r[0], r[1], r[2]))
     target = np.array([r[1] for r in rows], np.float32)
     if not 0 < target.sum() < len(target):
