@@ -35,6 +35,8 @@ from skyfold.llm.common import fresh_path, keep, small_batches
 
 LEAST_BYTES = 100
 BLOCK_LINES = 1000
+#: Captures that a reading task looks up: some tens of megabytes of pages.
+CAPTURES_A_TASK = 4000
 #: Repeated payloads (a digest, an id and a url each) that are broadcast at most; beyond, the join shuffles.
 BROADCAST_ROWS = 20_000
 DATE = "2024-01-01T00:00:00Z"
@@ -188,17 +190,17 @@ def _pack_index(batches: Iterator[pa.RecordBatch], folder: str, lines: int) -> I
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (directory[0].split("\t")[0], writer.name, at, len(raw), total)], ["first_key", "file", "offset", "length", "captures"])
 
 
-def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> list[tuple[str, str, int, int]]:
-    """The index files: (first key, file, where its directory begins, directory bytes), sorted by key."""
+def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> list[tuple[str, str, int, int, int]]:
+    """The index files: (first key, file, where its directory begins, directory bytes, captures), sorted by key."""
     lines = captures.select("key", "file", "offset", "length").repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
     made = keep(lines.mapInArrow(lambda it: _pack_index(it, folder, block_lines), "first_key string, file string, offset long, length long, captures long"), "warc-index")
-    return sorted((r.first_key, r.file, r.offset, r.length) for r in made.select("first_key", "file", "offset", "length").collect())
+    return sorted(tuple(r) for r in made.select("first_key", "file", "offset", "length", "captures").collect())
 
 
 class Reader:
     """Looks captures up: index file, directory, block, record; each by binary search, then one range read."""
 
-    def __init__(self, folder: str, shards: list[tuple[str, str, int, int]], handles: int = 32, blocks: int = 64) -> None:
+    def __init__(self, folder: str, shards: list[tuple[str, str, int, int, int]], handles: int = 32, blocks: int = 64) -> None:
         self.fs, self.folder = _filesystem(folder)
         self.shards, self.firsts = shards, [s[0] for s in shards]
         self.files: OrderedDict = OrderedDict()
@@ -225,7 +227,7 @@ class Reader:
 
     def find(self, key: str) -> Iterator[tuple[str, int, int]]:
         """File, offset and length of every capture with the key, wherever a run of equal keys begins and ends."""
-        for _, shard, at, n in self.shards[max(bisect_left(self.firsts, key) - 1, 0) : bisect_right(self.firsts, key)]:
+        for _, shard, at, n, _ in self.shards[max(bisect_left(self.firsts, key) - 1, 0) : bisect_right(self.firsts, key)]:
             firsts, rows = self._lines(shard, at, n)
             for _, offset, length in rows[max(bisect_left(firsts, key) - 1, 0) : bisect_right(firsts, key)]:
                 keys, lines = self._lines(shard, int(offset), int(length))
@@ -294,7 +296,11 @@ def keys_of(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(run, "key string").distinct()
 
 
-def read_captures(spark: SparkSession, folder: str, shards: list[tuple[str, str, int, int]], keys: DataFrame) -> DataFrame:
-    """Every capture of the (distinct) keys, with its full payload. Keys are sorted first, so a task reads neighbours."""
-    sorted_keys = keys.select("key").repartitionByRange("key").sortWithinPartitions("key")
+def read_captures(spark: SparkSession, folder: str, shards: list[tuple[str, str, int, int, int]], keys: DataFrame) -> DataFrame:
+    """Every capture of the (distinct) keys, with its full payload. Keys are sorted first, so a task reads neighbours.
+
+    Keys are small and records are not, so the number of tasks follows the captures.
+    """
+    tasks = max(1, -(-sum(s[4] for s in shards) // CAPTURES_A_TASK))
+    sorted_keys = keys.select("key").repartitionByRange(tasks, "key").sortWithinPartitions("key")
     return sorted_keys.mapInArrow(lambda it: _lookup(it, folder, shards), _FOUND)
