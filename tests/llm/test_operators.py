@@ -289,6 +289,8 @@ def test_licenses_of_odd_rows(spark, odd, none):
     docs = documents(spark, [(1, "All  rights\nReserved. cc BY cc by", "s"), (2, "This work is licensed under the GNU General Public License, version 3.", "s"), (3, "plain", "s")])
     out = {r.doc_id: r for r in licenses.digest(licenses.scan(docs)).collect()}
     assert (out[1].n_words, out[1].n_base, out[1].first_word, out[1].last_word, out[1].labels) == (7, 3, 0, 5, "cc-by,reserved")
+    many = licenses.digest(licenses.scan(documents(spark, [(9, "cc by " * 60000, "s")]))).first()
+    assert (many.n_base, many.first_word, many.last_word) == (60000, 0, 119998)
     assert out[2].labels == "gpl,gpl-3" and out[2].base_labels == "gpl" and out[3].labels == "" and out[3].first_word is None and out[3].score == 0
     assert licenses.digest(licenses.scan(odd)).count() == odd.count() and licenses.scan(none).count() == 0
 
@@ -326,5 +328,7 @@ def test_neighbours_recall_and_odd_vectors(spark):
         hit += len({i for i, _ in found} & set(order))
         assert all(abs(s[i] - v) < 1e-9 for i, v in found) and [v for _, v in found] == sorted((v for _, v in found), reverse=True)
     assert hit >= 0.9 * 20 * len(got)
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [1.0, 1.0]), (1, [0.0, 0.0]), (20, [3.0, 0.0]), (20, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in neighbours.top_k(twice).orderBy("query_id", "rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.5)]
     few = neighbours.top_k(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)] and neighbours.top_k(df.limit(0)).count() == 0

@@ -43,10 +43,19 @@ def test_everything_mixed_is_packed(steps):
 
 def test_stages_take_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0, name
 
 
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    for c in ("_was_empty", "_mix_words", "_mix_position", "words", "position", "_gone", "_again", "_rid", "key", "cid", "c0"):
+        docs = docs.withColumn(c, docs["doc_id"] * 2)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and all(r._gone == r.doc_id * 2 == r.words for r in out.collect()), name
+
+
 @pytest.mark.parametrize("name", ["op2_warc", "op3_line_dedup", "op4_licenses", "op6_near_dup", "op7_mixing"])
 def test_query_equals_its_sql(spark, sf, name):
     got = entry.queries()[name](spark, sf)
