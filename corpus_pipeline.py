@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.llm import line_dedup, mixing, near_dup, packing, quality
-from skyfold.llm.common import keep, table
+from skyfold.llm.common import fresh_name, keep, table
 
 #: Documents whose quality score is below this go: those that the classifier rejects.
 ACCEPT = quality.THRESHOLD
@@ -27,8 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that match an earlier line. n_chars follows the text; a document of which no line is left goes."""
-    was_empty = (F.coalesce(F.length("text"), F.lit(0)) == 0).alias("_was_empty")
-    clean = line_dedup.dedup_lines(docs.select("*", was_empty)).filter(F.col("_was_empty") | (F.length("text") > 0)).drop("_was_empty")
+    clean = line_dedup.dedup_lines(docs, drop_emptied=True)
     changes = {"n_chars": F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return clean.withColumns(changes) if changes else clean
 
@@ -43,9 +42,10 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A use that takes part of a document counts if it takes at least half of it. Documents without words go.
     """
-    used = mixing.schedule(docs)
+    position, words = fresh_name(docs, "position"), fresh_name(docs, "words")
+    used = mixing.schedule(docs, position_column=position, words_column=words)
     whole = mixing.word_count(F.col("text"))
-    return used.filter(F.col("_mix_words") * 2 >= whole).drop("_mix_position", "_mix_words")
+    return used.filter(F.col(words) * 2 >= whole).drop(position, words)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,8 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("near_dup", near_stage), ("mixing", mix_stage), ("packing", pack_stage)]
 
-#: A trained network and a tokenizer are not SQL; tests hold each stage against a brute-force version.
+#: A trained network and a tokenizer are not SQL; tests hold the operators of the stages against brute force, and the
+#: stages against what they promise.
 ORACLE_SQL = None
 
 
