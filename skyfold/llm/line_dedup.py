@@ -14,10 +14,10 @@ DataFrame operations only. A line's tokens are its words (A-Z lower-cased), as a
 4. Triples that a single class posts meet nothing and leave after one count; chance meetings are rare, unlike those of
    single tokens, so the work grows with the input and not with its square. Of classes that share a triple, candidates
    pass the length filter, the positional filter (what stands before and behind the shared triple must suffice), and a
-   bound on the tokens that their prefixes share, by the differing bits of two parity maps. All are exact. Each class
+   bound on the tokens that they share, by the differing bits of two parity maps. All are exact. Each class
    is first compared with the earliest class of the triple (its pivot); who matches goes and needs no other comparison.
-   What is left is compared with every earlier class that shares enough of its triples. So m copies of a line with a
-   few words changed cost m comparisons, and none is dropped.
+   What is left is compared with every earlier class that met the same pivot and passes the length and map filters. So
+   m copies of a line with a few words changed cost m comparisons, and none is dropped.
 5. Jaccard is verified on the words themselves.
 
 Earlier lines count as they were, whether they stay themselves or not; so the result depends on no processing order.
@@ -122,39 +122,27 @@ def _overlap(na: Column, nb: Column, percent: int) -> Column:
     return F.ceil((na + nb) * percent / F.lit(100.0 + percent) - 1e-9)
 
 
-def _maps(prefix: Column) -> list[Column]:
-    """128 bits: for each, whether an odd number of the prefix's tokens fall on it."""
+def _maps(keys: Column) -> list[Column]:
+    """128 bits: for each, whether an odd number of the line's tokens fall on it."""
 
     def folded(bit) -> Column:
-        return F.aggregate(prefix, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", bit(k).cast("long"), k.bitwiseAND(F.lit(63)))))
+        return F.aggregate(keys, F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
 
     odd = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1))
     return [folded(lambda k: F.lit(1) - odd(k)).alias("m0"), folded(odd).alias("m1")]
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length, positional and map filter of two lines that share a key.
-
-    What stands before the key in both, and from it on, must suffice. Of a's prefix all but x tokens are common, and
-    stand in b not more than y places later; so much must the prefixes have in common, and the bits in which their maps
-    differ bound how much they have not.
-    """
-    na, nb, pa, pb = (F.col(x + c) for c in ("n", "p") for x in (a, b))
-    least = _overlap(na, nb, percent)
-    la, lb, x, y = _prefix(na, percent), _prefix(nb, percent), na - least, nb - least
-    common = F.greatest(F.least(la, lb - y) - x, F.least(lb, la - x) - y)
+    """Length and map filter: the bits in which the maps differ are no more than the tokens that are not common."""
+    na, nb = F.col(a + "n"), F.col(b + "n")
     differ = F.bit_count(F.col(f"{a}m0").bitwiseXOR(F.col(f"{b}m0"))) + F.bit_count(F.col(f"{a}m1").bitwiseXOR(F.col(f"{b}m1")))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(pa, pb) + F.least(na - pa, nb - pb) >= least) & (la + lb - differ >= common * 2)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (na + nb - differ >= _overlap(na, nb, percent) * 2)
 
 
-def _shared(na: Column, nb: Column, percent: int) -> Column:
-    """Posted keys that two matching lines share at least."""
-    x, y = na - _overlap(na, nb, percent), nb - _overlap(na, nb, percent)
-
-    def least(k: int) -> Column:
-        return F.least(_posts(na, percent, k) - k * x - (k - 1) * y, _posts(nb, percent, k) - k * y - (k - 1) * x)
-
-    return F.when(F.least(na, nb) >= _long(percent), least(3)).otherwise(least(2))
+def _in_place(a: str, b: str, percent: int) -> Column:
+    """Positional filter: what stands before the shared key in both, and from it on, must suffice."""
+    na, nb, pa, pb = (F.col(x + c) for c in ("n", "p") for x in (a, b))
+    return F.least(pa, pb) + F.least(na - pa, nb - pb) >= _overlap(na, nb, percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -176,8 +164,8 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     keys = prepared_lines(lines).select("doc_id", "text_key", "line_no", keyed(tokens(F.col("line")), levels).alias("keys"))
     n = F.size("keys")
     prefix = F.transform(F.slice("keys", F.lit(1), _prefix(n, percent)), lambda k: F.hash(k))
-    keys = keys.select("doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2"), prefix.alias("prefix"))
-    prepared = Kept(keys.select("*", *_maps(F.col("prefix"))), "line-keys", hashes=True)
+    digests = [F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2")]
+    prepared = Kept(keys.select("doc_id", "text_key", "line_no", n.alias("n"), *digests, prefix.alias("prefix"), *_maps(F.col("keys"))), "line-keys", hashes=True)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "line_no")
     own = ["n", "m0", "m1"]
     grouped = prepared.df.filter("n > 0").groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in [*own, "prefix"]])
@@ -193,7 +181,7 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     pivots = Kept(met.df.groupBy("key").agg(F.min(F.struct(*own)).alias("pivot")).select("key", *[F.col(f"pivot.{c}").alias(f"o_{c}") for c in own]), "line-pivots", counted=True)
     repeated.drop()
     pivoted = met.df.join(pivots.side(), "key").filter(F.col("cid") != F.col("o_cid"))
-    first_pairs = Kept(pivoted.filter(_may_match("", "o_", percent)).select(F.col("cid").alias("a"), F.col("o_cid").alias("b")).distinct(), "line-near")
+    first_pairs = Kept(pivoted.filter(_may_match("", "o_", percent) & _in_place("", "o_", percent)).select(F.col("cid").alias("a"), F.col("o_cid").alias("b")).distinct(), "line-near")
 
     def matched(pairs: DataFrame) -> Kept:
         """Of each pair of similar lines the later class."""
@@ -205,15 +193,17 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
         return out
 
     gone = matched(first_pairs.df)
-    # Every class with its pivot has been looked at; others only meet where three classes post the same key.
-    several = pivoted.filter("m > 2").select("key", *own)
-    x = several.join(gone.side(), "cid", "left_anti").select("key", *[F.col(c).alias(f"x_{c}") for c in own])
-    y = several.select("key", *[F.col(c).alias(f"y_{c}") for c in own])
+    # Every class with its pivot has been looked at. Others only meet where three classes post a key, and share its pivot
+    # then; so each pair is made once for each pivot, not for each key.
+    own = ["last", "doc_id", "cid", "n", "m0", "m1"]
+    family = Kept(pivoted.filter("m > 2").select(F.col("o_cid").alias("family"), *own).distinct(), "line-families")
+    x = family.df.join(gone.side(), "cid", "left_anti").select("family", *[F.col(c).alias(f"x_{c}") for c in own])
+    y = family.df.select("family", *[F.col(c).alias(f"y_{c}") for c in own])
     # y comes first by document; inside a document the classes' lines decide, once verified
     order = lambda s: F.struct(F.col(f"{s}last").alias("l"), F.col(f"{s}doc_id").alias("d"))
-    rest = x.join(y, "key").filter((F.col("x_cid") != F.col("y_cid")) & (order("y_") <= order("x_")) & _may_match("x_", "y_", percent))
-    rest = rest.groupBy(F.col("x_cid").alias("a"), F.col("y_cid").alias("b"), "x_n", "y_n").agg(F.count("*").alias("m")).filter(F.col("m") >= _shared(F.col("x_n"), F.col("y_n"), percent)).select("a", "b")
-    others = Kept(rest.join(first_pairs.df, ["a", "b"], "left_anti"), "line-rest")
+    rest = x.join(y, "family").filter((F.col("x_cid") != F.col("y_cid")) & (order("y_") <= order("x_")) & _may_match("x_", "y_", percent))
+    others = Kept(rest.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct().join(first_pairs.df, ["a", "b"], "left_anti"), "line-rest")
+    family.drop()
     met.drop()
     pivots.drop()
     removed = gone.df.union(matched(others.df).df).distinct().withColumn("gone", F.lit(True))
