@@ -109,6 +109,41 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return Kept(df, name).df
 
 
+#: Rows of the map of perhaps_in: 2^25 bits.
+MAP_ROWS = 1 << 17
+
+
+def perhaps_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key (a long) may be among the keys, by a map of MAP_ROWS x 4 x 64 bits that is sent to every task.
+
+    Its size is fixed; with more keys than bits it lets all rows pass, and the join that follows decides.
+    """
+
+    def cell(h: Column) -> Column:
+        return h.bitwiseAND(F.lit(MAP_ROWS - 1))
+
+    def word(h: Column) -> Column:
+        return F.shiftright(h, 40).bitwiseAND(F.lit(3))
+
+    def bit(h: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 48).bitwiseAND(F.lit(63)).cast("int"))
+
+    mixed, own = F.col("_h"), F.xxhash64(key)
+    words = [F.bit_or(F.when(word(mixed) == i, bit(mixed)).otherwise(0)).alias(f"_w{i}") for i in range(4)]
+    cells = keys.select(own.alias("_h")).groupBy(cell(mixed).alias("_cell")).agg(*words)
+    of = F.when(word(own) == 0, F.col("_w0")).when(word(own) == 1, F.col("_w1")).when(word(own) == 2, F.col("_w2")).otherwise(F.col("_w3"))
+    return rows.join(F.broadcast(cells), cell(own) == F.col("_cell")).filter(of.bitwiseAND(bit(own)) != 0).select(*rows.columns)
+
+
+def one_row_an_id(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows(key, value) with the largest value of each key. Only keys that repeat are gathered."""
+    repeats = Kept(rows.groupBy(key).count().filter("count > 1").select(key), name, counted=True)
+    if not repeats.rows:
+        return rows
+    largest = rows.join(repeats.side(), key, "left_semi").groupBy(key).agg(F.max(value).alias(value))
+    return rows.join(repeats.side(), key, "left_anti").unionByName(largest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,11 +32,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import SPACE, Kept, ascii_lower
+from skyfold.llm.common import SPACE, Kept, ascii_lower, perhaps_in
 
 CELLS = 1 << 16
-#: Rows of the map of repeated keys: 2^25 bits.
-MAP_ROWS = 1 << 17
 #: Below this similarity two matching lines need not have neighbouring tokens in common.
 LEAST_PERCENT = 75
 #: Characters besides A-Z that lower() changes are among these.
@@ -177,7 +175,7 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     posted = _keys_of(classes.df.select("cid", "first.last", "first.doc_id", "n", "m0", "m1", "prefix"), percent, own)
     own.append("p")
     repeated = Kept(posted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "line-repeated", counted=True)
-    met = Kept(_among(posted, repeated.df).join(repeated.side(), "key"), "line-met")
+    met = Kept(perhaps_in(posted, repeated.df, "key").join(repeated.side(), "key"), "line-met")
     pivots = Kept(met.df.groupBy("key").agg(F.min(F.struct(*own)).alias("pivot")).select("key", *[F.col(f"pivot.{c}").alias(f"o_{c}") for c in own]), "line-pivots", counted=True)
     repeated.drop()
     pivoted = met.df.join(pivots.side(), "key").filter(F.col("cid") != F.col("o_cid"))
@@ -215,20 +213,6 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     return marked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("line_numbers"))
 
 
-def _among(posted: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The rows whose key may be repeated, by a map of MAP_ROWS x 4 x 64 bits that is sent to every task.
-
-    Its size is fixed; with more repeated keys than bits it lets all rows pass, and the join that follows decides.
-    """
-    cell, word, bit = (lambda c: c.bitwiseAND(F.lit(MAP_ROWS - 1))), (lambda c: F.shiftright(c, 40).bitwiseAND(F.lit(3))), (lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 48).bitwiseAND(F.lit(63)).cast("int")))
-    mixed = repeated.select(F.xxhash64("key").alias("h"))
-    words = [F.bit_or(F.when(word(F.col("h")) == i, bit(F.col("h"))).otherwise(0)).alias(f"_w{i}") for i in range(4)]
-    rows = mixed.groupBy(cell(F.col("h")).alias("_cell")).agg(*words)
-    own = F.xxhash64("key")
-    of = F.when(word(own) == 0, F.col("_w0")).when(word(own) == 1, F.col("_w1")).when(word(own) == 2, F.col("_w2")).otherwise(F.col("_w3"))
-    return posted.join(F.broadcast(rows), cell(own) == F.col("_cell")).filter(of.bitwiseAND(bit(own)) != 0).select(*posted.columns)
-
-
 def _words(texts: DataFrame, classes: DataFrame, wanted: DataFrame, separator: str) -> Kept:
     """cid, first place and distinct words of the first line of each wanted class."""
     found = classes.select("cid", "first").join(wanted.toDF("cid").distinct(), "cid")

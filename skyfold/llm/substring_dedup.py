@@ -9,13 +9,17 @@
 4. Chains are aligned: between segments by word edit distance, beyond their ends by an x-drop extension.
 5. Aligned chains of a document that touch or overlap make a passage, whatever their sources. Passages of at least
    ``min_words`` words are the result, one row for each chain.
-6. A source that shares only a short stretch may be the smallest for each seed of a passage. So pairs of seeds MIN_CHAIN
-   - k to 2 (k + window) words apart, which no aligned chain spans, are joined with the same pair of seeds, at the same
-   distance, in the smallest doc_id that has it, and steps 3 and 4 run on these matches; pairs still open are joined
-   with every smaller doc_id that has them. Any MIN_CHAIN words on one diagonal (a segment of step 3) hold such a pair.
+6. A source that shares only a short stretch may be the smallest for each seed of a passage. So from each seed that
+   occurs in two documents, the run of such seeds that spans MIN_CHAIN words makes a long seed, and what no aligned
+   chain covers is joined with the smallest doc_id that has the same long seed. That source shares MIN_CHAIN words or
+   more there, so its chain is long enough, and steps 3 to 5 put the chains of a passage together.
 
-Defined results: null and empty texts have no seeds; rows with null ids take no part; rows that repeat an id are one
-document, which is not compared with itself (so repeats inside a document are not reported); an empty table gives no
+A run of MIN_CHAIN + 2 (k + window) words or more that stands in two documents is always found, but for k + window
+words at its ends where a shorter source owns the seeds there; a passage whose words differ more often may be lost where smaller documents hold all of its seeds in short stretches.
+
+Defined results: null and empty texts have no seeds; rows with null ids take no part; of rows that
+repeat an id the one with the largest text counts; a document is not compared with itself (so repeats inside a document
+are not reported); an empty table gives no
 rows; further columns are ignored. Words are split at ASCII white space and compared with A-Z lower-cased.
 """
 
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.llm import shingles
-from skyfold.llm.common import SPACE, Kept, ascii_lower, small_batches
+from skyfold.llm.common import SPACE, Kept, ascii_lower, one_row_an_id, perhaps_in, small_batches
 
 K, WINDOW = 5, 9
 MIN_CHAIN, MIN_WORDS, MIN_IDENTITY, GAP_COST, MARGIN, JOIN_GAP = 15, 45, 0.75, 0.3, 12, 8
@@ -89,9 +93,9 @@ def segments(pos: np.ndarray, src: np.ndarray, k: int, gap: int) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, pos, end, seed) sorted by doc_id, where a null seed marks a covered stretch: seeds of a document that are
-    ``low`` to ``high`` words apart, and whether no covered stretch holds both."""
+def _runs(batches: Iterator[pa.RecordBatch], k: int, least: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, pos, end, seed) sorted by doc_id, where a null seed marks a covered stretch: for each seed the run of
+    seeds from it on that spans ``least`` words (``most`` words apart at most), and whether no covered stretch holds it."""
     names = ["key", "doc_id", "pos", "apart", "open"]
 
     def finish(doc: np.ndarray, pos: np.ndarray, end: np.ndarray, seed: np.ndarray, is_seed: np.ndarray) -> pa.RecordBatch:
@@ -102,15 +106,15 @@ def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int) -> It
         own = np.flatnonzero(is_seed)
         own = own[np.argsort(place[own], kind="stable")]
         at, doc, pos, seed = place[own], doc[own], pos[own], seed[own]
-        reached = reach[np.searchsorted(place[spans], at, "right")]
-        out, s = [], 1
-        while s < len(at) and ((apart := at[s:] - at[:-s]) <= high).any():
-            i = np.flatnonzero((apart >= low) & (apart <= high))
-            key = (seed[i] * np.uint64(0x9E3779B97F4A7C15)) ^ ((seed[i + s] ^ (seed[i + s] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) ^ (apart[i].astype(np.uint64) * np.uint64(0x94D049BB133111EB))
-            out.append((key.view(np.int64), doc[i], pos[i].astype(np.int32), apart[i].astype(np.int32), reached[i] < at[i + s] + k))
-            s += 1
-        kinds = [np.int64, np.int64, np.int32, np.int32, bool]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if out else np.empty(0, t)) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names)
+        last = np.searchsorted(at, at + (least - k))
+        fits = np.flatnonzero(last < len(at))
+        fits = fits[at[last[fits]] - at[fits] <= most]
+        last = last[fits]
+        apart = at[last] - at[fits]
+        sums = np.append(np.uint64(0), np.cumsum(shingles.mix64(seed ^ np.uint64(0x94D049BB133111EB))))
+        key = shingles.mix64(seed[fits] * np.uint64(0x9E3779B97F4A7C15) ^ (sums[last + 1] - sums[fits]) ^ (apart.astype(np.uint64) << np.uint64(56)))
+        is_open = reach[np.searchsorted(place[spans], at[fits], "right")] < at[last] + k
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[fits]), pa.array(pos[fits].astype(np.int32)), pa.array(apart.astype(np.int32)), pa.array(is_open)], names)
 
     held: list[tuple] = []
     for batch in batches:
@@ -130,58 +134,6 @@ def _pairs(batches: Iterator[pa.RecordBatch], k: int, low: int, high: int) -> It
         yield finish(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def _meet(batches: Iterator[pa.RecordBatch], every: bool, at_once: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Rows of _pairs sorted by (key, doc_id, pos): both seeds of each open pair with those of the smallest doc_id that has the
-    key, or of ``every`` smaller doc_id.
-
-    Places of a key at steps of MAX_GAP words or less in a document are one run; the places of two runs meet in order,
-    beginning again where the source's run ends.
-    """
-
-    def finish(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, apart: np.ndarray, is_open: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = len(key)
-        new_key = np.append(True, key[1:] != key[:-1])
-        new_doc = new_key | np.append(True, doc[1:] != doc[:-1])
-        starts = np.flatnonzero(new_doc | np.append(True, pos[1:] - pos[:-1] > MAX_GAP))
-        sizes = np.diff(np.append(starts, n))
-        run = np.repeat(np.arange(len(starts)), sizes)
-        row = np.arange(n)
-        key_at, doc_at = np.maximum.accumulate(np.where(new_key, row, 0)), np.maximum.accumulate(np.where(new_doc, row, 0))
-        first, last = run[key_at], run[doc_at]
-        if not every:
-            second = np.append(np.flatnonzero(new_doc), n)
-            last = np.minimum(last, np.append(run, len(starts))[second[np.searchsorted(second, key_at, "right")]])
-        later = np.flatnonzero(is_open & (doc_at > key_at))
-        many = last[later] - first[later]
-        ends = np.cumsum(many)
-        lo = 0
-        while lo < len(later):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + at_once, "right")))
-            m = many[lo:hi]
-            mine = np.repeat(later[lo:hi], m)
-            of = np.arange(len(mine)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[later[lo:hi]], m)
-            other = starts[of] + (mine - starts[run[mine]]) % sizes[of]
-            step = np.stack([np.zeros_like(apart[mine]), apart[mine]], 1)
-            columns = (np.repeat(doc[mine], 2), np.repeat(doc[other], 2), (pos[mine][:, None] + step).ravel(), (pos[other][:, None] + step).ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "src_doc_id", "pos", "src"])
-            lo = hi
-
-    held: list[tuple] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
-        if held and cut == 0 and held[-1][0][-1] == rows[0][0]:
-            held.append(rows)
-            continue
-        if held or cut:
-            yield from finish(*(np.concatenate(c) for c in zip(*held, tuple(c[:cut] for c in rows), strict=True)))
-        held = [tuple(c[cut:] for c in rows)]
-    if held:
-        yield from finish(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-
 class Fenwick:
     """Largest (value, item) over a prefix."""
 
@@ -330,14 +282,15 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_chain: int = MIN_CHAIN, min_identity: float = MIN_IDENTITY, gap_cost: float = GAP_COST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, start_word, end_word (exclusive), src_doc_id, src_start, src_end, matches, identity, score, passage_start, passage_end."""
-    spark = docs.sparkSession
-    texts = small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).filter("doc_id is not null")
-    seeds = Kept(texts.mapInArrow(lambda it: _seeds(it, k, window), "seed long, doc_id long, pos int"), "seeds")
-    repeated = seeds.df.groupBy("seed").agg(F.min("doc_id").alias("src_doc_id"), F.max("doc_id").alias("_last")).filter("src_doc_id < _last").select("seed", "src_doc_id")
-    met = Kept(seeds.df.join(repeated, "seed"), "seed-matches")
+    texts = small_batches(docs).select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text")).filter("doc_id is not null")
+    texts = one_row_an_id(texts, "doc_id", "text", "seed-repeats")
+    seeds = Kept(texts.mapInArrow(lambda it: _seeds(it, k, window), "seed long, doc_id long, pos int"), "seeds", hashes=True)
+    repeated = Kept(seeds.df.groupBy("seed").agg(F.min("doc_id").alias("src_doc_id"), F.max("doc_id").alias("_last")).filter("src_doc_id < _last").select("seed", "src_doc_id"), "seed-sources", counted=True, hashes=True)
+    met = Kept(perhaps_in(seeds.df, repeated.df, "seed").join(repeated.side(), "seed"), "seed-matches", hashes=True)
     seeds.drop()
-    sources = met.df.filter("doc_id = src_doc_id").groupBy("seed").agg(F.min("pos").alias("src"))
-    matches = met.df.filter("doc_id != src_doc_id").join(sources, "seed").select("doc_id", "src_doc_id", "pos", "src")
+    repeated.drop()
+    sources = Kept(met.df.filter("doc_id = src_doc_id").groupBy("seed").agg(F.min("pos").alias("src")), "seed-places", counted=True, hashes=True)
+    matches = met.df.filter("doc_id != src_doc_id").join(sources.side(), "seed").select("doc_id", "src_doc_id", "pos", "src")
     gap = 2 * (k + window)
     words = F.filter(F.split(ascii_lower(F.col("text")), SPACE), lambda w: w != "")
 
@@ -349,8 +302,8 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     def aligned(matches: DataFrame, name: str) -> Kept:
         ordered = matches.repartition("doc_id", "src_doc_id").sortWithinPartitions("doc_id", "src_doc_id")
         linked = Kept(ordered.mapInArrow(lambda it: _chain(it, k, gap, gap_cost, min_chain), _CHAINS), f"{name}-chains")
-        ids = linked.df.select("doc_id").union(linked.df.select("src_doc_id")).distinct()
-        needed = Kept(texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), f"{name}-texts")
+        ids = Kept(linked.df.select("doc_id").union(linked.df.select("src_doc_id")).distinct(), f"{name}-ids", counted=True)
+        needed = Kept(texts.join(ids.side(), "doc_id", "left_semi"), f"{name}-texts")
         here = linked.df.withColumn("a0", F.greatest(F.lit(0), F.col("parts")[0]["start"] - MARGIN)).withColumn("b0", F.greatest(F.lit(0), F.col("parts")[0]["src"] - MARGIN))
         here = here.join(needed.df, "doc_id").withColumn("a", cut("a0", "start")).drop("text")
         here = here.join(needed.df.withColumnRenamed("doc_id", "src_doc_id"), "src_doc_id").withColumn("b", cut("b0", "src")).drop("text")
@@ -362,15 +315,19 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
         return out
 
     found = aligned(matches, "seed").df
-    for every in (False, True):
-        stretches = found.selectExpr("doc_id", "cast(start_word as int) pos", "cast(end_word as int) end", "cast(null as long) seed")
-        places = met.df.selectExpr("doc_id", "pos", "pos end", "seed").union(stretches)
-        pairs = places.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: _pairs(it, k, min_chain - k, gap), "key long, doc_id long, pos int, apart int, open boolean")
-        ordered = pairs.repartition("key").sortWithinPartitions("key", "doc_id", "pos")
-        more = ordered.mapInArrow(lambda it, every=every: _meet(it, every), "doc_id long, src_doc_id long, pos int, src int")
-        found = found.union(aligned(more, "pair").df)
+    stretches = found.selectExpr("doc_id", "cast(start_word as int) pos", "cast(end_word as int) end", "cast(null as long) seed")
+    places = met.df.selectExpr("doc_id", "pos", "pos end", "seed").union(stretches)
+    runs = places.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: _runs(it, k, min_chain, gap), "key long, doc_id long, pos int, apart int, open boolean")
+    runs = Kept(runs, "runs", hashes=True)
     met.drop()
-    found = found.distinct()
+    owners = runs.df.groupBy("key").agg(F.min("doc_id").alias("src_doc_id"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("_open")).filter("src_doc_id < _open").select("key", "src_doc_id")
+    owners = Kept(owners, "run-owners", counted=True)
+    of = Kept(perhaps_in(runs.df, owners.df, "key").join(owners.side(), "key"), "run-matches")
+    runs.drop()
+    places = Kept(of.df.filter("doc_id = src_doc_id").groupBy("key").agg(F.min("pos").alias("src")), "run-places", counted=True)
+    more = of.df.filter("open and doc_id != src_doc_id").join(places.side(), "key")
+    more = more.select("doc_id", "src_doc_id", F.explode(F.array(F.lit(0), "apart")).alias("step"), "pos", "src").selectExpr("doc_id", "src_doc_id", "pos + step pos", "src + step src")
+    found = found.union(aligned(more, "run").df).distinct()
 
     by_start = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "src_doc_id", "src_start")
     reach = F.max("end_word").over(by_start.rowsBetween(Window.unboundedPreceding, -1))

@@ -183,6 +183,42 @@ def test_passages_whose_seeds_smaller_documents_hold_in_short_stretches(spark):
     assert {(r.doc_id, r.src_doc_id) for r in out} == {(101, 100)} and max(r.end_word - r.start_word for r in out) >= 56
 
 
+def test_passages_cover_every_long_run_that_brute_force_finds(spark):
+    """Runs of 50 words or more that stand in an earlier document, among short stretches that own their seeds."""
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(10**5)}"
+    pool = [[word() for _ in range(rng.randrange(50, 130))] for _ in range(8)]
+    texts = []
+    for _ in range(90):
+        body = [word() for _ in range(rng.randrange(5, 60))]
+        for _ in range(rng.randrange(0, 4)):
+            p, n = rng.choice(pool), rng.choice([7, 10, 12, 14, 20, 60, 130])
+            at = rng.randrange(max(1, len(p) - n + 1))
+            body += p[at : at + n] + [word() for _ in range(rng.randrange(3, 30))]
+        texts.append(body)
+    rows = substring_dedup.passages(documents(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])).collect()
+    covered = defaultdict(set)
+    for r in rows:
+        assert texts[r.doc_id][r.start_word : r.end_word] and r.src_doc_id < r.doc_id and r.identity >= 0.75
+        covered[r.doc_id].update(range(r.start_word, r.end_word))
+    runs = 0
+    for x, a in enumerate(texts):
+        for b in texts[:x]:
+            length = np.zeros(len(b) + 1, int)
+            for i, w in enumerate(a):
+                fresh = np.zeros(len(b) + 1, int)
+                for j, v in enumerate(b):
+                    if v == w:
+                        fresh[j + 1] = length[j] + 1
+                        ends = i + 1 == len(a) or j + 1 == len(b) or a[i + 1] != b[j + 1]
+                        if ends and fresh[j + 1] >= 50:
+                            runs += 1
+                            # a source that owns the last seeds may itself end a few words before the run does
+                            assert set(range(i + 1 - fresh[j + 1] + 14, i + 1 - 14)) <= covered[x], (x, i, fresh[j + 1])
+                length = fresh
+    assert runs > 50
+
+
 def test_passages_of_odd_rows(odd, none):
     rows = substring_dedup.passages(odd).collect()
     assert {(r.doc_id, r.src_doc_id) for r in rows} == {(8, 7)} and max(r.end_word for r in rows) == 30001
