@@ -17,6 +17,8 @@
 A run of MIN_CHAIN + 2 (k + window) words or more that stands in two documents is always found, but for k + window
 words at its ends where a shorter source owns the seeds there; a passage whose words differ more often may be lost where smaller documents hold all of its seeds in short stretches.
 
+In a stretch that repeats itself (a word or a line again and again) only its first long seed is compared.
+
 Defined results: null and empty texts have no seeds; rows with null ids take no part; of rows that
 repeat an id the one with the largest text counts; a document is not compared with itself (so repeats inside a document
 are not reported); an empty table gives no
@@ -114,6 +116,12 @@ def _runs(batches: Iterator[pa.RecordBatch], k: int, least: int, most: int) -> I
         sums = np.append(np.uint64(0), np.cumsum(shingles.mix64(seed ^ np.uint64(0x94D049BB133111EB))))
         key = shingles.mix64(seed[fits] * np.uint64(0x9E3779B97F4A7C15) ^ (sums[last + 1] - sums[fits]) ^ (apart.astype(np.uint64) << np.uint64(56)))
         is_open = reach[np.searchsorted(place[spans], at[fits], "right")] < at[last] + k
+        # of the equal runs of a text that repeats itself within MAX_GAP words, the first one stands for all
+        order = np.lexsort((at[fits], key))
+        again = np.zeros(len(order), bool)
+        again[1:] = (key[order[1:]] == key[order[:-1]]) & (at[fits][order[1:]] - at[fits][order[:-1]] <= MAX_GAP)
+        kept = np.sort(order[~again])
+        fits, apart, key, is_open = fits[kept], apart[kept], key[kept], is_open[kept]
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[fits]), pa.array(pos[fits].astype(np.int32)), pa.array(apart.astype(np.int32)), pa.array(is_open)], names)
 
     held: list[tuple] = []
@@ -292,21 +300,21 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     sources = Kept(met.df.filter("doc_id = src_doc_id").groupBy("seed").agg(F.min("pos").alias("src")), "seed-places", counted=True, hashes=True)
     matches = met.df.filter("doc_id != src_doc_id").join(sources.side(), "seed").select("doc_id", "src_doc_id", "pos", "src")
     gap = 2 * (k + window)
-    words = F.filter(F.split(ascii_lower(F.col("text")), SPACE), lambda w: w != "")
+    words = F.array_remove(F.split(ascii_lower(F.col("text")), SPACE), "")
 
     def cut(first: str, begin: str):
         """The words around the chain on one side, from word ``first`` on."""
         last = F.element_at("parts", -1)
-        return F.slice(words, F.col(first) + 1, last[begin] + last["length"] - F.col(first) + MARGIN)
+        return F.slice("words", F.col(first) + 1, last[begin] + last["length"] - F.col(first) + MARGIN)
 
     def aligned(matches: DataFrame, name: str) -> Kept:
         ordered = matches.repartition("doc_id", "src_doc_id").sortWithinPartitions("doc_id", "src_doc_id")
         linked = Kept(ordered.mapInArrow(lambda it: _chain(it, k, gap, gap_cost, min_chain), _CHAINS), f"{name}-chains")
         ids = Kept(linked.df.select("doc_id").union(linked.df.select("src_doc_id")).distinct(), f"{name}-ids", counted=True)
-        needed = Kept(texts.join(ids.side(), "doc_id", "left_semi"), f"{name}-texts")
+        needed = Kept(texts.join(ids.side(), "doc_id", "left_semi").select("doc_id", words.alias("words")), f"{name}-texts")
         here = linked.df.withColumn("a0", F.greatest(F.lit(0), F.col("parts")[0]["start"] - MARGIN)).withColumn("b0", F.greatest(F.lit(0), F.col("parts")[0]["src"] - MARGIN))
-        here = here.join(needed.df, "doc_id").withColumn("a", cut("a0", "start")).drop("text")
-        here = here.join(needed.df.withColumnRenamed("doc_id", "src_doc_id"), "src_doc_id").withColumn("b", cut("b0", "src")).drop("text")
+        here = here.join(needed.df, "doc_id").withColumn("a", cut("a0", "start")).drop("words")
+        here = here.join(needed.df.withColumnRenamed("doc_id", "src_doc_id"), "src_doc_id").withColumn("b", cut("b0", "src")).drop("words")
         rows = here.select("doc_id", "src_doc_id", "score", "parts", "a0", "b0", "a", "b").mapInArrow(_align, _ALIGNED)
         identity = F.col("matches") / F.greatest(F.col("end_word") - F.col("start_word"), F.col("src_end") - F.col("src_start"))
         out = Kept(rows.withColumn("identity", identity).filter(F.col("identity") >= min_identity), f"{name}-aligned")
