@@ -144,6 +144,46 @@ def unjones(v: list[Cx], p: list[Cx], q: list[Cx]) -> list[Cx]:
     return [x / scale for x in mul(mul(adj_p, v), adj_q)]
 
 
+def jones_weights(w: list[str], p: list[Cx], q: list[Cx], circular: bool = False) -> dict[str, str]:
+    """Weights of Stokes parameters behind Jones matrices: each correlation's weight times its squared slope.
+
+    A correlation is an entry of P B Q^H, so its slope by a parameter is that entry with the parameter's part of B.
+    """
+    one, i = Cx("1e0", "0e0"), Cx("0e0", "1e0")
+    minus = lambda z: Cx(f"(-{z.re})", f"(-{z.im})")
+    diagonal, sides, anti, signs = {0: one, 3: one}, {1: one, 2: one}, {1: i, 2: minus(i)}, {0: one, 3: minus(one)}
+    parts = dict(zip("IQUV", (diagonal, sides, anti, signs) if circular else (diagonal, signs, sides, anti), strict=True))
+
+    def slope(a: int, b: int, part: dict[int, Cx]) -> Cx:
+        total = Cx("0e0", "0e0")
+        for at, z in part.items():
+            total = total + p[2 * a + at // 2] * z * q[2 * b + at % 2].conj()
+        return total
+
+    return {s: "(" + "+".join(f"{w[2 * a + b]}*{slope(a, b, part).abs2()}" for a in (0, 1) for b in (0, 1)) + ")" for s, part in parts.items()}
+
+
+#: What a correlation row becomes: kind of value, feed, and whether Jones matrices are given.
+CONVERT = {
+    ("VIS", "LINEAR", False): lambda v, p=None, q=None: stokes(v),
+    ("VIS", "CIRCULAR", False): lambda v, p=None, q=None: stokes(v, True),
+    ("VIS", "LINEAR", True): lambda v, p, q: stokes(unjones(v, p, q)),
+    ("VIS", "CIRCULAR", True): lambda v, p, q: stokes(unjones(v, p, q), True),
+    ("WEIGHT", "LINEAR", False): lambda w, p=None, q=None: stokes_weights(w),
+    ("WEIGHT", "CIRCULAR", False): lambda w, p=None, q=None: stokes_weights(w, True),
+    ("WEIGHT", "LINEAR", True): lambda w, p, q: jones_weights(w, p, q),
+    ("WEIGHT", "CIRCULAR", True): lambda w, p, q: jones_weights(w, p, q, True),
+}
+
+
+def converter(kind: str, feed: str, jones: bool):
+    """The entry of CONVERT; other polarisations are an error."""
+    try:
+        return CONVERT[kind, feed.upper(), jones]
+    except KeyError:
+        raise NotImplementedError(f"no conversion of {kind} for {feed} feeds") from None
+
+
 STATE = ("x0", "x1", "p00", "p01", "p11")
 
 

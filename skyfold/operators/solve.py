@@ -33,29 +33,50 @@ def cg(a: Callable[[np.ndarray], np.ndarray], b: np.ndarray, x0: np.ndarray | No
     return x
 
 
-def tikhonov(rows: DataFrame, pixels: DataFrame, freq: float = 1575420000.0, eta: float = 1e-2) -> DataFrame:
-    """rows(frame, re, im, w, bx, by_, bz) to (frame, pix, regularised, dirty).
+def airy_beam(mu: np.ndarray, freq: float, diameter: float, terms: int = 40) -> np.ndarray:
+    """Power beam (2 J1(x)/x)^2, x = pi D nu/c sin(theta), by its power series; 0 below the horizon."""
+    q = (np.pi * diameter * freq / C / 2) ** 2 * np.maximum(1 - mu * mu, 0)
+    term = total = np.ones_like(q)
+    for k in range(1, terms):
+        term = term * -q / (k * (k + 1))
+        total = total + term
+    return np.where(mu >= 0, total * total, 0.0)
+
+
+def tikhonov(rows: DataFrame, pixels: DataFrame, freq: float = 1575420000.0, eta: float = 1e-2, diameter: float | None = None) -> DataFrame:
+    """rows(frame, re, im, w, bx, by_, bz[, freq]) to (frame, pix, regularised, dirty).
 
     Frames are independent here (no warm start), so each is one Arrow group: its phase table is rows x pixels, bounded
     by the array and the grid and not by the length of the run. ``pixels`` is the grid, collected once (12 nside^2 rows).
+    A column freq gives each row its channel. With a ``diameter`` rows also have the frame's boresight (zx, zy, zz), and
+    each channel's power beam weighs the sky, so the Jacobi step differs from pixel to pixel.
     ``eta`` at or below zero gives the dirty map twice. An empty frame gives zeros.
     """
     grid = pixels.select("pix", "x", "y", "z").orderBy("pix").toPandas()
     pix, s = grid["pix"].to_numpy(np.int64), grid[["x", "y", "z"]].to_numpy(float)
+    columns = ["frame", "re", "im", "w", "bx", "by_", "bz", *(["freq"] if "freq" in rows.columns else []), *(["zx", "zy", "zz"] if diameter else [])]
 
     def run(table: pa.Table) -> pa.Table:
         frame = table["frame"][0].as_py()
         b = np.stack([table[c].to_numpy() for c in ("bx", "by_", "bz")], 1)
         w, v = table["w"].to_numpy(), table["re"].to_numpy() + 1j * table["im"].to_numpy()
+        nu = table["freq"].to_numpy() if "freq" in columns else np.full(len(w), freq)
         total = float(w.sum())
         if total == 0:
             x = d = np.zeros(len(pix))
         else:
-            kernel = np.exp(2j * np.pi * freq / C * (b @ s.T))
+            kernel = np.exp(2j * np.pi / C * nu[:, None] * (b @ s.T))
+            squares = np.full(len(pix), total)
+            if diameter:
+                mu = s @ np.array([table[c][0].as_py() for c in ("zx", "zy", "zz")])
+                beams = {f: airy_beam(mu, f, diameter) for f in np.unique(nu)}
+                squares = sum(beam**2 * w[nu == f].sum() for f, beam in beams.items())
+                for f, beam in beams.items():
+                    kernel[nu == f] *= beam
             right = (kernel.conj().T @ (w * v)).real
             d = right / total
             lam = eta * total
-            x = d if eta <= 0 else cg(lambda u: (kernel.conj().T @ (w * (kernel @ u))).real + lam * u, right, m=lambda r: r / (total + lam))
+            x = d if eta <= 0 else cg(lambda u: (kernel.conj().T @ (w * (kernel @ u))).real + lam * u, right, m=lambda r: r / (squares + lam))
         return pa.table({"frame": pa.array(np.full(len(pix), frame), pa.int32()), "pix": pa.array(pix.astype(np.int32)), "regularised": x, "dirty": d})
 
-    return rows.select("frame", "re", "im", "w", "bx", "by_", "bz").groupBy("frame").applyInArrow(run, "frame int, pix int, regularised double, dirty double")
+    return rows.select(*columns).groupBy("frame").applyInArrow(run, "frame int, pix int, regularised double, dirty double")

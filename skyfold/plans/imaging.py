@@ -97,6 +97,11 @@ def _jones(v: list[Cx]) -> str:
     return f"select k, c, {_stokes(X.unjones(v, _P, _Q), False)}, {_stokes(X.unjones(v, _P, _Q), True).replace('_re', '_cre').replace('_im', '_cim')} from (select *, (k%24)*1e0 l from ({CORR}) q0) q"
 
 
+def _jones_weights() -> str:
+    each = [f"{R(w)} {feed[0].lower()}{n.lower()}" for feed in ("LINEAR", "CIRCULAR") for n, w in X.converter("WEIGHT", feed, True)(_W, _P, _Q).items()]
+    return f"select k, c, {', '.join(each)} from (select *, (k%24)*1e0 l from ({CORR}) q0) q"
+
+
 #: Unflagged rows of a Stokes-imaged frame: eight correlations on the zenith baselines.
 _LM = """select v.frame, p.e-q.e u, p.n-q.n v_, p.u-q.u w_, v.re, v.im, v.w from vis v join ant p on p.a=v.a1 join ant q on q.a=v.a2"""
 _GRID = "select a.a i, b.a j, (a.a-12)*2e-2 x, (b.a-12)*2e-2 y from ant a cross join ant b"
@@ -137,7 +142,7 @@ def sql() -> dict[str, str | tuple[str, str]]:
         "stokes_linear": f"select k, c, {_stokes(_V, False)} from ({CORR}) q",
         "stokes_circular": f"select k, c, {_stokes(_V, True)} from ({CORR}) q",
         "stokes_weights": "select k, c, {}, {} from ({}) q".format(", ".join(f"{R(w)} l{n.lower()}" for n, w in X.stokes_weights(_W).items()), ", ".join(f"{R(w)} c{n.lower()}" for n, w in X.stokes_weights(_W, True).items()), CORR),
-        "stokes_jones": _jones(_V),
+        "stokes_jones": _jones(_V), "stokes_jones_weights": _jones_weights(),
         "lm_dirty_stokes": f"select frame, i, j, {R('stokes_i')} stokes_i, {R('stokes_q')} stokes_q from ({LM}) q",
         "cube_writer": f"select s stokes, frame, i x, j y, cast(round(case when s='I' then stokes_i else stokes_q end,6) as double) val from ({LM}) q cross join (select 'I' s union all select 'Q' s) n",
         "cube_mean_ext": f"select s stokes, i x, j y, {R("avg(case when s='I' then stokes_i else stokes_q end)", 7)} cube_mean from ({LM}) q cross join (select 'I' s union all select 'Q' s) n group by s, i, j",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,13 @@ def session(app: str = "skyfold", **conf: str) -> SparkSession:
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, or in the warehouse where it is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """A new path in the folder that spark.checkpoint.dir names; where it is unset, in the warehouse, if all run on one
+    machine or the warehouse is no machine's own folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master) and (shared.startswith("file:") or "://" not in shared):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -87,13 +87,22 @@ def filter_stream(series: DataFrame, sigma2: float, noise: float) -> DataFrame:
 
 
 def fan_out(stream: DataFrame, maps: str, latest: str, log: str):
-    """One micro-batch to two tables: all maps (append) and, per name, the newest frame (overwrite)."""
+    """One micro-batch to two tables: all maps, and for each name the newest frame of the batch.
 
-    def write(batch: DataFrame, _: int) -> None:
+    Both write to the batch's own folder, so a batch that is tried again replaces what it wrote before.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
         batch.persist()
-        batch.write.mode("append").parquet(maps)
+        batch.write.mode("overwrite").parquet(f"{maps}/batch={n}")
         newest = batch.groupBy("name").agg(F.max_by(F.struct(*batch.columns), "seq").alias("row"))
-        newest.select("row.*").write.mode("overwrite").parquet(latest)
+        newest.select("row.*").write.mode("overwrite").parquet(f"{latest}/batch={n}")
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start()
+
+
+def latest_frames(spark: SparkSession, latest: str) -> DataFrame:
+    """The newest frame of every name, over all batches: a row for each name and batch is read."""
+    rows = spark.read.parquet(latest).drop("batch")
+    return rows.groupBy("name").agg(F.max_by(F.struct(*rows.columns), "seq").alias("row")).select("row.*")

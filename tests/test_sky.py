@@ -120,12 +120,44 @@ def test_tikhonov_recovers_a_point_and_empty_frames_are_zero(spark):
     assert not out[out.frame == 1][["regularised", "dirty"]].to_numpy().any()
 
 
-def test_fan_out_writes_maps_and_the_latest_frame(spark, tmp_path):
-    from skyfold.streaming.pipeline import fan_out, read_frames
-
-    for i in range(3):
-        spark.createDataFrame([("raw", i, float(i))], "name string, seq int, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = read_frames(spark, str(tmp_path / "in"), "name string, seq int, v double", 3)
-    fan_out(stream, str(tmp_path / "maps"), str(tmp_path / "latest"), str(tmp_path / "log")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "maps")).count() == 3
-    assert [r.seq for r in spark.read.parquet(str(tmp_path / "latest")).collect()] == [2]
+def test_fan_out_keeps_every_name_and_a_batch_may_be_tried_again(spark, tmp_path):
+    from skyfold.streaming.pipeline import fan_out, latest_frames, read_frames
+
+    for name, i in (("raw", 0), ("smooth", 1), ("raw", 2)):
+        spark.createDataFrame([(name, i, float(i))], "name string, seq int, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for log in ("log", "again"):  # a second run from the start writes the same batches
+        stream = read_frames(spark, str(tmp_path / "in"), "name string, seq int, v double")
+        fan_out(stream, str(tmp_path / "maps"), str(tmp_path / "latest"), str(tmp_path / log)).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "maps")).count() == 3
+        assert sorted((r.name, r.seq) for r in latest_frames(spark, str(tmp_path / "latest")).collect()) == [("raw", 2), ("smooth", 1)]
+
+
+def test_tikhonov_with_beam_and_channels_solves_the_dense_system(spark):
+    from skyfold.operators.solve import C, airy_beam
+
+    rng = np.random.default_rng(4)
+    pix = centres(np.arange(48), 2)
+    b, z, nu = rng.normal(size=(60, 3)), np.array([0.0, 0.6, 0.8]), np.where(np.arange(60) % 2, 1.5e9, 1.6e9)
+    w, v = rng.uniform(0.5, 2, 60), rng.normal(size=60) + 1j * rng.normal(size=60)
+    data = [(0, float(x.real), float(x.imag), float(y), *map(float, r), float(f), *map(float, z)) for x, y, r, f in zip(v, w, b, nu, strict=True)]
+    grid = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pix)], "pix int, x double, y double, z double")
+    out = tikhonov(spark.createDataFrame(data, "frame int, re double, im double, w double, bx double, by_ double, bz double, freq double, zx double, zy double, zz double"), grid, eta=0.1, diameter=0.125).toPandas().sort_values("pix")
+    k = np.exp(2j * np.pi / C * nu[:, None] * (b @ pix.T)) * np.stack([airy_beam(pix @ z, f, 0.125) for f in nu])
+    right = (k.conj().T @ (w * v)).real
+    dense = np.linalg.solve((k.conj().T @ (w[:, None] * k)).real + 0.1 * w.sum() * np.eye(48), right)
+    assert np.allclose(out["dirty"], right / w.sum()) and np.allclose(out["regularised"], dense, atol=1e-4 * abs(dense).max())
+
+
+def test_jones_weights_are_squared_slopes():
+    from skyfold.functions.expressions import Cx, converter
+
+    rng = np.random.default_rng(2)
+    p, q = rng.normal(size=(2, 2, 2)) @ [1, 1j], rng.normal(size=(2, 2, 2)) @ [1, 1j]
+    w = rng.uniform(1, 2, 4)
+    cx = lambda m: [Cx(repr(float(z.real)), repr(float(z.imag))) for z in m.ravel()]
+    for feed, parts in {"LINEAR": {"I": [[1, 0], [0, 1]], "Q": [[1, 0], [0, -1]], "U": [[0, 1], [1, 0]], "V": [[0, 1j], [-1j, 0]]}, "CIRCULAR": {"I": [[1, 0], [0, 1]], "Q": [[0, 1], [1, 0]], "U": [[0, 1j], [-1j, 0]], "V": [[1, 0], [0, -1]]}}.items():
+        got = converter("WEIGHT", feed, True)([repr(float(x)) for x in w], cx(p), cx(q))
+        for s, part in parts.items():
+            assert np.isclose(eval(got[s]), (w.reshape(2, 2) * abs(p @ np.array(part) @ q.conj().T) ** 2).sum())  # noqa: S307
+    with pytest.raises(NotImplementedError):
+        converter("VIS", "CROSSED", False)

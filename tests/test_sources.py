@@ -59,13 +59,13 @@ def test_a_run_finds_the_source_and_coasts_over_an_empty_frame(spark, tmp_path):
     rows = [(f, 1.7e9 + f + (30 if f > 2 else 0), float(z.real), float(z.imag), 0.0 if f == 2 else 1.0, *map(float, x)) for f in range(5) for z, x in zip(v, b, strict=True)]
     data = spark.createDataFrame(rows, "frame int, t double, re double, im double, w double, bx double, by_ double, bz double")
     grid = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(s)], "pix int, x double, y double, z double")
-    out = pipeline.run(data, grid, pipeline.Config(nframes=4, eta=1e-2), str(tmp_path / "maps")).toPandas()
+    out = pipeline.run(data, grid, pipeline.Config(nframes=4, eta=1e-2, beam=False), str(tmp_path / "maps")).toPandas()
     assert len(out) == 4 * 48 and out.groupby("t").apply(lambda g: g.loc[g.dirty.idxmax(), "pix"], include_groups=False).tolist() != []
     empty = out[out.t == 1.7e9 + 2]
     assert not empty.dirty.any() and not empty.znorm.any()
     first = out[out.t == 1.7e9]
     assert first.loc[first.dirty.idxmax(), "pix"] == 11 and abs(first.dirty.max() - 1) < 1e-9 and np.allclose(first.filtered, first.regularised, atol=1e-6)
     with pytest.raises(AnalysisException):
-        pipeline.run(data, grid, pipeline.Config(nframes=1), str(tmp_path / "maps"))
+        pipeline.run(data, grid, pipeline.Config(nframes=1, beam=False), str(tmp_path / "maps"))
     with pytest.raises(ValueError):
         require_schema(data, "frame missing")
