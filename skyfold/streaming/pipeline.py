@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skyfold.operators.filter import START, step
+from skyfold.operators.filter import BLOCK, START, Block, blocked
 from skyfold.session import fresh_folder
 
 
@@ -28,29 +29,27 @@ def replay(rows: DataFrame, key: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(sink)
 
 
-class PixelFilter(StatefulProcessor):
-    """A pixel's filter state. Rows of a micro-batch are sorted by time; rows not after the last one are left out."""
+class BlockFilter(StatefulProcessor):
+    """Filter states of a block of pixels. Rows of a micro-batch are sorted by time; rows not after their pixel's last one are left out."""
 
     def __init__(self, sigma2: float, noise: float) -> None:
         self.sigma2, self.noise = sigma2, noise
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("filter", "x0 double, x1 double, p00 double, p01 double, p11 double, t double, k long")
+        self.state = handle.getValueState("filter", "state binary, k binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frames = pd.concat(list(rows)).sort_values("t")
-        held = self.state.get() if self.state.exists() else None
-        state, k = (tuple(held[:6]), held[6]) if held else (START, 0)
-        out = []
-        for t, y, ok in zip(frames["t"], frames["y"], frames["ok"], strict=True):
-            if state[5] is not None and t <= state[5]:
-                continue
-            state, filtered, znorm = step(state, float(t), float(y) if ok else None, self.sigma2, self.noise)
-            k += 1
-            out.append((key[0], k, float(t), filtered, znorm))
-        if out:
-            self.state.update((*state, k))
-        yield pd.DataFrame(out, columns=["pix", "k", "t", "filtered", "znorm"])
+        frames = pd.concat(list(rows)).sort_values("t", kind="stable")
+        held = Block()
+        if self.state.exists():
+            state, k = self.state.get()
+            held = Block(np.frombuffer(state, float).reshape(len(START), BLOCK).copy(), np.frombuffer(k, np.int64).copy())
+        t, y = frames["t"].to_numpy(float), frames["y"].to_numpy(float)
+        seen = frames["ok"].fillna(False).to_numpy(bool)
+        k, filtered, znorm = held.walk(frames["slot"].to_numpy(np.int64), t, y, seen, self.sigma2, self.noise, skip_late=True)
+        self.state.update((held.state.tobytes(), held.k.tobytes()))
+        out = pd.DataFrame({"pix": frames["pix"].to_numpy(), "k": k, "t": t, "filtered": filtered, "znorm": znorm})
+        yield out[out["k"] > 0]
 
     def close(self) -> None:
         pass
@@ -60,8 +59,8 @@ FILTERED = "pix long, k long, t double, filtered double, znorm double"
 
 
 def filtered_stream(stream: DataFrame, sigma2: float, noise: float) -> DataFrame:
-    """stream(pix, t, y, ok) to filtered rows, with the state in the session's state store."""
-    return stream.groupBy("pix").transformWithStateInPandas(statefulProcessor=PixelFilter(sigma2, noise), outputStructType=FILTERED, outputMode="append", timeMode="none")
+    """stream(pix, t, y, ok) to filtered rows, with the states of each block in the session's state store."""
+    return blocked(stream).groupBy("block").transformWithStateInPandas(statefulProcessor=BlockFilter(sigma2, noise), outputStructType=FILTERED, outputMode="append", timeMode="none")
 
 
 def filter_stream(series: DataFrame, sigma2: float, noise: float) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from skyfold.fixtures import register, with_views
-from skyfold.operators.filter import START, step
+from skyfold.operators.filter import START, Block, filter_pixels, step
 from skyfold.operators.pixels import centres, corners
 from skyfold.operators.solve import cg, tikhonov
 
@@ -98,6 +98,29 @@ def test_filter_coasts_over_a_gap_and_its_covariance_grows():
     assert z == 0 and far[2] > near[2] > state[2]
 
 
+def test_blocks_step_as_single_pixels_do(spark):
+    rng = np.random.default_rng(5)
+    series = [(int(p), float(t), float(rng.normal()), bool(rng.random() < 0.8)) for p in (*range(-3, 40), 5000) for t in rng.choice(300, 40, replace=False)]
+    series += [(7, 1000.0 + i, float(rng.normal()), True) for i in range(3000)]  # one long light curve
+    series += [(8, 400.0, None, True), (8, 401.0, 1.0, None), (None, 3.0, 2.0, True)]
+    got = {(r.pix, r.k): (r.t, r.filtered, r.znorm) for r in filter_pixels(spark.createDataFrame(series, "pix long, t double, y double, ok boolean"), 0.05, 0.2).collect()}
+    assert len(got) == len(series)
+    for pix in {r[0] for r in series}:
+        state = START
+        for k, (_, t, y, ok) in enumerate(sorted((r for r in series if r[0] == pix), key=lambda r: r[1]), 1):
+            state, filtered, znorm = step(state, t, y if ok else None, 0.05, 0.2)
+            assert np.allclose(got[pix, k], (t, filtered, znorm), atol=1e-9)
+
+
+def test_late_rows_of_a_block_are_left_out():
+    held = Block()
+    at, seen = np.repeat(np.arange(20), 2), np.ones(40, bool)
+    k, _, _ = held.walk(at, np.tile([1.0, 1.0], 20), np.ones(40), seen, 0.05, 0.2, skip_late=True)
+    assert k.tolist() == [1, 0] * 20
+    k, _, _ = held.walk(np.arange(20), np.where(np.arange(20) < 10, 0.5, 2.0), np.ones(20), seen[:20], 0.05, 0.2, skip_late=True)
+    assert k.tolist() == [0] * 10 + [2] * 10
+
+
 def test_cg_against_a_dense_solve():
     rng = np.random.default_rng(1)
     m = rng.normal(size=(20, 20))
