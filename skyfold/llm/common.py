@@ -11,12 +11,14 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as the contracts write it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a side that is broadcast at most (some 40 bytes each); beyond, the join shuffles.
+#: Rows of a side that is broadcast at most, and their bytes; beyond either, the join shuffles.
 BROADCAST_ROWS = 250_000
+BROADCAST_BYTES = 32 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -74,11 +76,24 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def _bytes(df: DataFrame) -> Column:
+    """Bytes that a row takes: 8 a column, and the length of strings and of arrays of plain values."""
+    total = F.lit(8 * len(df.columns)).cast("long")
+    for c in df.schema.fields:
+        column, kind = F.col(f"`{c.name}`"), c.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(kind, T.ArrayType):
+            inner = F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + 8 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0)) if isinstance(kind.elementType, T.StringType) else 8 * F.greatest(F.size(column), F.lit(0))
+            total = total + inner
+    return total
+
+
 class Kept:
     """A DataFrame written as Parquet in the shared folder and read back: it cuts the lineage and outlives executors.
 
-    ``counted`` takes the number of rows along while writing, for choices between plans, and ``marked`` a checksum of a
-    column; ``hashes`` says that a dictionary of values would not pay.
+    ``counted`` takes the number of rows and the bytes of their values along while writing, for choices between plans, and
+    ``marked`` a checksum of a column; ``hashes`` says that a dictionary of values would not pay.
     """
 
     def __init__(self, df: DataFrame, name: str, counted: bool = False, marked: Column | None = None, hashes: bool = False) -> None:
@@ -88,14 +103,14 @@ class Kept:
         counted = counted or marked is not None
         seen, none = Observation(), F.lit(0).cast("long")
         if counted:
-            df = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(none if marked is None else marked), none).alias("mark"))
+            df = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(none if marked is None else marked), none).alias("mark"), F.coalesce(F.sum(_bytes(df)), none).alias("bytes"))
         with tidy_shuffles(self.spark):
             df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(self.path)
-        self.rows, self.mark = (seen.get["rows"], seen.get["mark"]) if counted else (None, None)
+        self.rows, self.mark, self.bytes = (seen.get[c] for c in ("rows", "mark", "bytes")) if counted else (None, None, None)
 
     def side(self) -> DataFrame:
-        """How a counted table joins: sent to every task where its rows are few, shuffled where they are not."""
-        return F.broadcast(self.df) if self.rows <= BROADCAST_ROWS else self.df
+        """How a counted table joins: sent to every task where its rows and bytes are few, shuffled where they are not."""
+        return F.broadcast(self.df) if self.rows <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES else self.df
 
     @property
     def df(self) -> DataFrame:

@@ -194,6 +194,83 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), packing.tokenizer_path()))
 
 
+def op11_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import wrappers
+
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyfold.llm import conversations
+
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+with recursive tab as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) order by i) t from (select unnest(range(256)) i)
+), crc as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ascii(x) as bigint))),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 kind
+  from conversations cross join tab
+), rows_ as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end role,
+         case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end text
+  from (select * from crc where kind <> 0 union all select * from crc where kind = 3)
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) i, left(role, 1) r from rows_
+), faults as (
+  select *, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'b'
+                 when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+                 when right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) not in ('.', '!', '?') then 't' else '' end f,
+         lag(r) over (partition by conv_id order by i) || r pair
+  from placed
+), counts as (
+  select conv_id, cast(coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as bigint) gaps, count(*) filter (f = 'b') blank,
+         count(*) filter (f = 'd') duplicate, count(*) filter (f = 't') truncated, count(*) filter (pair not in ('su', 'ua', 'au')) illegal, count(*) total
+  from faults group by conv_id
+), walk as (
+  select conv_id, cast(0 as bigint) i, {'c': 0, 'a': ''} n, {'c': 1000000000, 'a': ''} s, {'c': 1000000000, 'a': ''} u, {'c': 1000000000, 'a': ''} v from counts
+  union all
+  select w.conv_id, f.i, {'c': n.c + 3, 'a': n.a || 'D'},
+    list_min([{'c': s.c + 3, 'a': s.a || 'D'}, {'c': case when x and r = 's' then n.c + y else 1000000000 end, 'a': n.a || 'K'}]),
+    list_min([{'c': u.c + 3, 'a': u.a || 'D'}, {'c': n.c + ku, 'a': n.a || lu}, {'c': s.c + ku, 'a': s.a || lu}, {'c': u.c + 2 + ku, 'a': u.a || 'I' || lu}, {'c': v.c + ku, 'a': v.a || lu}]),
+    list_min([{'c': v.c + 3, 'a': v.a || 'D'}, {'c': n.c + 2 + ka, 'a': n.a || 'I' || la}, {'c': s.c + 2 + ka, 'a': s.a || 'I' || la}, {'c': u.c + ka, 'a': u.a || la}, {'c': v.c + 2 + ka, 'a': v.a || 'I' || la}])
+  from walk w join (
+    select *, f in ('', 't') x, case when f = 't' then 1 else 0 end y,
+           case when f in ('b', 'd') then 1000000000 else 0 end + case when f = 't' then 1 else 0 end + case when r = 'u' then 0 else 2 end ku, case when r = 'u' then 'K' else 'R' end lu,
+           case when f in ('b', 'd') then 1000000000 else 0 end + case when f = 't' then 1 else 0 end + case when r = 'a' then 0 else 2 end ka, case when r = 'a' then 'K' else 'R' end la
+    from faults) f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1
+), best as (
+  select w.conv_id, list_min([n, {'c': s.c + 4, 'a': s.a || 'II'}, {'c': u.c + 2, 'a': u.a || 'I'}, v]) b
+  from walk w join counts c on c.conv_id is not distinct from w.conv_id and w.i = c.total
+), letters as (
+  select conv_id, generate_subscripts(string_split(b.a, ''), 1) p, unnest(string_split(b.a, '')) e from best where b.a <> ''
+), steps as (
+  select *, count(*) filter (e <> 'I') over (partition by conv_id order by p) i, count(*) filter (e <> 'D') over (partition by conv_id order by p) k from letters
+), turns as (
+  select s.*, f.role, f.text, max(case when s.e = 'K' and s.k = 1 and f.r = 's' then 1 else 0 end) over (partition by s.conv_id) lead
+  from steps s left join faults f on f.conv_id is not distinct from s.conv_id and f.i = s.i and s.e <> 'I'
+), repaired as (
+  select conv_id, string_agg(case when e = 'K' then role when (k - lead) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by p) t
+  from turns where e <> 'D' group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+       cast(coalesce(b.b.c, 0) as bigint) "cost", coalesce(b.b.a, '') audit, sha256(coalesce(r.t, '')) repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counts c on c.conv_id is not distinct from o.conv_id
+left join best b on b.conv_id is not distinct from o.conv_id
+left join repaired r on r.conv_id is not distinct from o.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_warc": op2_warc,
@@ -205,6 +282,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_media": op9_media,
     "op10_packing": op10_packing,
+    "op11_extract": op11_extract,
+    "op12_whitening": op12_whitening,
+    "op13_repair": op13_repair,
 }
 
 SQL: dict[str, str] = {
@@ -213,4 +293,5 @@ SQL: dict[str, str] = {
     "op4_licenses": _op4_sql(),
     "op6_near_dup": OP6_SQL,
     "op7_mixing": OP7_SQL,
+    "op13_repair": OP13_SQL,
 }
