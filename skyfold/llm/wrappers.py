@@ -9,8 +9,8 @@
    aligned is an instance of it. Distinct forms are dealt to buckets by hash, folded there in order, and the buckets'
    wrappers are folded once more, so a host with a third of all pages is no single task's work and the result does not
    depend on how rows are dealt.
-3. Every page is parsed by its host's wrapper, which says for each text which slot it fills. Over all pages, slots that
-   hold one and the same text (FIXED_PAGES pages at least) or mostly links are template, if the host has others.
+3. Every page is parsed by its host's wrapper, which says for each text which slot it fills. Over all pages, slots of mostly
+   links are template if the host has others, and so are slots of one and the same text on FIXED_PAGES pages or more.
 4. The text of a page is what fills slots of its main region: of the highest level that has text there, an ``article``, else ``main``,
    else an element named as content, else all slots that are no template. Menus, headers, footers, sidebars, notices,
    adverts, forms, scripts, styles and comments, by element, role or class, are in no slot.
@@ -500,9 +500,11 @@ def template_slots(pages: DataFrame, wrappers: Kept) -> Kept:
     """Rows (host, template): the slots of a host that are no content, where the host has others."""
     rows = pages.join(wrappers.side(), "host").select("host", "html", "wrapper").mapInArrow(_filled, "host string, slot int, pages long, low long, high long, chars long, links long")
     slots = rows.groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    fixed = (F.col("pages") >= FIXED_PAGES) & (F.col("low") == F.col("high")) | (2 * F.col("links") > F.col("chars"))
-    named = slots.groupBy("host").agg(F.array_sort(F.collect_list(F.when(fixed, F.col("slot")))).alias("template"), F.max(~fixed).alias("others"))
-    return Kept(named.filter("others and size(template) > 0").select("host", "template"), "wrapper-templates", counted=True)
+    links, fixed = 2 * F.col("links") > F.col("chars"), (F.col("pages") >= FIXED_PAGES) & (F.col("low") == F.col("high"))
+    kind = F.when(links, 0).when(fixed, 1).otherwise(2)  # a kind is template where the host has slots of a later one
+    named = slots.withColumn("kind", kind).groupBy("host").agg(F.collect_list(F.struct("kind", "slot")).alias("all"), F.max("kind").alias("most"))
+    template = F.transform(F.filter("all", lambda s: s["kind"] < F.col("most")), lambda s: s["slot"])
+    return Kept(named.select("host", F.array_sort(template).alias("template")).filter("size(template) > 0"), "wrapper-templates", counted=True)
 
 
 _TEXT = "page_id long, url string, text string, n_chars long"
