@@ -14,13 +14,17 @@
    chain covers is joined with the smallest doc_id that has the same long seed. That source shares MIN_CHAIN words or
    more there, so its chain is long enough, and steps 3 to 5 put the chains of a passage together.
 
-A run of MIN_CHAIN + 2 (k + window) words or more that stands in two documents is always found, but for k + window
-words at its ends where a shorter source owns the seeds there; a passage whose words differ more often may be lost where smaller documents hold all of its seeds in short stretches.
+7. Equal long seeds that follow each other at one distance of MAX_GAP words at most (a phrase or a line again and again)
+   are one stretch: first place, period, count. A document's stretch is laid along its source's longest one, repeat by
+   repeat and again from the start where it is longer, so each round is one chain and the whole stretch is reported.
 
-In a stretch that repeats itself (a word or a line again and again) only its first long seed is compared.
+A run of MIN_CHAIN + 2 (k + window) words or more that stands in two documents is always found, whether it repeats itself
+or not, but for k + window words at its ends where a shorter source owns the seeds there; a passage whose words differ
+more often may be lost where smaller documents hold all of its seeds in short stretches.
 
-Defined results: null and empty texts have no seeds; rows with null ids take no part; of rows that
-repeat an id the one with the largest text counts; a document is not compared with itself (so repeats inside a document
+Defined results: null and empty texts have no seeds; rows with null ids take no part; each different text of an id that
+repeats is compared with other ids (``row_key`` is the id for the largest of its texts and a hash of id and text for the others, which
+may have a larger id as their source); a document is not compared with itself (so repeats inside a document
 are not reported); an empty table gives no
 rows; further columns are ignored. Words are split at ASCII white space and compared with A-Z lower-cased.
 """
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfold.llm import shingles
-from skyfold.llm.common import SPACE, Kept, ascii_lower, one_row_an_id, perhaps_in, small_batches
+from skyfold.llm.common import SPACE, Kept, ascii_lower, perhaps_in, small_batches
 
 K, WINDOW = 5, 9
 MIN_CHAIN, MIN_WORDS, MIN_IDENTITY, GAP_COST, MARGIN, JOIN_GAP = 15, 45, 0.75, 0.3, 12, 8
@@ -97,8 +101,9 @@ def segments(pos: np.ndarray, src: np.ndarray, k: int, gap: int) -> np.ndarray:
 
 def _runs(batches: Iterator[pa.RecordBatch], k: int, least: int, most: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, pos, end, seed) sorted by doc_id, where a null seed marks a covered stretch: for each seed the run of
-    seeds from it on that spans ``least`` words (``most`` words apart at most), and whether no covered stretch holds it."""
-    names = ["key", "doc_id", "pos", "apart", "open"]
+    seeds from it on that spans ``least`` words (``most`` words apart at most), and whether no covered stretch holds it.
+    Equal runs at one distance are one row with their period and count, open if one of them is."""
+    names = ["key", "doc_id", "pos", "apart", "period", "count", "open"]
 
     def finish(doc: np.ndarray, pos: np.ndarray, end: np.ndarray, seed: np.ndarray, is_seed: np.ndarray) -> pa.RecordBatch:
         place = (np.cumsum(np.append(False, doc[1:] != doc[:-1])) << 32) + pos
@@ -116,13 +121,17 @@ def _runs(batches: Iterator[pa.RecordBatch], k: int, least: int, most: int) -> I
         sums = np.append(np.uint64(0), np.cumsum(shingles.mix64(seed ^ np.uint64(0x94D049BB133111EB))))
         key = shingles.mix64(seed[fits] * np.uint64(0x9E3779B97F4A7C15) ^ (sums[last + 1] - sums[fits]) ^ (apart.astype(np.uint64) << np.uint64(56)))
         is_open = reach[np.searchsorted(place[spans], at[fits], "right")] < at[last] + k
-        # of the equal runs of a text that repeats itself within MAX_GAP words, the first one stands for all
         order = np.lexsort((at[fits], key))
-        again = np.zeros(len(order), bool)
-        again[1:] = (key[order[1:]] == key[order[:-1]]) & (at[fits][order[1:]] - at[fits][order[:-1]] <= MAX_GAP)
-        kept = np.sort(order[~again])
-        fits, apart, key, is_open = fits[kept], apart[kept], key[kept], is_open[kept]
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[fits]), pa.array(pos[fits].astype(np.int32)), pa.array(apart.astype(np.int32)), pa.array(is_open)], names)
+        fits, apart, key, is_open = fits[order], apart[order], key[order], is_open[order]
+        step = np.diff(at[fits], append=0)
+        step[(key != np.append(key[1:], 0)) | (step > MAX_GAP)] = 0  # to the next equal run of the same text
+        before = np.append(0, step[:-1])[: len(step)]
+        joins = np.append(False, ((step != 0) & ((before == 0) | (before == step)))[:-1])[: len(step)]
+        first = np.flatnonzero(~joins)
+        count = np.diff(np.append(first, len(joins)))
+        is_open = np.logical_or.reduceat(is_open, first) if len(first) else is_open
+        fits, apart, key, period = fits[first], apart[first], key[first], np.where(count > 1, step[first], 0)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[fits]), *(pa.array(c.astype(np.int32)) for c in (pos[fits], apart, period, count)), pa.array(is_open)], names)
 
     held: list[tuple] = []
     for batch in batches:
@@ -288,10 +297,45 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "score" else pa.int64()) for c, n in zip(columns, names, strict=True)], names)
 
 
+def row_keys(texts: DataFrame) -> tuple[DataFrame, Kept | None]:
+    """texts(doc_id, text) with a key for each different text of an id, as doc_id; and rows (row_key, _id) of the keys that are no ids.
+
+    Only ids that repeat are gathered, and of these one text in each task and id is.
+    """
+    repeats = Kept(texts.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "seed-repeats", counted=True)
+    if not repeats.rows:
+        return texts, None
+    again = texts.join(repeats.side(), "doc_id", "left_semi")
+    largest = Kept(again.groupBy("doc_id").agg(F.max("text").alias("_largest")).withColumn("_largest", F.sha2("_largest", 256)), "seed-largest", counted=True)
+    own = F.when(F.sha2("text", 256).eqNullSafe(F.col("_largest")), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text"))
+    again = again.filter("text is not null").join(largest.side(), "doc_id").select(own.alias("row_key"), F.col("doc_id").alias("_id"), "text").dropDuplicates(["row_key"])
+    again = Kept(again, "seed-again")
+    named = Kept(again.df.filter("row_key != _id").select("row_key", "_id"), "seed-names", counted=True)
+    return texts.join(repeats.side(), "doc_id", "left_anti").union(again.df.select("row_key", "text")), named
+
+
+def along(met: DataFrame, k: int, least: int, min_words: int) -> DataFrame:
+    """Stretches with the source's (src, src_period, src_count) to matches (doc_id, src_doc_id, pos, src) of seeds.
+
+    Repeat r is laid on the source's repeat r modulo its count: all of them where the period or the source's stretch is
+    long enough to be a chain of its own, else as many as the source has, and the last. Where repeats are close, matches
+    of every 24 words are enough for one segment.
+    """
+    whole = (F.col("period") >= least) | ((F.col("src_count") - 1) * F.col("src_period") + F.col("apart") + k >= min_words)
+    stride = F.greatest(F.lit(1), F.least(F.expr("24 div greatest(period, 1)"), F.expr("24 div greatest(src_period, 1)")))
+    last = F.when(whole, F.col("count")).otherwise(F.least("count", "src_count")) - 1
+    at = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(1)), F.array(last, F.col("count") - 1)))
+    in_round = F.col("r") % F.col("src_count")
+    rows = met.select("doc_id", "src_doc_id", "pos", "src", "apart", "period", "src_period", "count", "src_count", stride.alias("stride"), F.explode(at).alias("r"))
+    rows = rows.filter((in_round % F.col("stride") == 0) | (in_round == F.col("src_count") - 1) | (F.col("r") == F.col("count") - 1))
+    rows = rows.withColumn("pos", F.col("pos") + F.col("r") * F.col("period")).withColumn("src", F.col("src") + in_round * F.col("src_period"))
+    return rows.select("doc_id", "src_doc_id", F.explode(F.array(F.lit(0), "apart")).alias("step"), "pos", "src").selectExpr("doc_id", "src_doc_id", "pos + step pos", "src + step src").distinct()
+
+
 def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_chain: int = MIN_CHAIN, min_identity: float = MIN_IDENTITY, gap_cost: float = GAP_COST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, start_word, end_word (exclusive), src_doc_id, src_start, src_end, matches, identity, score, passage_start, passage_end."""
+    """doc_id, start_word, end_word (exclusive), src_doc_id, src_start, src_end, matches, identity, score, row_key, src_row_key, passage_start, passage_end."""
     texts = small_batches(docs).select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text")).filter("doc_id is not null")
-    texts = one_row_an_id(texts, "doc_id", "text", "seed-repeats")
+    texts, named = row_keys(texts)
     seeds = Kept(texts.mapInArrow(lambda it: _seeds(it, k, window), "seed long, doc_id long, pos int"), "seeds", hashes=True)
     repeated = Kept(seeds.df.groupBy("seed").agg(F.min("doc_id").alias("src_doc_id"), F.max("doc_id").alias("_last")).filter("src_doc_id < _last").select("seed", "src_doc_id"), "seed-sources", counted=True, hashes=True)
     met = Kept(perhaps_in(seeds.df, repeated.df, "seed").join(repeated.side(), "seed"), "seed-matches", hashes=True)
@@ -325,21 +369,27 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     found = aligned(matches, "seed").df
     stretches = found.selectExpr("doc_id", "cast(start_word as int) pos", "cast(end_word as int) end", "cast(null as long) seed")
     places = met.df.selectExpr("doc_id", "pos", "pos end", "seed").union(stretches)
-    runs = places.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: _runs(it, k, min_chain, gap), "key long, doc_id long, pos int, apart int, open boolean")
+    runs = places.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: _runs(it, k, min_chain, gap), "key long, doc_id long, pos int, apart int, period int, count int, open boolean")
     runs = Kept(runs, "runs", hashes=True)
     met.drop()
     owners = runs.df.groupBy("key").agg(F.min("doc_id").alias("src_doc_id"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("_open")).filter("src_doc_id < _open").select("key", "src_doc_id")
     owners = Kept(owners, "run-owners", counted=True)
     of = Kept(perhaps_in(runs.df, owners.df, "key").join(owners.side(), "key"), "run-matches")
     runs.drop()
-    places = Kept(of.df.filter("doc_id = src_doc_id").groupBy("key").agg(F.min("pos").alias("src")), "run-places", counted=True)
-    more = of.df.filter("open and doc_id != src_doc_id").join(places.side(), "key")
-    more = more.select("doc_id", "src_doc_id", F.explode(F.array(F.lit(0), "apart")).alias("step"), "pos", "src").selectExpr("doc_id", "src_doc_id", "pos + step pos", "src + step src")
+    longest = F.max_by(F.struct(F.col("pos").alias("src"), F.col("period").alias("src_period"), F.col("count").alias("src_count")), F.struct(F.col("period") * F.col("count"), -F.col("pos")))
+    places = Kept(of.df.filter("doc_id = src_doc_id").groupBy("key").agg(longest.alias("_s")).select("key", "_s.*"), "run-places", counted=True)
+    more = along(of.df.filter("open and doc_id != src_doc_id").join(places.side(), "key"), k, min_chain, min_words)
     found = found.union(aligned(more, "run").df).distinct()
-
-    by_start = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "src_doc_id", "src_start")
+    if named is not None:
+        real = named.side()
+        found = found.withColumnsRenamed({"doc_id": "row_key", "src_doc_id": "src_row_key"}).join(real, "row_key", "left").withColumn("doc_id", F.coalesce("_id", "row_key")).drop("_id")
+        found = found.join(real.withColumnRenamed("row_key", "src_row_key"), "src_row_key", "left").withColumn("src_doc_id", F.coalesce("_id", "src_row_key")).drop("_id").filter("doc_id != src_doc_id")
+    else:
+        found = found.withColumn("row_key", F.col("doc_id")).withColumn("src_row_key", F.col("src_doc_id"))
+
+    by_start = Window.partitionBy("row_key").orderBy("start_word", "end_word", "src_row_key", "src_start")
     reach = F.max("end_word").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start_word") <= F.col("_reach") + JOIN_GAP, 0).otherwise(1)).over(by_start)
-    whole = Window.partitionBy("doc_id", "_island")
+    whole = Window.partitionBy("row_key", "_island")
     marked = found.withColumn("_reach", reach).withColumn("_island", island).withColumn("passage_start", F.min("start_word").over(whole)).withColumn("passage_end", F.max("end_word").over(whole))
     return marked.filter(F.col("passage_end") - F.col("passage_start") >= min_words).drop("_reach", "_island")
