@@ -16,7 +16,8 @@
 
 7. Equal long seeds that follow each other at one distance of MAX_GAP words at most (a phrase or a line again and again)
    are one stretch: first place, period, count. A document's stretch is laid along its source's longest one, repeat by
-   repeat and again from the start where it is longer, so each round is one chain and the whole stretch is reported.
+   repeat. One of short periods that is a passage in itself also has a key of its own, so its source is the smallest
+   document with such a passage; it is laid along that again and again, one chain a round, to its end.
 
 A run of MIN_CHAIN + 2 (k + window) words or more that stands in two documents is always found, whether it repeats itself
 or not, but for k + window words at its ends where a shorter source owns the seeds there; a passage whose words differ
@@ -99,11 +100,12 @@ def segments(pos: np.ndarray, src: np.ndarray, k: int, gap: int) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], k: int, least: int, most: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], k: int, least: int, most: int, min_words: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, pos, end, seed) sorted by doc_id, where a null seed marks a covered stretch: for each seed the run of
     seeds from it on that spans ``least`` words (``most`` words apart at most), and whether no covered stretch holds it.
-    Equal runs at one distance are one row with their period and count, open if one of them is."""
-    names = ["key", "doc_id", "pos", "apart", "period", "count", "open"]
+    Equal runs at one distance are one row with their period and count, open if one of them is; ``whole`` says that each
+    repeat counts, for the period is that long or (a second row) all of them are a passage."""
+    names = ["key", "doc_id", "pos", "apart", "period", "count", "open", "whole"]
 
     def finish(doc: np.ndarray, pos: np.ndarray, end: np.ndarray, seed: np.ndarray, is_seed: np.ndarray) -> pa.RecordBatch:
         place = (np.cumsum(np.append(False, doc[1:] != doc[:-1])) << 32) + pos
@@ -131,7 +133,12 @@ def _runs(batches: Iterator[pa.RecordBatch], k: int, least: int, most: int) -> I
         count = np.diff(np.append(first, len(joins)))
         is_open = np.logical_or.reduceat(is_open, first) if len(first) else is_open
         fits, apart, key, period = fits[first], apart[first], key[first], np.where(count > 1, step[first], 0)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[fits]), *(pa.array(c.astype(np.int32)) for c in (pos[fits], apart, period, count)), pa.array(is_open)], names)
+        passage = np.flatnonzero((period > 0) & (period < least) & ((count - 1) * period + apart + k >= min_words))
+        rows = np.append(np.arange(len(fits)), passage)
+        whole = np.append(period >= least, np.ones(len(passage), bool))
+        key = np.append(key, shingles.mix64(key[passage] ^ np.uint64(0xD6E8FEB86659FD93)))
+        fits, apart, period, count, is_open = fits[rows], apart[rows], period[rows], count[rows], is_open[rows]
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[fits]), *(pa.array(c.astype(np.int32)) for c in (pos[fits], apart, period, count)), pa.array(is_open), pa.array(whole)], names)
 
     held: list[tuple] = []
     for batch in batches:
@@ -314,16 +321,14 @@ def row_keys(texts: DataFrame) -> tuple[DataFrame, Kept | None]:
     return texts.join(repeats.side(), "doc_id", "left_anti").union(again.df.select("row_key", "text")), named
 
 
-def along(met: DataFrame, k: int, least: int, min_words: int) -> DataFrame:
+def along(met: DataFrame) -> DataFrame:
     """Stretches with the source's (src, src_period, src_count) to matches (doc_id, src_doc_id, pos, src) of seeds.
 
-    Repeat r is laid on the source's repeat r modulo its count: all of them where the period or the source's stretch is
-    long enough to be a chain of its own, else as many as the source has, and the last. Where repeats are close, matches
-    of every 24 words are enough for one segment.
+    Repeat r is laid on the source's repeat r modulo its count: all of them where ``whole``, else as many as the source
+    has, and the last. Where repeats are close, matches of every 24 words are enough for one segment.
     """
-    whole = (F.col("period") >= least) | ((F.col("src_count") - 1) * F.col("src_period") + F.col("apart") + k >= min_words)
     stride = F.greatest(F.lit(1), F.least(F.expr("24 div greatest(period, 1)"), F.expr("24 div greatest(src_period, 1)")))
-    last = F.when(whole, F.col("count")).otherwise(F.least("count", "src_count")) - 1
+    last = F.when(F.col("whole"), F.col("count")).otherwise(F.least("count", "src_count")) - 1
     at = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(1)), F.array(last, F.col("count") - 1)))
     in_round = F.col("r") % F.col("src_count")
     rows = met.select("doc_id", "src_doc_id", "pos", "src", "apart", "period", "src_period", "count", "src_count", stride.alias("stride"), F.explode(at).alias("r"))
@@ -369,7 +374,7 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     found = aligned(matches, "seed").df
     stretches = found.selectExpr("doc_id", "cast(start_word as int) pos", "cast(end_word as int) end", "cast(null as long) seed")
     places = met.df.selectExpr("doc_id", "pos", "pos end", "seed").union(stretches)
-    runs = places.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: _runs(it, k, min_chain, gap), "key long, doc_id long, pos int, apart int, period int, count int, open boolean")
+    runs = places.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(lambda it: _runs(it, k, min_chain, gap, min_words), "key long, doc_id long, pos int, apart int, period int, count int, open boolean, whole boolean")
     runs = Kept(runs, "runs", hashes=True)
     met.drop()
     owners = runs.df.groupBy("key").agg(F.min("doc_id").alias("src_doc_id"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("_open")).filter("src_doc_id < _open").select("key", "src_doc_id")
@@ -378,7 +383,7 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     runs.drop()
     longest = F.max_by(F.struct(F.col("pos").alias("src"), F.col("period").alias("src_period"), F.col("count").alias("src_count")), F.struct(F.col("period") * F.col("count"), -F.col("pos")))
     places = Kept(of.df.filter("doc_id = src_doc_id").groupBy("key").agg(longest.alias("_s")).select("key", "_s.*"), "run-places", counted=True)
-    more = along(of.df.filter("open and doc_id != src_doc_id").join(places.side(), "key"), k, min_chain, min_words)
+    more = along(of.df.filter("open and doc_id != src_doc_id").join(places.side(), "key"))
     found = found.union(aligned(more, "run").df).distinct()
     if named is not None:
         real = named.side()

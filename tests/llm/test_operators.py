@@ -219,6 +219,41 @@ def test_passages_cover_every_long_run_that_brute_force_finds(spark):
     assert runs > 50
 
 
+def test_passages_that_repeat_themselves(spark):
+    """A phrase or a word again and again, with more and with fewer repeats than the source and a source of its own length."""
+    rng = random.Random(1)
+    words = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+
+    def pair(i, source, own):
+        rows.extend([(i, " ".join(words(80) + source + words(60)), "s"), (i + 1, " ".join(words(33) + own + words(70)), "s")])
+        want[i + 1] = (33, 33 + len(own))
+
+    six, eight, thirty, fifty, word = words(6), words(8), words(30), words(55), words(1)
+    pair(10, six * 40, six * 40)
+    pair(20, eight * 12, eight * 12)
+    pair(30, x := words(100), x)
+    pair(40, thirty * 4, thirty * 4)
+    pair(50, word * 60, word * 700)
+    pair(60, fifty, fifty * 3)
+    rows += [(2, " ".join(words(20) + word * 17 + words(30)), "s"), (3, " ".join(words(20) + eight * 3 + words(30)), "s")]  # shorter stretches in smaller documents
+    out = substring_dedup.passages(documents(spark, rows)).collect()
+    for i, (lo, hi) in want.items():
+        own = [r for r in out if r.doc_id == i]
+        assert own and {(r.passage_start, r.passage_end) for r in own} == {(lo, hi)} and set(range(lo, hi)) == {p for r in own for p in range(r.start_word, r.end_word)}, i
+    assert {r.doc_id for r in out} == set(want) and len(out) < 60
+
+
+def test_passages_of_each_text_of_a_repeated_id(spark):
+    rng = random.Random(2)
+    words = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    one, two, three = words(100), words(100), words(100)
+    rows = [(50, " ".join(["a", *words(40), *one]), "s"), (50, " ".join(["z", *words(10), *three]), "s"), (51, " ".join(one + words(20)), "s"), (52, " ".join(words(9) + two), "s"), (53, " ".join(["a", *two]), "s"), (53, " ".join(["b", *three]), "s"), (53, " ".join(["b", *three]), "s"), (54, " ".join(["a", *words(30)]), "s"), (54, " ".join(["b", *words(3), *words(40)]), "s")]
+    out = substring_dedup.passages(documents(spark, rows)).collect()
+    pairs = {tuple(sorted((r.doc_id, r.src_doc_id))) for r in out}
+    assert pairs == {(50, 51), (52, 53), (50, 53)} and all(r.end_word - r.start_word == 100 for r in out)
+
+
 def test_passages_of_odd_rows(odd, none):
     rows = substring_dedup.passages(odd).collect()
     assert {(r.doc_id, r.src_doc_id) for r in rows} == {(8, 7)} and max(r.end_word for r in rows) == 30001
