@@ -41,7 +41,8 @@ def mfs() -> str:
 
 
 DIRTY = dirty()
-FORWARD = f"select r.frame, r.a1, r.a2, sum(val*cos(ph)) re, sum(val*sin(ph)) im from (select h.frame, a1, a2, pix, {X.phase(_b, _s, FREQ)} ph from ({ROWS}) h cross join pix2) r join maps48 m on m.frame=r.frame and m.pix=r.pix group by r.frame, r.a1, r.a2"
+#: Maps meet the rows of their frame before a phase is taken, so what has no map is never made.
+FORWARD = f"select frame, a1, a2, sum(val*cos(ph)) re, sum(val*sin(ph)) im from (select h.frame, a1, a2, val, {X.phase(_b, _s, FREQ)} ph from ({ROWS}) h join maps48 m on m.frame=h.frame join pix2 p on p.pix=m.pix) r group by frame, a1, a2"
 _small = f"select frame, a1, a2, w, pix, {X.phase(_b, _s, FREQ)} ph from ({ROWS}) t1 cross join pix2"
 
 

@@ -41,6 +41,53 @@ def tikhonov_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tikhonov(_rows(spark, sf_dir, ROWS), _rows(spark, sf_dir, "select * from pix"))
 
 
+def _steps(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """n steps of the tiled solver from nothing, each step's state stored; tiles of 16 pixels, so that there are some."""
+    from skyfold.operators import tiled
+
+    r = lambda c, d: (F.round(c, d) + F.lit(0.0)).alias(c)
+    rows = _rows(spark, sf_dir, ROWS)
+    return tiled.solve(rows, _rows(spark, sf_dir, "select * from pix2"), maxiter=n, tol=0.0, budget=16 * 16 * 276).select("frame", "pix", r("x", 6), r("r", 4))
+
+
+def cg_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steps(spark, sf_dir, 1)
+
+
+def cg_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steps(spark, sf_dir, 2)
+
+
+def tikhonov_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of tikhonov_map on tiles of 64 pixels, to ten times its tolerance."""
+    from skyfold.operators import tiled
+
+    rows = _rows(spark, sf_dir, ROWS)
+    return tiled.solve(rows, _rows(spark, sf_dir, "select * from pix"), tol=1e-4, budget=16 * 64 * 276).select("frame", "pix", F.col("x").alias("regularised"), "steps")
+
+
+def tikhonov_warm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames in four parts, each solve started from the map before it, over restarts of the query."""
+    from skyfold.streaming import maps
+
+    rows = _rows(spark, sf_dir, ROWS).drop("a1", "a2").withColumn("run", F.lit(0).cast("long"))
+    return maps.solve_parts(maps.quarters(rows), _rows(spark, sf_dir, "select * from pix"))[0].drop("run")
+
+
+#: A seventh of the rows arrives one part later than it should.
+_ARRIVAL = "select pix, t, y, k % 7 = 0 delayed, least(cast(floor((t-lo)/((hi-lo)/4e0)) as int),3) + case when k % 7 = 0 then 1 else 0 end part from (select pix, t, y, event_id k, min(t) over () lo, max(t) over () hi from (select pix, t, y, event_id from lightcurve) s) q"
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in and rows to the side, a pixel: a row is late if its pixel has stepped at its time or after."""
+    from skyfold.streaming import pipeline
+
+    rows = _rows(spark, sf_dir, _ARRIVAL).withColumn("ok", F.lit(True))
+    kept, late = pipeline.filter_parts([rows.filter(F.col("part") == i) for i in range(5)], float(filtering.SIGMA2), float(filtering.NOISE))
+    both = kept.select("pix", F.lit(0).alias("late"), "t").union(late.select("pix", F.lit(1).alias("late"), "t"))
+    return both.groupBy("pix").agg(F.sum(1 - F.col("late")).alias("n_in"), F.sum("late").alias("n_late"), (F.round(F.max("t"), 6) + F.lit(0.0)).alias("last_t"))
+
+
 def pixel_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.operators.pixels import pixel_corners as run
 
@@ -67,7 +114,7 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, pixel_corners, stream_prepared, stream_msv4_rows, stream_filter)}
+    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -76,6 +123,8 @@ def oracle_sql() -> dict[str, str]:
         "iwp_filter": with_views(filtering.recursion(filtering.SERIES), "duckdb"),
         "iwp_filter_gap": gap,
         "stream_filter": gap,
+        "stream_late": with_views(f"""select pix, count(*) filter (not late) n_in, count(*) filter (late) n_late, round(max(t),6)+0e0 last_t from (
+          select pix, t, coalesce(t <= max(t) over (partition by pix order by part range between unbounded preceding and 1 preceding), false) or row_number() over (partition by pix, part, t) > 1 late from ({_ARRIVAL}) a) b group by pix""", "duckdb"),
         "stream_prepared": with_views(f"select frame, a1, a2, round(re,6)+0e0 re, round(im,6)+0e0 im, round(w,6)+0e0 w from ({ROWS}) q", "duckdb"),
         "stream_msv4_rows": with_views("select frame, count(*) n, count(distinct a1) antennas, round(sum(w),6)+0e0 sum_w from vis group by frame", "duckdb"),
     }
