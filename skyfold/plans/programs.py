@@ -88,6 +88,38 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("pix").agg(F.sum(1 - F.col("late")).alias("n_in"), F.sum("late").alias("n_late"), (F.round(F.max("t"), 6) + F.lit(0.0)).alias("last_t"))
 
 
+def scan_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visibilities as snapshot files, a file for each frame, read back through the connector."""
+    from skyfold.session import fresh_folder, with_conf
+    from skyfold.sources.connectors import Snapshots
+
+    folder = fresh_folder(spark, "snapshots")
+    of = _rows(spark, sf_dir, "select v.frame, f.t, a1, a2, re, im from vis v join frames f on f.frame=v.frame")
+    gain = _rows(spark, sf_dir, "select * from gain").agg(F.array_sort(F.collect_list(F.struct("a", "amp", "ph"))).alias("g")).select(F.col("g.amp").alias("gains"), F.col("g.ph").alias("phases"))
+    stamp = F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = of.groupBy("frame", stamp.alias("stamp")).agg(F.array_sort(F.collect_list(F.struct("a1", "a2", "re", "im"))).alias("v")).crossJoin(gain)
+    body = F.struct(F.lit('{"frequency": 1575420000.0}').alias("config"), F.array("stamp").alias("timestamp"), F.transform("v", lambda r: F.array(r["a1"], r["a2"])).alias("baselines"), F.array(F.transform("v", lambda r: F.array(r["re"], r["im"]))).alias("vis"), "gains", "phases")
+    with with_conf(spark, spark__sql__session__timeZone="UTC"):
+        rows.select("frame", F.to_json(body).alias("value")).repartition("frame").write.option("compression", "none").partitionBy("frame").text(folder)
+    spark.dataSource.register(Snapshots)
+    r = lambda c, n: (F.round(c, n) + F.lit(0.0)).alias(c)
+    return spark.read.format("snapshot").option("suffix", ".txt").load(folder).select(r("t", 3), "a1", "a2", r("re", 9), r("im", 9), "flag", "w")
+
+
+def write_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty maps into a scaffold of the run's times, and the scaffold read back."""
+    from skyfold.plans.imaging import DIRTY
+    from skyfold.session import fresh_folder
+    from skyfold.sinks import regions
+
+    maps = _rows(spark, sf_dir, f"select f.t, cast(d.pix as bigint) pix, d.dirty from ({DIRTY}) d join frames f on f.frame=d.frame")
+    path, times = fresh_folder(spark, "regions"), [r.t for r in _rows(spark, sf_dir, "select t from frames order by t").collect()]  # one number a frame
+    regions.create(path, times, 192, ["dirty"])
+    spark.dataSource.register(regions.Regions)
+    maps.repartition("t").write.format("regions").mode("append").option("path", path).save()
+    return regions.read(spark, path).select((F.round("t", 3) + F.lit(0.0)).alias("t"), "pix", (F.round(F.col("dirty").cast("double"), 4) + F.lit(0.0)).alias("dirty"))
+
+
 def pixel_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.operators.pixels import pixel_corners as run
 
@@ -114,15 +146,19 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
+    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from skyfold.plans.imaging import DIRTY
+
     gap = with_views(filtering.recursion(filtering.GAP), "duckdb")
     return {
         "iwp_filter": with_views(filtering.recursion(filtering.SERIES), "duckdb"),
         "iwp_filter_gap": gap,
         "stream_filter": gap,
+        "scan_snapshots": with_views("select round(f.t,3)+0e0 t, a1, a2, round(re,9)+0e0 re, round(im,9)+0e0 im, p.amp=0e0 or q.amp=0e0 flag, case when p.amp=0e0 or q.amp=0e0 then 0e0 else 1e0 end w from vis v join frames f on f.frame=v.frame join gain p on p.a=v.a1 join gain q on q.a=v.a2", "duckdb"),
+        "write_regions": with_views(f"select round(f.t,3)+0e0 t, p.pix, round(cast(cast(d.dirty as real) as double),4)+0e0 dirty from frames f cross join (select cast(pix as bigint) pix from pix) p left join ({DIRTY}) d on d.frame=f.frame and d.pix=p.pix", "duckdb"),
         "stream_late": with_views(f"""select pix, count(*) filter (not late) n_in, count(*) filter (late) n_late, round(max(t),6)+0e0 last_t from (
           select pix, t, coalesce(t <= max(t) over (partition by pix order by part range between unbounded preceding and 1 preceding), false) or row_number() over (partition by pix, part, t) > 1 late from ({_ARRIVAL}) a) b group by pix""", "duckdb"),
         "stream_prepared": with_views(f"select frame, a1, a2, round(re,6)+0e0 re, round(im,6)+0e0 im, round(w,6)+0e0 w from ({ROWS}) q", "duckdb"),
