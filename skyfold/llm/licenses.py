@@ -1,8 +1,9 @@
 """License scan: phrases that state a license, and text blocks that contain a license template.
 
 Phrases are found wherever their words stand consecutively. Templates are found by an exact set-similarity join of
-blocks and templates: a block matches where it holds at least ``percent`` of the template's distinct words. Blocks are
-lines and, so that a wrapped notice is found, runs across line ends of as many words as the template has.
+blocks and templates: a block matches where it holds at least ``percent`` of the template's distinct words. Blocks have
+no more words than the template: lines, and runs of as many words as the template has, in longer lines and across line
+ends. So a wrapped notice and one inside a long line are found, and words scattered over a long line are none.
 Template words are ordered by their count over all documents, rarest first; a matching block must hold one of the first
 n - ceil(percent * n / 100) + 1 of them (prefix filter), be long enough (length filter), and, its first such word
 being number i, n - i words must suffice (positional filter). What passes is verified on whole sets.
@@ -50,7 +51,8 @@ _SCHEMA = "doc_id long, n_words long, phrases array<struct<label: string, word:
 
 def word_counts(docs: DataFrame, vocabulary: list[str], text_column: str = "text") -> dict[str, int]:
     """How often each word of a fixed vocabulary occurs in all documents."""
-    words = docs.select(F.explode(F.split(ascii_lower(F.col(text_column)), SEPARATORS)).alias("w")).filter(F.col("w").isin(vocabulary))
+    own = F.filter(F.split(ascii_lower(F.col(text_column)), SEPARATORS), lambda w: w.isin(vocabulary))
+    words = docs.select(F.explode(own).alias("w"))
     return {w: 0 for w in vocabulary} | {r.w: r["count"] for r in words.groupBy("w").count().collect()}
 
 
@@ -69,7 +71,8 @@ class Index:
         self.rare = frozenset(self.prefixes)
         self.sizes = [len(text.split()) for _, text in templates]
 
-    def matches(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
+    def matches(self, words: list[bytes], short: bool = False) -> Iterator[tuple[str, float]]:
+        """Templates that a block matches; ``short``: only those with as many words as the block or more."""
         if self.rare.isdisjoint(words):
             return
         block = set(words)
@@ -79,10 +82,11 @@ class Index:
                 first[t] = min(i, first.get(t, i))
         for t, i in sorted(first.items()):
             label, whole, need = self.sets[t]
+            if short and len(words) > self.sizes[t]:
+                continue
             if len(block) >= need and len(whole) - i >= need and (both := len(whole & block)) >= need:
                 yield label, both / len(whole)
 
-
     def windows(self, words: list[bytes]) -> Iterator[tuple[str, int, int, float]]:
         """Templates in runs of as many words as they have, wherever the lines end: label, first word, words, containment.
 
@@ -141,12 +145,13 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, phrases: dict[str, st
             for number, line in enumerate(text.split(b"\n")):
                 part = line.translate(_FOLD).split()
                 starts.append(len(words))
-                for label, share in index.matches(part):
+                for label, share in index.matches(part, short=True):
                     own.append({"label": label, "line": number, "first_word": len(words), "n_words": len(part), "containment": share})
                 words += part
-            for label, first, n, share in index.windows(words) if len(starts) > 1 else ():
-                line = bisect_right(starts, first) - 1
-                if line + 1 < len(starts) and starts[line + 1] < first + n:  # a run in a single line is in its block
+            starts.append(len(words))
+            for label, first, n, share in index.windows(words):
+                line = bisect_right(starts, first, 0, len(starts) - 1) - 1
+                if starts[line + 1] < first + n or starts[line + 1] - starts[line] > n:  # else the line is the block
                     own.append({"label": label, "line": line, "first_word": first, "n_words": n, "containment": share})
             places = []
             joined = b" " + b" ".join(words) + b" "

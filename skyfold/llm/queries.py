@@ -76,15 +76,16 @@ def _op4_sql() -> str:
     from skyfold.llm.licenses import PERCENT, PHRASES, TEMPLATES
 
     phrases = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')))" for label, t in TEMPLATES)
+    templates = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')), {len(t.split())})" for label, t in TEMPLATES)
     return f"""
-with phrases(label, p) as (values {phrases}), templates(label, t) as (values {templates}),
+with phrases(label, p) as (values {phrases}), templates(label, t, n) as (values {templates}),
 folded as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') s from documents),
 w as (select doc_id, regexp_extract_all(s, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from folded),
 places as (select doc_id, w, unnest(range(1, len(w) + 1)) i from w where len(w) > 0),
 base as (select doc_id, label, i - 1 word from places join phrases on w[i] = p[1] and w[i:i + len(p) - 1] = p),
-lines as (select doc_id, list_distinct(regexp_extract_all(unnest(string_split(s, chr(10))), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) b from folded),
-held as (select doc_id, label, cast(len(list_intersect(t, b)) as double) / len(t) c, 100 * len(list_intersect(t, b)) >= {PERCENT} * len(t) ok from lines cross join templates),
+near as (select doc_id, w, label, t, n from w cross join templates where 100 * len(list_intersect(t, list_distinct(w))) >= {PERCENT} * len(t)),
+runs as (select doc_id, label, t, list_distinct(w[i:i + n - 1]) b from (select *, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) i from near) q),
+held as (select doc_id, label, cast(len(list_intersect(t, b)) as double) / len(t) c, 100 * len(list_intersect(t, b)) >= {PERCENT} * len(t) ok from runs),
 m as (select doc_id, label, c from held where ok),
 b as (select doc_id, count(*) n, min(word) lo, max(word) hi, string_agg(distinct label, ',' order by label) labels from base group by doc_id),
 x as (select doc_id, string_agg(distinct label, ',' order by label) labels from (select doc_id, label from base union all select doc_id, label from m) group by doc_id),

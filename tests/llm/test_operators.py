@@ -338,6 +338,16 @@ def test_licenses_of_wrapped_notices(spark):
     assert all(label in out[i].labels.split(",") and out[i].score == 1 for i, (label, _) in enumerate(licenses.TEMPLATES, 2))
 
 
+def test_licenses_inside_and_scattered_over_a_long_line(spark):
+    rng = random.Random(3)
+    filler = lambda n: " ".join(f"x{rng.randrange(999)}" for _ in range(n))
+    template = dict(licenses.TEMPLATES)["cc-by-nc"].split()
+    rows = [(1, " ".join(f"{w} {filler(430)}" for w in template), "s"), (2, f"{filler(900)} {' '.join(template)} {filler(900)}", "s"), (3, f"{' '.join(template)}", "s"), (4, " ".join(f"{w} {filler(1)}" for w in template), "s")]
+    out = {r.doc_id: r for r in licenses.digest(licenses.scan(documents(spark, rows))).collect()}
+    assert [out[i].labels for i in (1, 2, 3, 4)] == ["", "cc-by,cc-by-nc", "cc-by,cc-by-nc", ""]
+    assert out[1].score == 0 and licenses.scan(documents(spark, rows)).filter("doc_id = 2").first().blocks[0].first_word == 900
+
+
 def test_license_windows_equal_brute_force():
     rng = random.Random(9)
     words = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
