@@ -56,7 +56,7 @@ def sql() -> dict[str, str | tuple[str, str]]:
         "frame_scale": f"select frame, {R('min(val)')} lo, {R('max(val)')} hi, {R('max(abs(val))')} sym from maps48 group by frame",
         "color_limits": f"select {R('percentile_cont(1e-2) within group (order by val)', 9)} p1, {R('percentile_cont(99e-2) within group (order by val)', 9)} p99, {R('percentile_cont(99e-2) within group (order by abs(val))', 9)} sym from maps48",
         "ring_buffer": "select pix, event_id, k seq from (select pix, event_id, row_number() over (partition by pix order by t desc, event_id desc) k from lightcurve) q where k<=10",
-        "latest_frame": f"select pix, event_id, {R('t', 6)} t, {R('y', 6)} y from (select *, row_number() over (partition by pix order by t desc, event_id desc) k from lightcurve) q where k=1",
+        "latest_frame": tuple(f"select pix, r.event_id, {R('r.t', 6)} t, {R('r.y', 6)} y from (select pix, {best} r from lightcurve group by pix) q" for best in ("max_by(struct(event_id, t, y), struct(t, event_id))", "arg_max({'event_id': event_id, 't': t, 'y': y}, {'a': t, 'b': event_id})")),
         "maps_pivot": f"select frame, {R('max(case when pix=0 then val end)')} p0, {R('max(case when pix=1 then val end)')} p1, {R('max(case when pix=2 then val end)')} p2, {R('avg(val)')} mean from maps48 group by frame",
         "frame_header": "select frame, '{\"type\":\"frame\",\"name\":\"raw\",\"seq\":'||cast(frame as string)||',\"npix\":'||cast(count(*) as string)||'}' header from maps48 group by frame",
         "nis": f"select pix, event_id, {R('s/(1e6*n)', 8)} nis from (select pix, event_id, cast(sum(z*z) over (partition by pix order by k rows between 7 preceding and current row) as bigint)*1e0 s, count(*) over (partition by pix order by k rows between 7 preceding and current row) n from ({z}) q) w",

@@ -120,6 +120,29 @@ def write_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.read(spark, path).select((F.round("t", 3) + F.lit(0.0)).alias("t"), "pix", (F.round(F.col("dirty").cast("double"), 4) + F.lit(0.0)).alias("dirty"))
 
 
+def color_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles over all frames by exact ranks: no task gathers the distinct values."""
+    from skyfold.operators.ranking import quantiles
+
+    r = lambda c: (F.round(c, 9) + F.lit(0.0)).alias(c)
+    values = _rows(spark, sf_dir, "select val from maps48")
+    both = quantiles(values, "val", {"p1": 0.01, "p99": 0.99}).crossJoin(quantiles(values.select(F.abs("val").alias("size")), "size", {"sym": 0.99}))
+    return both.select(r("p1"), r("p99"), r("sym"))
+
+
+FDR = 0.05
+
+
+def fdr_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of frames of a pixel that the filter did not expect: two squared residuals are chi-square with two degrees
+    of freedom, whose tail is exp(-x/2); found at a false discovery rate over all pixels and pairs."""
+    from skyfold.operators.ranking import benjamini_hochberg
+
+    z = iwp_filter(spark, sf_dir)
+    pairs = z.groupBy("pix", F.expr("(k-1) div 2").alias("pair")).agg(F.exp(-F.sum(F.col("znorm") * F.col("znorm")) / 2).alias("p"), F.count("*").alias("n")).filter("n = 2").drop("n")
+    return benjamini_hochberg(pairs, "p", FDR).select("pix", "pair", (F.round("p", 12) + F.lit(0.0)).alias("p"))
+
+
 def pixel_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.operators.pixels import pixel_corners as run
 
@@ -146,7 +169,7 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
+    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, color_limits, fdr_pixels, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -157,6 +180,9 @@ def oracle_sql() -> dict[str, str]:
         "iwp_filter": with_views(filtering.recursion(filtering.SERIES), "duckdb"),
         "iwp_filter_gap": gap,
         "stream_filter": gap,
+        "fdr_pixels": with_views(f"""select pix, pair, round(p,12)+0e0 p from (select *, max(case when p <= k*{FDR!r}e0/m then p end) over () cut from (
+          select *, row_number() over (order by p) k, count(*) over () m from (
+          select pix, cast((k-1)//2 as bigint) pair, exp(-sum(znorm*znorm)/2e0) p from ({filtering.recursion(filtering.SERIES)}) z group by pix, (k-1)//2 having count(*)=2) a) b) c where p <= cut""", "duckdb"),
         "scan_snapshots": with_views("select round(f.t,3)+0e0 t, a1, a2, round(re,9)+0e0 re, round(im,9)+0e0 im, p.amp=0e0 or q.amp=0e0 flag, case when p.amp=0e0 or q.amp=0e0 then 0e0 else 1e0 end w from vis v join frames f on f.frame=v.frame join gain p on p.a=v.a1 join gain q on q.a=v.a2", "duckdb"),
         "write_regions": with_views(f"select round(f.t,3)+0e0 t, p.pix, round(cast(cast(d.dirty as real) as double),4)+0e0 dirty from frames f cross join (select cast(pix as bigint) pix from pix) p left join ({DIRTY}) d on d.frame=f.frame and d.pix=p.pix", "duckdb"),
         "stream_late": with_views(f"""select pix, count(*) filter (not late) n_in, count(*) filter (late) n_late, round(max(t),6)+0e0 last_t from (
