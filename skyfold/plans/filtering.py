@@ -34,6 +34,26 @@ def recursion(series: str, keys: str = "pix") -> str:
 select {keys}, k, {R('t', 6)} t, {R('x0', 5)} filtered, {R('znorm', 5)} znorm from f"""
 
 
+def smoother(series: str, lag: int) -> str:
+    """The fixed-lag smoother as a second recursion, from each frame's last look back to it (Joseph form)."""
+    forward, q = recursion(series).rpartition("\nselect")[0], SIGMA2
+    return f"""{forward}, ends as (select pix, max(k) n from f group by pix), b as (
+ select f.pix, o.k, f.k j, f.t, f.x0, f.x1, f.p00, f.p01, f.p11 from f join (select s.pix, s.k, least(s.k+{lag}, e.n) last from f s join ends e on e.pix=s.pix) o on o.pix=f.pix and f.k=o.last
+ union all
+ select pix, k, j-1, t, f0+c00*e0+c01*e1, f1+c10*e0+c11*e1,
+   m00*m00*f00+2*m00*m01*f01+m01*m01*f11+c00*c00*w00+2*c00*c01*w01+c01*c01*w11,
+   m00*(m10*f00+m11*f01)+m01*(m10*f01+m11*f11)+c00*(c10*w00+c11*w01)+c01*(c10*w01+c11*w11),
+   m10*m10*f00+2*m10*m11*f01+m11*m11*f11+c10*c10*w00+2*c10*c11*w01+c11*c11*w11 from (
+ select *, -m01-d*c00 c01, 1-m11-d*c10 c11 from (
+ select *, 1-m00 c00, -m10 c10, s0-f0-d*f1 e0, s1-f1 e1, s00+{q}*d*d*d/3e0 w00, s01+{q}*d*d/2e0 w01, s11+{q}*d w11 from (
+ select *, ({q}*(d*d*h/2e0-d*d*d*f11/6e0)+{q}*{q}*d*d*d*d/12e0)/det m00, -{q}*((f00+d*f01)*d*d/2e0-f01*d*d*d/6e0)/det m01,
+   -{q}*(h*d-f11*d*d/2e0)/det m10, ({q}*(d*f00+d*d*f01/2e0)+{q}*{q}*d*d*d*d/12e0)/det m11 from (
+ select *, f01+d*f11 h, f00*f11-f01*f01+{q}*(d*f00+d*d*f01+d*d*d*f11/3e0)+{q}*{q}*d*d*d*d/12e0 det from (
+ select b.pix, b.k, b.j, f.t, b.t-f.t d, b.x0 s0, b.x1 s1, b.p00 s00, b.p01 s01, b.p11 s11, f.x0 f0, f.x1 f1, f.p00 f00, f.p01 f01, f.p11 f11
+ from b join f on f.pix=b.pix and f.k=b.j-1 where b.j>b.k) u) v) w) x) y)
+select pix, k, {R('t', 6)} t, {R('x0', 5)} smoothed, {R('p00', 7)} variance from b where j=k"""
+
+
 SERIES = "select pix, row_number() over (partition by pix order by t, event_id) k, t, y, true ok from lightcurve"
 GAP = f"""select m.pix, row_number() over (partition by m.pix order by f.t) k, f.t, m.val y, o.ok from (select frame, pix, case when frame=5 then 0e0 else val end val from maps48) m join frames f on f.frame=m.frame
  join (select frame, {OBS} ok from (select frame, case when frame=5 then 0e0 else val end val from maps48) z group by frame) o on o.frame=m.frame"""

@@ -130,6 +130,18 @@ def color_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(r("p1"), r("p99"), r("sym"))
 
 
+LAG = 6
+
+
+def rts_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame of the light curves given six more."""
+    from skyfold.operators.smoother import smooth_pixels
+
+    series = _rows(spark, sf_dir, "select pix, t, y, true ok, event_id from lightcurve")
+    r = lambda c, n: (F.round(c, n) + F.lit(0.0)).alias(c)
+    return smooth_pixels(series, float(filtering.SIGMA2), float(filtering.NOISE), LAG, tie="event_id").select("pix", "k", r("t", 6), r("smoothed", 5), r("variance", 7))
+
+
 FDR = 0.05
 
 
@@ -169,7 +181,7 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, color_limits, fdr_pixels, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
+    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, color_limits, fdr_pixels, rts_smoother, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -180,6 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "iwp_filter": with_views(filtering.recursion(filtering.SERIES), "duckdb"),
         "iwp_filter_gap": gap,
         "stream_filter": gap,
+        "rts_smoother": with_views(filtering.smoother(filtering.SERIES, LAG), "duckdb"),
         "fdr_pixels": with_views(f"""select pix, pair, round(p,12)+0e0 p from (select *, max(case when p <= k*{FDR!r}e0/m then p end) over () cut from (
           select *, row_number() over (order by p) k, count(*) over () m from (
           select pix, cast((k-1)//2 as bigint) pair, exp(-sum(znorm*znorm)/2e0) p from ({filtering.recursion(filtering.SERIES)}) z group by pix, (k-1)//2 having count(*)=2) a) b) c where p <= cut""", "duckdb"),
