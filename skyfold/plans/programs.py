@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.fixtures import register, with_views
-from skyfold.plans import filtering
+from skyfold.plans import calibration, filtering
 from skyfold.plans.imaging import ROWS
+from skyfold.session import stored
 
 
 def _rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -155,6 +156,29 @@ def fdr_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benjamini_hochberg(pairs, "p", FDR).select("pix", "pair", (F.round("p", 12) + F.lit(0.0)).alias("p"))
 
 
+#: Four digits more than what the queries show.
+GAIN_TOL = 1e-9
+
+
+def robust_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains of each frame against the catalogue's model, under Student-t weights."""
+    from skyfold.operators.calibrate import gains
+    from skyfold.plans.calibration import OBSERVED
+
+    r = lambda c: (F.round(c, 5) + F.lit(0.0)).alias(c)
+    return gains(_rows(spark, sf_dir, OBSERVED), tol=GAIN_TOL).select("interval", F.col("a").cast("int").alias("a"), r("re"), r("im"))
+
+
+def calibrated_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gains of robust_gains leave of each row, with its thermal weight."""
+    from skyfold.operators.calibrate import gains, residuals
+    from skyfold.plans.calibration import OBSERVED
+
+    r = lambda c, n: (F.round(c, n) + F.lit(0.0)).alias(c)
+    rows = stored(_rows(spark, sf_dir, OBSERVED), "observed")
+    return residuals(rows, gains(rows, tol=GAIN_TOL)).select("interval", "a1", "a2", r("re", 3), r("im", 3), r("w", 4))
+
+
 def pixel_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.operators.pixels import pixel_corners as run
 
@@ -181,7 +205,7 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, color_limits, fdr_pixels, rts_smoother, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
+    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, color_limits, fdr_pixels, rts_smoother, robust_gains, calibrated_residual, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -189,6 +213,7 @@ def oracle_sql() -> dict[str, str]:
 
     gap = with_views(filtering.recursion(filtering.GAP), "duckdb")
     return {
+        **{name: with_views(text, "duckdb") for name, text in calibration.sql().items()},
         "iwp_filter": with_views(filtering.recursion(filtering.SERIES), "duckdb"),
         "iwp_filter_gap": gap,
         "stream_filter": gap,
