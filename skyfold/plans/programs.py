@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.fixtures import register, with_views
-from skyfold.plans import calibration, filtering
+from skyfold.plans import calibration, confirmation, filtering
 from skyfold.plans.imaging import ROWS
 from skyfold.session import stored
 
@@ -179,6 +179,30 @@ def calibrated_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residuals(rows, gains(rows, tol=GAIN_TOL)).select("interval", "a1", "a2", r("re", 3), r("im", 3), r("w", 4))
 
 
+def _alarms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The normalised maps and the candidates in them."""
+    from skyfold.operators.confirm import candidates
+
+    maps = stored(_rows(spark, sf_dir, confirmation.MAPS), "maps")
+    return maps, candidates(maps.filter(f"z >= {confirmation.ALARM}"), confirmation.NSIDE)
+
+
+def alarm_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarms of each frame, merged where pixels touch."""
+    return _alarms(spark, sf_dir)[1].select(F.col("frame").cast("int").alias("frame"), "component", "pixels", "pix", (F.round("z", 6) + F.lit(0.0)).alias("z"))
+
+
+def confirm_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged alarms with the fit of their point-spread function against that of the best known source."""
+    from skyfold.operators.confirm import confirm
+    from skyfold.plans.geometry import FREQ
+
+    maps, found = _alarms(spark, sf_dir)
+    r = lambda c, n: (F.round(c, n) + F.lit(0.0)).alias(c)
+    done = confirm(stored(found, "candidates"), _rows(spark, sf_dir, ROWS), maps, _rows(spark, sf_dir, "select * from pix"), _rows(spark, sf_dir, confirmation.KNOWN), float(FREQ), tile=64)
+    return done.select(F.col("frame").cast("int").alias("frame"), "component", "pixels", "pix", r("z", 6), r("amplitude", 6), r("r2", 7), r("known_r2", 7), r("contrast", 7))
+
+
 def pixel_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyfold.operators.pixels import pixel_corners as run
 
@@ -205,7 +229,7 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, color_limits, fdr_pixels, rts_smoother, robust_gains, calibrated_residual, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
+    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, color_limits, fdr_pixels, rts_smoother, robust_gains, calibrated_residual, alarm_components, confirm_candidates, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -213,7 +237,7 @@ def oracle_sql() -> dict[str, str]:
 
     gap = with_views(filtering.recursion(filtering.GAP), "duckdb")
     return {
-        **{name: with_views(text, "duckdb") for name, text in calibration.sql().items()},
+        **{name: with_views(text, "duckdb") for name, text in (calibration.sql() | confirmation.sql()).items()},
         "iwp_filter": with_views(filtering.recursion(filtering.SERIES), "duckdb"),
         "iwp_filter_gap": gap,
         "stream_filter": gap,
