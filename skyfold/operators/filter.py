@@ -35,6 +35,15 @@ def step(state: tuple, t: float, y: float | None, sigma2: float, noise: float) -
     return (x0, x1, p00, p01, p11, t), x0, e / v**0.5
 
 
+def turns(at: np.ndarray) -> list[np.ndarray]:
+    """Rows of a block in time order, dealt so that each pixel is in a part once: first rows, second rows, and so on."""
+    order = np.argsort(at, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+    turn = np.empty(len(at), np.int64)
+    turn[order] = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+    return np.split(np.argsort(turn, kind="stable"), np.cumsum(np.bincount(turn))[:-1])
+
+
 class Block:
     """States of a block's pixels: rows of ``state`` as in START (nan: no frame yet), ``k`` frames each."""
 
@@ -71,12 +80,7 @@ class Block:
         ``skip_late`` leaves rows not after their pixel's last one out; their k is 0.
         """
         k, filtered, znorm = np.zeros(len(at), np.int64), np.zeros(len(at)), np.zeros(len(at))
-        order = np.argsort(at, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
-        turn = np.empty(len(at), np.int64)
-        turn[order] = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
-        by_turn = np.argsort(turn, kind="stable")
-        for rows in np.split(by_turn, np.cumsum(np.bincount(turn))[:-1]):
+        for rows in turns(at):
             if skip_late:
                 before = self.state[5, at[rows]]
                 rows = rows[np.isnan(before) | (t[rows] > before)]

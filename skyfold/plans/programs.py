@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.fixtures import register, with_views
-from skyfold.plans import calibration, confirmation, filtering
+from skyfold.plans import bank, calibration, confirmation, filtering
 from skyfold.plans.imaging import ROWS
 from skyfold.session import stored
 
@@ -143,6 +143,17 @@ def rts_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smooth_pixels(series, float(filtering.SIGMA2), float(filtering.NOISE), LAG, tie="event_id").select("pix", "k", r("t", 6), r("smoothed", 5), r("variance", 7))
 
 
+def model_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Light curves under four quiet models, mixed by evidence."""
+    from skyfold.operators.bank import Model, filter_bank
+
+    series = _rows(spark, sf_dir, "select pix, t, y, true ok, event_id from lightcurve")
+    models = [Model(q, float(s)) for q, s in bank.MODELS]
+    r = lambda c, n: (F.round(c, n) + F.lit(0.0)).alias(c)
+    found = filter_bank(series, models, float(filtering.NOISE), float(bank.DIFFUSE), float(bank.FORGET), float(bank.CALM), tie="event_id")
+    return found.select("pix", "k", r("t", 6), r("mean", 4), "best", r("weight", 6), "scale", r("znorm", 5))
+
+
 FDR = 0.05
 
 
@@ -229,7 +240,7 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, color_limits, fdr_pixels, rts_smoother, robust_gains, calibrated_residual, alarm_components, confirm_candidates, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
+    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, color_limits, fdr_pixels, rts_smoother, model_bank, robust_gains, calibrated_residual, alarm_components, confirm_candidates, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -242,6 +253,7 @@ def oracle_sql() -> dict[str, str]:
         "iwp_filter_gap": gap,
         "stream_filter": gap,
         "rts_smoother": with_views(filtering.smoother(filtering.SERIES, LAG), "duckdb"),
+        "model_bank": with_views(bank.recursion(filtering.SERIES), "duckdb"),
         "fdr_pixels": with_views(f"""select pix, pair, round(p,12)+0e0 p from (select *, max(case when p <= k*{FDR!r}e0/m then p end) over () cut from (
           select *, row_number() over (order by p) k, count(*) over () m from (
           select pix, cast((k-1)//2 as bigint) pair, exp(-sum(znorm*znorm)/2e0) p from ({filtering.recursion(filtering.SERIES)}) z group by pix, (k-1)//2 having count(*)=2) a) b) c where p <= cut""", "duckdb"),
