@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfold.fixtures import register, with_views
-from skyfold.plans import bank, calibration, confirmation, filtering
+from skyfold.plans import bank, calibration, confirmation, filtering, linking
 from skyfold.plans.imaging import ROWS
 from skyfold.session import stored
 
@@ -154,6 +154,43 @@ def model_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pix", "k", r("t", 6), r("mean", 4), "best", r("weight", 6), "scale", r("znorm", 5))
 
 
+def _angles() -> dict[str, float]:
+    """Numbers of plans/linking.py, degrees as radians."""
+    degree = float(linking.DEGREE)
+    return {"rate": float(linking.RATE) * degree, "tol": float(linking.TOL) * degree, "gap": float(linking.GAP), "moving": float(linking.MOVING) * degree, "age": float(linking.AGE), "near": float(linking.NEAR) * degree}
+
+
+def kinematic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of detections within a day that one slow object may have made."""
+    from skyfold.operators.linking import links
+
+    n = _angles()
+    r = lambda c, d: F.round(c, d) + F.lit(0.0)
+    found = links(_rows(spark, sf_dir, linking.DETECTIONS), n["rate"], n["tol"], n["gap"])
+    return found.select("a", "b", r(F.col("tb") - F.col("ta"), 6).alias("dt"), r("rate", 8).alias("rate"))
+
+
+def predicted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each detection's nearest predicted object as of its time."""
+    from skyfold.operators.linking import matches
+
+    n = _angles()
+    found = matches(_rows(spark, sf_dir, linking.DETECTIONS), _rows(spark, sf_dir, linking.PASSES), n["near"], n["age"])
+    return found.select("id", "name", (F.col("apart") + F.lit(0.0)).alias("apart"))
+
+
+def kinematic_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections chained to tracks, with speed, predicted object and stream."""
+    from skyfold.operators.linking import links, matches, route, tracks
+
+    n, detections = _angles(), stored(_rows(spark, sf_dir, linking.DETECTIONS), "detections")
+    found, members = tracks(detections, links(detections, n["rate"], n["tol"], n["gap"]), n["tol"])
+    near = matches(detections, _rows(spark, sf_dir, linking.PASSES), n["near"], n["age"])
+    routed = route(found, members, near, detections, n["moving"])
+    r = lambda c, d: (F.round(c, d) + F.lit(0.0)).alias(c)
+    return routed.select("track_a", "track_b", "n", r("t0", 6), r("t1", 6), r("rate", 7), "confirmed", "matched", "name", "stream")
+
+
 FDR = 0.05
 
 
@@ -240,7 +277,7 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, color_limits, fdr_pixels, rts_smoother, model_bank, robust_gains, calibrated_residual, alarm_components, confirm_candidates, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
+    return {f.__name__: f for f in (iwp_filter, iwp_filter_gap, tikhonov_map, tikhonov_tiled, tikhonov_warm, cg_step, cg_two_steps, scan_snapshots, write_regions, color_limits, fdr_pixels, rts_smoother, model_bank, kinematic_links, predicted_matches, kinematic_tracks, robust_gains, calibrated_residual, alarm_components, confirm_candidates, pixel_corners, stream_late, stream_prepared, stream_msv4_rows, stream_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -248,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
 
     gap = with_views(filtering.recursion(filtering.GAP), "duckdb")
     return {
-        **{name: with_views(text, "duckdb") for name, text in (calibration.sql() | confirmation.sql()).items()},
+        **{name: with_views(text, "duckdb") for name, text in (calibration.sql() | confirmation.sql() | linking.sql()).items()},
         "iwp_filter": with_views(filtering.recursion(filtering.SERIES), "duckdb"),
         "iwp_filter_gap": gap,
         "stream_filter": gap,
