@@ -5,6 +5,8 @@ from __future__ import annotations
 from skyfold.functions import expressions as X
 
 R = X.rounded
+#: ln(99) over a shift of 0.5, in thousandths: both errors 1 in 100.
+WALD = 9190
 SIGMA2, NOISE, DIFFUSE = "5e-2", "2e-1", "1e6"
 OBS = "not bool_or(isnan(val) or abs(val)=cast('Infinity' as double)) and not bool_and(val=0e0)"
 OBS_DUCK = OBS
@@ -82,5 +84,10 @@ def sql() -> dict[str, str | tuple[str, str]]:
         "nis": f"select pix, event_id, {R('s/(1e6*n)', 8)} nis from (select pix, event_id, cast(sum(z*z) over (partition by pix order by k rows between 7 preceding and current row) as bigint)*1e0 s, count(*) over (partition by pix order by k rows between 7 preceding and current row) n from ({z}) q) w",
         "evidence": f"select pix, event_id, {R(f'sum(-5e-1*(ln(2e0*pi()*2e-1)+(z*1e-3)*(z*1e-3)/2e-1)) over (partition by pix order by k {running})', 3)} evidence from ({z}) q",
         "cusum": f"select pix, event_id, cast(s-least(0,min(s) over (partition by pix order by k {running})) as bigint) g from (select pix, event_id, k, cast(sum(z-250) over (partition by pix order by k {running}) as bigint) s from ({z}) q) w",
+        "cusum_negative": f"select pix, event_id, cast(s-least(0,min(s) over (partition by pix order by k {running})) as bigint) g from (select pix, event_id, k, cast(sum(-z-250) over (partition by pix order by k {running}) as bigint) s from ({z}) q) w",
+        # Wald's test of a shift of half a standard deviation (of 50, about a mean of 50) against none: the first frame past a bound decides
+        "sprt": f"""select pix, case when min(case when abs(s)>={WALD} then k end) is null then 'open' when max(case when k=d then s end)>0 then 'shift' else 'none' end decision, cast(coalesce(max(d), max(k)) as bigint) frames from (
+ select *, min(case when abs(s)>={WALD} then k end) over (partition by pix) d from (
+ select pix, k, cast(sum(z-250) over (partition by pix order by k {running}) as bigint) s from (select pix, row_number() over (partition by pix order by t, event_id) k, cast(round((y-5e1)*2e1) as bigint) z from lightcurve) q) v) w group by pix""",
         "glr": f"select pix, event_id, greatest({glr})*1e-6 glr from ({z}) q",
     }

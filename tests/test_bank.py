@@ -95,3 +95,25 @@ def test_odd_rows(spark):
             filter_bank(spark.createDataFrame(rows, "pix long, t double, y double, ok boolean"), wrong)
     with pytest.raises(Exception, match="without a time"):
         filter_bank(spark.createDataFrame([(1, None, 1.0, True)], "pix long, t double, y double, ok boolean"), MODELS).collect()
+
+
+def test_sequential_tests_are_their_folds(spark):
+    sf = "/root/testdata/sf0.01"  # here some pixels are decided either way and some stay open
+    from skyfold import catalogue
+    from skyfold.plans.filtering import WALD
+
+    curves = {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").orderBy("ts", "event_id").collect():
+        curves.setdefault(r.user_id, []).append((r.event_id, r.value))
+    low, wald = {}, {}
+    for p, rows in curves.items():
+        g, s, past = 0, 0, None
+        for k, (i, y) in enumerate(rows, 1):
+            g = max(0, g - round((y - 1) * 1000) - 250)
+            s += round((y - 50) * 20) - 250
+            low[i], past = g, past or (("shift" if s > 0 else "none", k) if abs(s) >= WALD else None)
+        wald[p] = past or ("open", len(rows))
+    q = catalogue.queries()
+    assert {r.event_id: r.g for r in q["cusum_negative"](spark, sf).collect()} == low
+    assert {r.pix: (r.decision, r.frames) for r in q["sprt"](spark, sf).collect()} == wald
+    assert {d for d, _ in wald.values()} == {"shift", "none", "open"}
