@@ -22,13 +22,16 @@ CATALOG = """select cast(c_custkey%16 as int) frame, 'SAT-'||cast(c_custkey%40 a
   cast((c_custkey*37)%360 as double) az, cast((c_custkey*53)%90 as double) el, abs(c_acctbal) jy, 2e7+c_custkey r from customer"""
 
 
-def pixels_sql(nside: int, source: str = "orders", key: str = "o_orderkey") -> str:
-    """Centres of the nested equal-area pixels (Gorski et al. 2005) for nside 2 or 4; ``source`` only supplies rows."""
+def pixels_sql(nside: int, source: str = "orders", key: str = "o_orderkey", engine: str = "duckdb") -> str:
+    """Centres of the nested equal-area pixels (Gorski et al. 2005) for nside 2 or 4; ``source`` only supplies rows.
+
+    Spark may ask whether a centre is null before it asks whether the key is small, so its numbers hold for any key."""
     o = nside.bit_length() - 1
     per = nside * nside
     ix = "+".join(f"((p >> {2 * b}) & 1)*{1 << b}" for b in range(o))
     iy = "+".join(f"((p >> {2 * b + 1}) & 1)*{1 << b}" for b in range(o))
     n = nside
+    small = f"least({key}, {12 * per - 1})" if engine == "spark" else key
     return f"""select p pix, sqrt(1e0-z*z)*cos((jp-(ks+1)*5e-1)*(pi()/2e0/nullif(nr,0))) x, sqrt(1e0-z*z)*sin((jp-(ks+1)*5e-1)*(pi()/2e0/nullif(nr,0))) y, z from (
  select p,nr,ks,z, case when jp0>{4 * n} then jp0-{4 * n} when jp0<1 then jp0+{4 * n} else jp0 end jp from (
  select p,nr,ks,z, ((((jb*nr+ix-iy+1+ks)+{8 * n}) >> 1)-{4 * n}) jp0 from (
@@ -38,7 +41,7 @@ def pixels_sql(nside: int, source: str = "orders", key: str = "o_orderkey") -> s
  select p,ix,iy,jb,(2+(f >> 2))*{n}-ix-iy-1 jr from (
  select p, p >> {2 * o} f, {ix} ix, {iy} iy,
    case when (p >> {2 * o + 2})=1 then 2*((p >> {2 * o}) & 3) else 2*((p >> {2 * o}) & 3)+1 end jb
- from (select distinct cast({key} as int) p from {source} where {key}<{12 * per}) o) a) b) c) d) e"""
+ from (select distinct cast({small} as int) p from {source} where {key}<{12 * per}) o) a) b) c) d) e"""
 
 
 def views(engine: str) -> dict[str, str]:
@@ -50,7 +53,7 @@ def views(engine: str) -> dict[str, str]:
         else "select cast(vec_id as int) frame, cast(i-1 as int) pix, cast(embedding[i] as double) val from embeddings cross join (select unnest(range(1,49)) i) r"
     )
     return {
-        "ant": ANT, "gain": GAIN, "vis": VIS, "frames": FRAMES, "pix": pixels_sql(4), "pix2": pixels_sql(2),
+        "ant": ANT, "gain": GAIN, "vis": VIS, "frames": FRAMES, "pix": pixels_sql(4, engine=engine), "pix2": pixels_sql(2, engine=engine),
         "lightcurve": f"select user_id pix, cast({micros} as double)/36e8 t, value y, event_id from events", "maps48": maps, "catalog": CATALOG,
     }
 

@@ -184,3 +184,13 @@ def test_jones_weights_are_squared_slopes():
             assert np.isclose(eval(got[s]), (w.reshape(2, 2) * abs(p @ np.array(part) @ q.conj().T) ** 2).sum())  # noqa: S307
     with pytest.raises(NotImplementedError):
         converter("VIS", "CROSSED", False)
+
+
+def test_pixel_centres_of_a_run_with_large_order_keys(spark):
+    small = spark.range(192)
+    near = "select a.pix, b.pix other from pix a join pix b on a.x*b.x+a.y*b.y+a.z*b.z>=9e-1"
+    found = []
+    for keys in (small, small.union(spark.range(900_000, 5_000_000_000, 99_999_999)).orderBy("id")):
+        keys.selectExpr("id o_orderkey").createOrReplaceTempView("orders")
+        found.append(rows(spark.sql(with_views(near, "spark")).collect()))
+    assert found[0] == found[1] and len(found[0]) > 192
