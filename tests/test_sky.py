@@ -194,3 +194,12 @@ def test_pixel_centres_of_a_run_with_large_order_keys(spark):
         keys.selectExpr("id o_orderkey").createOrReplaceTempView("orders")
         found.append(rows(spark.sql(with_views(near, "spark")).collect()))
     assert found[0] == found[1] and len(found[0]) > 192
+
+
+def test_arrival_of_rows_needs_no_window_over_all(spark, sf):
+    from skyfold.plans import programs
+
+    register(spark, sf)
+    got, want = (spark.sql(with_views(text, "spark")) for text in (programs._ARRIVED, programs._ARRIVAL))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and rows(got.select(*want.columns).collect()) == rows(want.collect())
