@@ -32,19 +32,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyfold.llm.common import SPACE, Kept, ascii_lower, perhaps_in
+from skyfold.llm.common import SPACE, Kept, perhaps_in
 
 CELLS = 1 << 16
+#: Bits of a posted key. The zeros above them are not stored or sent; keys that fall together by chance cost a comparison.
+KEY_BITS = 40
 #: Below this similarity two matching lines need not have neighbouring tokens in common.
 LEAST_PERCENT = 75
-#: Characters besides A-Z that lower() changes are among these.
-_CASED = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"
 
 
 def _lower(line: Column) -> Column:
-    """Lower-cases A-Z and nothing else; lower() does it for all lines without other capitals, and faster."""
-    plain = (F.octet_length(line) == F.char_length(line)) | ~F.rlike(line, F.lit(_CASED))
-    return F.when(plain, F.lower(line)).otherwise(ascii_lower(line))
+    """Lower-cases A-Z; lines that differ in more than that stay different.
+
+    Other lines than plain ones are read byte by byte as Latin-1, and lower() then turns the bytes C0 to DE into E0 to FE as
+    well. That loses nothing: the bytes 80 to BF that follow such a byte, one after C0 to DE and two or three after
+    others, tell which it was. So a word stays equal to itself only, which is all that is asked of it.
+    """
+    plain = F.octet_length(line) == F.char_length(line)
+    return F.lower(F.when(plain, line).otherwise(F.decode(line.cast("binary"), "ISO-8859-1")))
 
 
 def _spaced(line: Column) -> Column:
@@ -72,21 +77,22 @@ def _lines(texts: DataFrame, separator: str) -> DataFrame:
 
 
 def rarity(lines: DataFrame) -> Column:
-    """An array literal: for each hashed cell, twice the binary logarithm of its words' count (63 at most)."""
+    """An array literal: for each hashed cell, twice the binary logarithm of its words' count (63 at most), in the high bits."""
     words = lines.select(F.explode_outer(F.split(F.lower("line"), " ")).alias("w"))
     counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(63), F.floor(F.log2(F.col("n") + 1) * 2)).cast("int")
     found, levels = counted.select("cell", level.alias("level")).toArrow(), [0] * CELLS  # CELLS rows at most
     for cell, n in zip(found["cell"].to_pylist(), found["level"].to_pylist(), strict=True):
-        levels[cell] = n
+        levels[cell] = n << 57
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
 def keyed(words: Column, levels: Column) -> Column:
     """The distinct words as sorted integers, rarest first: level in the high bits, 57 bits of the hash below."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    level = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), 57)
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: level(h) + F.shiftrightunsigned(h, 7))))
+    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(CELLS - 1)).cast("int"))
+    # an array that can hold no null is sorted as plain longs, any other as objects
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.coalesce(level(h) + F.shiftrightunsigned(h, 7), F.lit(0).cast("long")))))
 
 
 def _long(percent: int) -> int:
@@ -110,7 +116,8 @@ def _keys_of(classes: DataFrame, percent: int, carry: list[str]) -> DataFrame:
 
     def kind(k: int, rows: DataFrame) -> DataFrame:
         each = rows.select(*carry, "prefix", F.posexplode("prefix").alias("p", "token")).filter(F.col("p") < _posts(F.col("n"), percent, k))
-        return each.select(F.xxhash64(F.lit(k), "token", *[F.get("prefix", F.col("p") + i) for i in range(1, k)]).alias("key"), *carry, "p")
+        key = F.xxhash64(F.lit(k), "token", *[F.get("prefix", F.col("p") + i) for i in range(1, k)])
+        return each.select(F.shiftrightunsigned(key, 64 - KEY_BITS).alias("key"), *carry, "p")
 
     return kind(3, classes.filter(F.col("n") >= least)).union(kind(2, classes.filter(F.col("n") <= most)))
 
@@ -161,25 +168,29 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
 
     keys = prepared_lines(lines).select("doc_id", "text_key", "line_no", keyed(tokens(F.col("line")), levels).alias("keys"))
     n = F.size("keys")
-    prefix = F.transform(F.slice("keys", F.lit(1), _prefix(n, percent)), lambda k: F.hash(k))
+    # as floats tokens keep their level and the 18 or more leading bits of their hash; the cast is compiled, a lambda is not
+    prefix = F.slice("keys", F.lit(1), _prefix(n, percent)).cast("array<float>")
     digests = [F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2")]
     prepared = Kept(keys.select("doc_id", "text_key", "line_no", n.alias("n"), *digests, prefix.alias("prefix"), *_maps(F.col("keys"))), "line-keys", hashes=True)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "line_no")
-    own = ["n", "m0", "m1"]
-    grouped = prepared.df.filter("n > 0").groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in [*own, "prefix"]])
+    grouped = prepared.df.filter("n > 0").groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("n", "m0", "m1", "prefix")])
     classes = Kept(grouped.select(F.monotonically_increasing_id().alias("cid"), "*"), "line-classes", hashes=True)
     occurrences = Kept(prepared.df.filter("n > 0").select("doc_id", "text_key", "line_no", "d1", "d2"), "line-occurrences")
     prepared.drop()
 
-    own = ["last", "doc_id", "cid", *own]
-    posted = _keys_of(classes.df.select("cid", "first.last", "first.doc_id", "n", "m0", "m1", "prefix"), percent, own)
-    own.append("p")
+    own = ["doc_id", "cid", "n", "m0", "m1"]
+    posted = _keys_of(classes.df.select("cid", "first.doc_id", "n", "m0", "m1", "prefix"), percent, own)
     repeated = Kept(posted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "line-repeated", counted=True)
-    met = Kept(perhaps_in(posted, repeated.df, "key").join(repeated.side(), "key"), "line-met")
-    pivots = Kept(met.df.groupBy("key").agg(F.min(F.struct(*own)).alias("pivot")).select("key", *[F.col(f"pivot.{c}").alias(f"o_{c}") for c in own]), "line-pivots", counted=True)
+    met = Kept(perhaps_in(posted, repeated.df, "key", bits=2).join(repeated.side(), "key"), "line-met", hashes=True)
     repeated.drop()
-    pivoted = met.df.join(pivots.side(), "key").filter(F.col("cid") != F.col("o_cid"))
-    first_pairs = Kept(pivoted.filter(_may_match("", "o_", percent) & _in_place("", "o_", percent)).select(F.col("cid").alias("a"), F.col("o_cid").alias("b")).distinct(), "line-near")
+    pivot = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *own, "p")).alias("pivot")
+    pivots = Kept(met.df.groupBy("key").agg(pivot).select("key", *[F.col(f"pivot.{c}").alias(f"o_{c}") for c in ("cid", "n", "m0", "m1", "p")]), "line-pivots", counted=True, hashes=True)
+    near = _may_match("", "o_", percent) & _in_place("", "o_", percent)
+    pivoted = met.df.join(pivots.side(), "key").filter("cid != o_cid").select(*own, "o_cid", near.alias("near"), (F.col("m") > 2).alias("more"))
+    pivoted = Kept(pivoted.filter("near or more"), "line-pivoted")  # what two classes post and fails the filters is done with
+    met.drop()
+    pivots.drop()
+    first_pairs = Kept(pivoted.df.filter("near").select(F.col("cid").alias("a"), F.col("o_cid").alias("b")).distinct(), "line-near")
 
     def matched(pairs: DataFrame) -> Kept:
         """Of each pair of similar lines the later class."""
@@ -193,17 +204,15 @@ def removals(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text
     gone = matched(first_pairs.df)
     # Every class with its pivot has been looked at. Others only meet where three classes post a key, and share its pivot
     # then; so each pair is made once for each pivot, not for each key.
-    own = ["last", "doc_id", "cid", "n", "m0", "m1"]
-    family = Kept(pivoted.filter("m > 2").select(F.col("o_cid").alias("family"), *own).distinct(), "line-families")
+    family = Kept(pivoted.df.filter("more").select(F.col("o_cid").alias("family"), *own).distinct(), "line-families")
     x = family.df.join(gone.side(), "cid", "left_anti").select("family", *[F.col(c).alias(f"x_{c}") for c in own])
     y = family.df.select("family", *[F.col(c).alias(f"y_{c}") for c in own])
     # y comes first by document; inside a document the classes' lines decide, once verified
-    order = lambda s: F.struct(F.col(f"{s}last").alias("l"), F.col(f"{s}doc_id").alias("d"))
+    order = lambda s: F.struct(F.col(f"{s}doc_id").isNull().alias("l"), F.col(f"{s}doc_id").alias("d"))
     rest = x.join(y, "family").filter((F.col("x_cid") != F.col("y_cid")) & (order("y_") <= order("x_")) & _may_match("x_", "y_", percent))
     others = Kept(rest.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct().join(first_pairs.df, ["a", "b"], "left_anti"), "line-rest")
     family.drop()
-    met.drop()
-    pivots.drop()
+    pivoted.drop()
     removed = gone.df.union(matched(others.df).df).distinct().withColumn("gone", F.lit(True))
 
     # Classes of one line that stay have nothing to say about their line.
@@ -242,7 +251,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
     text = F.col(f"c{at}").cast("string")
     side = gone.side().toDF("_id", "_key", "line_numbers")
     joined = rows.join(side, F.col(f"c{of}").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
-    parts = F.split(text, _quoted(separator), -1)
+    # a column of its own: inside a lambda Spark would split the text again for each line
+    joined = joined.withColumn("parts", F.when(F.col("line_numbers").isNotNull(), F.split(text, _quoted(separator), -1)))
+    parts = F.col("parts")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("line_numbers"))
     clean = F.when(F.col("line_numbers").isNull(), F.col(f"c{at}")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), separator))
     out = [(clean if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)]

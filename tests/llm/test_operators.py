@@ -2,6 +2,7 @@
 
 import random
 import textwrap
+import time
 import zlib
 from collections import defaultdict
 
@@ -146,6 +147,23 @@ def test_line_dedup_of_odd_rows(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_lower_cases_a_to_z_alone(spark):
+    """Bytes that lower() changes when read as Latin-1 meet bytes that look like them; each word stays its own."""
+    same = [("\u00c9COLE", "\u00c9cole"), ("\u3249X", "\u3249x"), ("Q\U00010400", "q\U00010400")]
+    other = ["\u00e9t\u00e9", "\u00c9T\u00c9", "\u03a9", "\u2126", "\u03c9", "\u00c3\u0089", "\u3249", "\u0409", "\u4409", "\U00010400", "\U00010428", "\u0130", "\u212a", "k"]
+    rows = [(1, "\n".join([a for a, _ in same] + other)), (2, "\n".join([b for _, b in same] + other[:1])), (3, "K")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: ""}
+
+
+def test_line_dedup_splits_a_long_text_once(spark):
+    """A text of 40,000 lines that loses one; time that grows with the square of its lines would be minutes."""
+    lines = [f"w{i}" for i in range(40_000)] + ["w0"]
+    began = time.monotonic()
+    got = line_dedup.dedup_lines(documents(spark, [(1, "\n".join(lines), "s")])).collect()
+    assert got[0].text == "\n".join(lines[:-1]) and time.monotonic() - began < 40
+
+
 def test_passages_find_shared_runs_and_leave_others(spark):
     rng = random.Random(5)
     word = lambda: f"v{rng.randrange(5000)}"
